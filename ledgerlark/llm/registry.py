@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import packing
+from ledgerlark.llm import packing, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op9_packing": packing.op9_packing,
 }
 
