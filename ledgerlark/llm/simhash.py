@@ -3,7 +3,7 @@
 Terms are pairs of successive lower-cased words (the last word stands alone). Each occurrence votes with its
 weight for the set bits of the term's 64-bit hash and against the others; a fingerprint bit is set where the
 votes for it are more than half of all. The votes of a block of terms are counted in 16 longs of four 16-bit
-lanes each, so that one masked shift adds four bits at a time.
+lanes each, so that one masked shift adds four bits at a time; the sums are plain SQL aggregates.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlark.llm.common import SPACE_CLASS, keyed_text, table
+from ledgerlark.llm.common import SPACE_CLASS, keyed_text, settle, table
 
 BITS, LANES = 64, 16
 LANE_MASK = 0x0001000100010001
@@ -26,51 +26,29 @@ BLOCK = 20_000
 BUCKET_ROWS, BUCKETS_SIDE = 4_000, 128
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once for a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def fingerprint_rows(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """The other columns of the rows and, for the i-th text column, its fingerprint as the long fp_<i>.
 
-
-def _terms(text: Column) -> Column:
-    """Hash and weight of each pair of successive words; none for a blank text."""
-    plain = F.trim(F.regexp_replace(F.lower(text), f"{SPACE_CLASS}+", " "))
-    pairs = lambda words: F.zip_with(
-        words,
-        F.slice(words, F.lit(2), F.size(words)),
-        lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.when(F.length(a) > SHORT, F.lit(HEAVY)).otherwise(F.lit(1)).cast("long").alias("w")),
-    )
-    return _let(F.filter(F.split(plain, " "), lambda word: word != ""), pairs)
-
-
-def _votes(terms: Column) -> Column:
-    """Lane sums of one block of terms, and its whole weight."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"l{i}") for i in range(LANES)], F.lit(0).cast("long").alias("all"))
-    add = lambda acc, t: F.struct(
-        *[(acc[f"l{i}"] + F.shiftrightunsigned(t["h"], i).bitwiseAND(F.lit(LANE_MASK)) * t["w"]).alias(f"l{i}") for i in range(LANES)],
-        (acc["all"] + t["w"]).alias("all"),
-    )
-    return F.aggregate(terms, zero, add)
-
-
-def _lane_sum(lane: int, at: int):
-    return lambda acc, x: acc + F.shiftrightunsigned(x[f"l{lane}"], at).bitwiseAND(F.lit(0xFFFF))
-
-
-def fingerprint_long(text: Column) -> Column:
-    """The 64-bit fingerprint of a text; 0 for a null, empty or blank one."""
-    blocks = _let(_terms(F.coalesce(text, F.lit(""))), lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: _votes(F.slice(t, at + 1, F.lit(BLOCK)))))
-
-    # Lanes are summed per bit over the blocks of a text, where they cannot overflow.
-    def bits(b: Column) -> Column:
-        whole = F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x["all"])
-        out = F.lit(0).cast("long")
-        for bit in range(BITS):
-            lane, at = bit % LANES, 16 * (bit // LANES)
-            votes = F.aggregate(b, F.lit(0).cast("long"), _lane_sum(lane, at))
-            out = out.bitwiseOR(F.when(2 * votes > whole, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
-        return out
-
-    return _let(blocks, bits)
+    Terms are exploded and their lanes summed where they arise (one row per text and block goes to the shuffle, not
+    one per term). A null, empty or blank text has no terms and fingerprint 0. Repeated rows stay apart.
+    """
+    kept = [c for c in rows.columns if c not in texts]
+    each = rows.withColumn("_row", F.monotonically_increasing_id())
+    each = each.select("_row", *kept, F.posexplode(F.array(*texts)).alias("_text", "text"))
+    words = each.select("_row", *kept, "_text", F.split(F.trim(F.lower(F.coalesce("text", F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+").alias("words"))
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))
+    terms = words.select("_row", *kept, "_text", F.posexplode(pairs).alias("pos", "t"))
+    blank = F.col("t.a") == ""
+    terms = terms.select("_row", *kept, "_text", F.floor(F.col("pos") / BLOCK).cast("int").alias("_block"), F.xxhash64("t.a", "t.b").alias("h"), F.when(blank, F.lit(0)).when(F.length("t.a") > SHORT, F.lit(HEAVY)).otherwise(F.lit(1)).cast("long").alias("w"))
+    lanes = [(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANE_MASK)) * F.col("w")) for i in range(LANES)]
+    votes = terms.groupBy("_row", *kept, "_text", "_block").agg(*[F.sum(x).alias(f"l{i}") for i, x in enumerate(lanes)], F.sum("w").alias("all"))
+    unpacked = [F.sum(F.shiftrightunsigned(f"l{bit % LANES}", 16 * (bit // LANES)).bitwiseAND(F.lit(0xFFFF))).alias(f"v{bit}") for bit in range(BITS)]
+    whole = votes.groupBy("_row", *kept, "_text").agg(*unpacked, F.sum("all").alias("all"))
+    fp = F.lit(0).cast("long")
+    for bit in range(BITS):
+        fp = fp.bitwiseOR(F.when(2 * F.col(f"v{bit}") > F.col("all"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+    one = whole.select("_row", *kept, "_text", fp.alias("fp"))
+    return one.groupBy("_row", *kept).agg(*[F.max(F.when(F.col("_text") == i, F.col("fp"))).alias(f"fp_{i}") for i in range(len(texts))]).drop("_row")
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -85,11 +63,11 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<c> for the given columns of the next row in descending doc_id; the last row's next is the first.
 
-    A null doc_id comes last; equal ids are ordered by the text's hash. Rows are dealt out to buckets of about
+    A null doc_id comes last; equal ids are ordered by the column order, or else by the text's hash. Rows are dealt out to buckets of about
     BUCKET_ROWS by quantiles of the id, and each bucket also gets the first row of the one after it: one shuffle,
     no bucket that all rows meet in. Only the bounds of the buckets reach the driver.
     """
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64("text"))
+    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_h", F.col("order") if "order" in docs.columns else F.xxhash64("text"))
     ids = keyed.select("_k")
     side = BUCKETS_SIDE
     n = ids.count()
@@ -109,7 +87,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         keyed = keyed.withColumn("_b", F.lit(0))
     heads = sorted((r["_b"], r["k"]) for r in keyed.groupBy("_b").agg(F.max("_k").alias("k")).collect())
     if not heads:
-        return keyed.select("doc_id", "text", *[c for c in columns if c != "text"], *[F.col(c).alias(f"next_{c}") for c in columns])
+        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
     # The head of bucket b ends the next higher bucket; the highest head ends the lowest bucket.
     ends = [(heads[(i + 1) % len(heads)][0], b, k) for i, (b, k) in enumerate(heads)]
     spark = docs.sparkSession
@@ -129,8 +107,8 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the fingerprint as a long. A null text is empty; empty and blank texts have fingerprint 0."""
-    return keyed_text(docs, id_col, text_col).withColumn("fp", fingerprint_long(F.col("text")))
+    """doc_id and its fingerprint as the long fp."""
+    return fingerprint_rows(keyed_text(docs, id_col, text_col), ["text"]).withColumnRenamed("fp_0", "fp")
 
 
 def within_radius(fps: DataFrame, radius: int, blocks: int | None = None, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
@@ -158,14 +136,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Repeated rows come out as often as they are there. A single document is its own next one.
     """
-    rows = with_next(fingerprint_documents(table(spark, sf_dir, "documents")), ["text", "fp"])
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("efp", fingerprint_long(F.col("edited")))
-    return rows.select(
+    rows = with_next(keyed_text(table(spark, sf_dir, "documents")), ["text"])
+    rows = rows.select("doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("order"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
+    found = settle(fingerprint_rows(rows, ["text", "edited"]))
+    pairs = with_next(found, ["fp_0"])
+    return pairs.select(
         "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("fp_0")).alias("fingerprint"),
+        as_text(F.col("fp_1")).alias("edited_fingerprint"),
+        likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"),
+        likeness(F.col("fp_0"), F.col("next_fp_0")).alias("near_next"),
     )
