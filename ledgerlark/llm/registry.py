@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import packing, simhash
+from ledgerlark.llm import minhash, packing, simhash
 
 QUERIES = {
+    "op7_minhash": minhash.op7_minhash,
     "op5_simhash": simhash.op5_simhash,
     "op9_packing": packing.op9_packing,
 }
