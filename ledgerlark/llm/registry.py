@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import minhash, packing, simhash
+from ledgerlark.llm import minhash, packing, pii, simhash
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op7_minhash": minhash.op7_minhash,
     "op5_simhash": simhash.op5_simhash,
     "op9_packing": packing.op9_packing,
