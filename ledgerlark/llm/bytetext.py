@@ -18,6 +18,9 @@ STEP = _U(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Only the line feed, to take lines as words.
+LINE_END = np.zeros(256, dtype=bool)
+LINE_END[10] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes are spread over 64 bits before they enter the polynomial.
@@ -62,12 +65,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """hash: of each word; doc: bounds of each row's words; start, end: byte positions of the words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE):
         lowered = _LOWER[data]
         n = len(lowered)
         inside = np.empty(n + 2, dtype=bool)
         inside[0] = inside[-1] = False
-        np.logical_not(_SPACE[lowered], out=inside[1:-1])
+        np.logical_not(separator[lowered], out=inside[1:-1])
         first = inside[1:-1] & ~inside[:-2]
         last = inside[1:-1] & ~inside[2:]
         cuts = offsets[1:-1]

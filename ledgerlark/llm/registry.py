@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import minhash, packing, pii, simhash
+from ledgerlark.llm import minhash, packing, pii, quality, simhash
 
 QUERIES = {
+    "op4_quality": quality.op4_quality,
     "op2_pii": pii.op2_pii,
     "op7_minhash": minhash.op7_minhash,
     "op5_simhash": simhash.op5_simhash,
