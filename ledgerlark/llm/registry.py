@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import html_extract, minhash, packing, pii, quality, simhash
+from ledgerlark.llm import decontaminate, html_extract, minhash, packing, pii, quality, simhash
 
 QUERIES = {
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op1_html": html_extract.op1_html,
     "op4_quality": quality.op4_quality,
     "op2_pii": pii.op2_pii,
