@@ -258,8 +258,8 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
     return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The given columns of every row (all of them if not given) and `hits`: the benchmark items found in its text.
+def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out_col: str = "hits") -> DataFrame:
+    """The given columns of every row (all of them if not given) and out_col: the benchmark items found in its text.
 
     A null or empty text, and an item without words, has no hits; repeated rows have theirs each; equal items are
     each reported. An empty benchmark gives no hits, an empty table no rows. Column names of docs may be any.
@@ -279,7 +279,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = N
             index = build(spark, group, idf)
             if index is not None:
                 out = _with_hits(out, index)
-    return out.select(*[F.col(x).alias(c) for c, x in zip(columns, names, strict=True)], "hits")
+    return out.select(*[F.col(x).alias(c) for c, x in zip(columns, names, strict=True)], F.col("hits").alias(out_col))
 
 
 def _with_hits(rows: DataFrame, index: Index) -> DataFrame:

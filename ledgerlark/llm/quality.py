@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerlark.llm import bytetext
 from ledgerlark.llm.common import held_out, keyed_text, table
@@ -195,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sam
     return fit(x, got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The given columns (all of them if not given) and `quality_score` of each row, from its whole text."""
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
+    """The given columns (all of them if not given) and out_col, the score of each row, from its whole text."""
     columns = docs.columns if columns is None else columns
     names = [f"c{i}" for i in range(len(columns))]  # positions, so that no name clashes
     plain = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("scored"))
@@ -208,10 +209,8 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None, text_
                 part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(features(part.column(part.num_columns - 1))))], names=[*names, "quality_score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     out = plain.mapInArrow(run, StructType([*schema, StructField("quality_score", DoubleType())]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], "quality_score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], F.col("quality_score").alias(out_col))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

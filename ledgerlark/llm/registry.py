@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
 from ledgerlark.llm import decontaminate, html_extract, minhash, packing, pii, quality, simhash
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus; corpus_pipeline.py is at the top of the repository."""
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op1_html": html_extract.op1_html,
     "op4_quality": quality.op4_quality,
