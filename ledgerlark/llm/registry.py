@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, html_extract, minhash, packing, pii, quality, simhash
+from ledgerlark.llm import decontaminate, html_extract, minhash, packing, pii, pitman_yor, quality, simhash
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op10_pitman_yor": pitman_yor.op10_pitman_yor,
     "pipeline": pipeline,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op1_html": html_extract.op1_html,
