@@ -5,9 +5,10 @@ positions, gives coordinate k of the signature: the least pi(position - k) over
 successive coordinates are bucket keys.
 
 Documents with equal shingle sets are one class and enter the buckets once. A bucket is never expanded into all its
-pairs: its members are first compared with one leader, then only what is still in different components is compared,
-so that a group of thousands of copies costs a few comparisons per copy while no candidate link between components
-goes unchecked. Every link rests on the full shingle sets of both texts.
+pairs: its members are first compared with one leader and then, where still in different components, by a prefix
+filter over their differences from the best-linked member. It leaves out only pairs that cannot be similar enough,
+so a group of thousands of copies costs a few comparisons per copy while no link between the members of a bucket is
+lost. Every link rests on the full shingle sets of both texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlark.llm import bytetext
 from ledgerlark.llm.common import keyed_text, settle, table
@@ -25,12 +27,12 @@ from ledgerlark.llm.components import components
 
 #: BANDS bands of ROWS coordinates miss a pair of similarity 0.8 with probability (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
-#: Pairs beyond the first comparison need this share of equal signature bytes: 5 standard deviations below 0.8.
-LEAST_ESTIMATE = 0.6
+#: Rounds of comparison with a leader of the bucket's largest component.
+LEADS = 2
 #: Rows of an Arrow batch that are worked on at once.
 SLICE = 192
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -75,16 +77,14 @@ def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(n[full])[:-1]]).astype(np.int64) if len(full) else np.zeros(0, np.int64)
                 set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 keys: list = [None] * len(n)
-                sketch: list = [None] * len(n)
                 if len(full):
                     set_a[full] = bytetext.mix(np.add.reduceat(bytetext.mix(flat + np.uint64(1)), starts) + n[full].astype(np.uint64))
                     set_b[full] = bytetext.mix(np.bitwise_xor.reduceat(bytetext.mix(flat + np.uint64(2)), starts) + n[full].astype(np.uint64))
                     signature = circulant(flat, starts, bands * rows)
-                    low = (signature & np.uint32(255)).astype(np.uint8)
-                    for i, k, s in zip(full, band_keys(signature, bands, rows), low, strict=True):
-                        keys[i], sketch[i] = k, s.tobytes()
-                cols = [part.column(0), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                    for i, k in zip(full, band_keys(signature, bands, rows), strict=True):
+                        keys[i] = k
+                cols = [part.column(0), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -106,18 +106,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree often enough to be worth fetching the texts."""
+def _differences(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, lead, the sizes of both sets, whether they are linked, and the shingles that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = pa.array((left == right).mean(axis=1) >= LEAST_ESTIMATE)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                left, right = (bytetext.distinct_sets(*bytetext.shingles(bytetext.words(part.column(i)), size)) for i in (2, 3))
+                apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+                n, m, d = (np.array([len(x) for x in xs], np.int64) for xs in (left, right, apart))
+                both = (n + m - d) // 2
+                cols = [part.column(0), part.column(1), pa.array(n), pa.array(m), pa.array(100 * both >= percent * (both + d)), pa.array([x.view(np.int64) for x in apart], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "lead", "n", "n_lead", "linked", "apart"])
+
+    own, lead = texts.select("node", F.col("text").alias("text_a")), texts.select(F.col("node").alias("lead"), F.col("text").alias("text_b"))
+    rows = pairs.select("node", "lead").join(own, "node").join(lead, "lead").select("node", "lead", "text_a", "text_b")
+    return rows.mapInArrow(run, "node long, lead long, n long, n_lead long, linked boolean, apart array<long>")
 
-    a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+
+def _by_differences(apart: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) with a common lead that can be similar enough though they are in different components.
+
+    One of such a pair, x, is not linked with the lead. With d(x) the shingles that only one of x and the lead has, the
+    pair needs |d(x) & d(y)| >= (|d(x)| + |d(y)| - k (|x| + |y|)) / 2 where k = (1 - j) / (1 + j). So the rarest of each
+    one's differences, in numbers that follow from this, have one in common: independent edits of one text do not meet.
+    """
+    j = percent / 100
+    k = (1 - j) / (1 + j)
+    each = apart.select("lead", "node", "n", "n_lead", "linked", F.size("apart").alias("d"), F.explode("apart").alias("el"))
+    often = each.groupBy("lead", "el").agg(F.count("*").alias("f")).where("f > 1")
+    held = each.join(often, ["lead", "el"])
+    mine = Window.partitionBy("lead", "node")
+    held = held.withColumn("r", F.row_number().over(mine.orderBy("f", "el"))).withColumn("shared", F.count("*").over(mine))
+    loose = F.floor(F.col("n") * ((1 - j) / j) + 1e-6) + 1
+    tight = F.floor((F.col("d") + k * F.greatest(F.col("n") - F.col("n_lead"), F.lit(0))) / 2 + 1e-6) + 1
+    kept = held.where(F.col("d") - F.col("shared") + F.col("r") <= F.when(F.col("linked"), tight).otherwise(loose))
+    kept = kept.select("lead", "el", "node", "linked").join(comp, "node", "left").select("lead", "el", "node", "linked", F.coalesce("component", "node").alias("component"))
+    x = kept.where("not linked").select("lead", "el", F.col("node").alias("x"), F.col("component").alias("of_x"))
+    y = kept.select("lead", "el", F.col("node").alias("y"), F.col("component").alias("of_y"))
+    return x.join(y, ["lead", "el"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,39 +162,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     real = signed.where("n_shingles > 0 and doc_id is not null")
     # One member stands for each class of equal sets.
     classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    nodes = settle(real.groupBy("set_a", "set_b").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("m"), F.min("doc_id").alias("node")).select("node", "m.bands", "m.sketch"))
+    nodes = settle(real.groupBy("set_a", "set_b").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node")).select("node", "bands"))
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    # The leader of a bucket differs from band to band: the member whose id, scrambled by the key, is least.
-    lead = entries.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("x"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    led = entries.join(lead.select("key", F.col("x").bitwiseXOR(F.col("key")).alias("lead")), "key").where("node <> lead")
-    led = settle(led.select("node", "lead").distinct())
-    lone = nodes.select("node", "sketch")
-    wanted = settle(texts.where("doc_id is not null").join(led.select(F.col("node").alias("doc_id")).union(led.select(F.col("lead").alias("doc_id"))).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    crowded = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    shared = settle(entries.join(crowded, "key"))
+    wanted = settle(texts.where("doc_id is not null").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     ordered = lambda df: df.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
-    # First, each node against one leader.
-    tried = settle(ordered(led.groupBy("node").agg(F.min("lead").alias("lead"))))
-    same_id = _shared_ids(real.join(classes, ["set_a", "set_b"]))
-    links = settle(_confirmed(tried, wanted, size, percent).union(same_id))
+    # Each member of a bucket against one leader; then those that are not in the largest component against one of it.
+    tried = settle(ordered(shared.where("node <> low").select("node", F.col("low").alias("lead"))))
+    links = settle(_confirmed(tried, wanted, size, percent).union(_shared_ids(real.join(classes, ["set_a", "set_b"]))))
     comp = components(links)
-    # Then against the leaders of other components.
-    rest = settle(_plausible(_apart(ordered(led), comp).join(tried, ["a", "b"], "left_anti"), lone))
-    more = settle(_confirmed(rest, wanted, size, percent))
-    links2 = links.union(more)
-    comp = components(links2)
-    # Then every member of a bucket against all members of its other components.
-    tagged = entries.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("k")).where("k > 1").select("key", "major")
-    torn = settle(tagged.join(mixed, "key"))
-    minor = torn.where("component <> major").select("key", F.col("node").alias("node"), F.col("component").alias("own"))
-    open_pairs = ordered(minor.join(torn.select("key", F.col("node").alias("lead"), "component"), "key").where("own <> component").select("node", "lead"))
-    open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    last = settle(_plausible(open_pairs, lone))
-    if not last.isEmpty():
-        wanted_ids = last.select(F.col("a").alias("doc_id")).union(last.select(F.col("b").alias("doc_id"))).distinct()
-        again = texts.where("doc_id is not null").join(wanted_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-        comp = components(links2.union(_confirmed(last, again, size, percent)))
+    for _ in range(LEADS):
+        torn = _torn(shared, comp)
+        pairs = ordered(torn.where("component <> major").select("node", F.col("first").alias("lead"))).join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        links = settle(links.union(_confirmed(pairs, wanted, size, percent)))
+        tried = tried.union(pairs)
+        comp = components(links)
+    # What is still apart, by differences from the member with most links.
+    torn = settle(_torn(shared, comp).select("key", "node"))
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
+    best = torn.join(degree, "node", "left").groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("deg", F.lit(0)), -F.col("node"))).alias("lead"))
+    apart = settle(_differences(torn.join(best, "key").where("node <> lead").select("node", "lead").distinct(), wanted, size, percent))
+    last = settle(_by_differences(apart, comp, percent).join(tried, ["a", "b"], "left_anti"))
+    comp = components(links.union(_confirmed(last, wanted, size, percent)).union(apart.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b"))))
 
     of_class = classes.join(comp, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     found = signed.join(of_class, ["set_a", "set_b"], "left")
@@ -180,11 +200,13 @@ def _shared_ids(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    a, b = comp.select(F.col("node").alias("a"), F.col("component").alias("of_a")), comp.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+def _torn(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Buckets whose members are in several components: key, node, component, the bucket's largest component (major)
+    and the first node of that in the bucket."""
+    tagged = shared.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    mixed = sizes.groupBy("key").agg(F.max_by(F.struct("component", "first"), F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    return tagged.join(mixed.select("key", F.col("m.component").alias("major"), F.col("m.first").alias("first")), "key")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
