@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, html_extract, minhash, packing, pii, pitman_yor, quality, simhash, token_tree
+from ledgerlark.llm import decontaminate, html_extract, licenses, minhash, packing, pii, pitman_yor, quality, simhash, token_tree
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_licenses": licenses.op6_licenses,
     "op3_token_counts": token_tree.op3_token_counts,
     "op10_pitman_yor": pitman_yor.op10_pitman_yor,
     "pipeline": pipeline,
