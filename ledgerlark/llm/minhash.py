@@ -130,7 +130,8 @@ def _by_differences(apart: DataFrame, comp: DataFrame, percent: int) -> DataFram
 
     One of such a pair, x, is not linked with the lead. With d(x) the shingles that only one of x and the lead has, the
     pair needs |d(x) & d(y)| >= (|d(x)| + |d(y)| - k (|x| + |y|)) / 2 where k = (1 - j) / (1 + j). So the rarest of each
-    one's differences, in numbers that follow from this, have one in common: independent edits of one text do not meet.
+    one's differences, in numbers that follow from this, have one in common, and after the first they still have room
+    for the others that the pair needs: independent edits of one text do not meet.
     """
     j = percent / 100
     k = (1 - j) / (1 + j)
@@ -141,11 +142,13 @@ def _by_differences(apart: DataFrame, comp: DataFrame, percent: int) -> DataFram
     held = held.withColumn("r", F.row_number().over(mine.orderBy("f", "el"))).withColumn("shared", F.count("*").over(mine))
     loose = F.floor(F.col("n") * ((1 - j) / j) + 1e-6) + 1
     tight = F.floor((F.col("d") + k * F.greatest(F.col("n") - F.col("n_lead"), F.lit(0))) / 2 + 1e-6) + 1
-    kept = held.where(F.col("d") - F.col("shared") + F.col("r") <= F.when(F.col("linked"), tight).otherwise(loose))
-    kept = kept.select("lead", "el", "node", "linked").join(comp, "node", "left").select("lead", "el", "node", "linked", F.coalesce("component", "node").alias("component"))
-    x = kept.where("not linked").select("lead", "el", F.col("node").alias("x"), F.col("component").alias("of_x"))
-    y = kept.select("lead", "el", F.col("node").alias("y"), F.col("component").alias("of_y"))
-    return x.join(y, ["lead", "el"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    held = held.withColumn("place", F.col("d") - F.col("shared") + F.col("r"))
+    kept = held.where(F.col("place") <= F.when(F.col("linked"), tight).otherwise(loose)).withColumn("after", F.col("d") - F.col("place"))
+    kept = kept.select("lead", "el", "node", "linked", "n", "d", "after").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x = kept.where("not linked").select("lead", "el", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "d", "after")])
+    y = kept.select("lead", "el", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "d", "after")])
+    room = 1 + F.least("after_x", "after_y") >= (F.col("d_x") + F.col("d_y") - k * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
+    return x.join(y, ["lead", "el"]).where((F.col("component_x") != F.col("component_y")) & room).select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
