@@ -4,8 +4,11 @@
 2. Benchmark items are cut into passages. A randomised SVD of their TF-IDF matrix, whose products are summed over the
    partitions of the passages, gives the latent space. Only the Gram matrix and the range (rank x benchmark words)
    reach the driver.
-3. Every window of every document is projected; its latent similarity to the passages is at most the share of its
-   TF-IDF norm that benchmark words hold, so windows below the threshold by that bound are skipped without loss.
+3. Every window of every document is compared. Term frequencies enter as square roots, so squared norms are sums over
+   tokens, and running sums bound a window's similarity to any passage: by the share of its norm that benchmark words
+   hold, and by what its rare and its frequent benchmark words can add at most. For those left, the lists of passages
+   that have a rare word give the rare part for each passage. Windows that stay below the threshold by these bounds are
+   skipped without loss; the others are projected.
 4. Candidates are confirmed by the longest common subsequence with the item, weighted by inverse document frequency,
    and, for paraphrases, by whether the item's answer (its last sentence) is in the document too.
 
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +33,29 @@ from ledgerlark.llm.common import keyed_text, table
 
 DIM_BITS = 17
 #: Words of a passage and of a window, and the steps between them.
-PASSAGE, PASSAGE_STEP, WINDOW, WINDOW_STEP = 24, 12, 24, 6
+PASSAGE, PASSAGE_STEP, WINDOW, WINDOW_STEP = 24, 12, 24, 8
 #: Passages that share a latent space, at most; it has as few dimensions as leave every passage this share of its
 #: squared length. SPARE, POWERS: spare columns of the random range, and its power iterations.
 SPACE, ENERGY, SPARE, POWERS = 1024, 0.9, 16, 1
 #: Least latent similarity of a candidate; weighted LCS that confirms it alone, or with the answer.
-COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.4, 0.7, 0.5, 0.8
+COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.45, 0.7, 0.5, 0.8
+#: Words of a smaller weight are frequent ones.
+FREQUENT = 4.0
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 SLICE = 192
 HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double,first_word:bigint>>"
 
 
+#: Words are runs of letters and digits; marks in and around them do not count.
+_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _words(column: pa.Array) -> bytetext.Words:
+    """Words in lower case, in any script."""
+    return bytetext.Words(*bytetext.buffers(pc.utf8_lower(column)), _MARK)
+
+
 def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - DIM_BITS)).astype(np.int64)
 
@@ -52,7 +67,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         total, n = np.zeros(1 << DIM_BITS, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                w = bytetext.words(batch.slice(at, SLICE).column(0))
+                w = _words(batch.slice(at, SLICE).column(0))
                 rows = len(w.doc) - 1
                 own = np.unique(np.repeat(np.arange(rows), np.diff(w.doc)) << DIM_BITS | buckets(w.hash))
                 total += np.bincount(own & ((1 << DIM_BITS) - 1), minlength=len(total))
@@ -74,11 +89,17 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """One group of benchmark items. slot: bucket -> row of basis, or -1; latent: the passages, of unit length; item:
-    the place of each passage's item; items: place -> hashes of its words and of its answer; ids: of the items."""
+    """One group of benchmark items. slot: bucket -> first place in own, or -1; own: the items' words by bucket and
+    hash, the rows of basis; frequent: the share of each passage's norm that its frequent words hold; lists: for each
+    place, where its list begins, then the passages with it and its values there, rare words only; latent: the
+    passages, of unit length; item: the place of each passage's item; items: place -> hashes of its words and of its
+    answer; ids: of the items."""
 
     idf: np.ndarray
     slot: np.ndarray
+    own: np.ndarray
+    frequent: np.ndarray
+    lists: tuple[np.ndarray, np.ndarray, np.ndarray]
     basis: np.ndarray
     latent: np.ndarray
     item: np.ndarray
@@ -99,16 +120,28 @@ def _answer(text: str) -> str:
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
-    w = bytetext.words(pa.array(texts, pa.string()))
+    w = _words(pa.array(texts, pa.string()))
     return [w.hash[a:b] for a, b in zip(w.doc[:-1], w.doc[1:], strict=True)]
 
 
-def _vectors(passages: list[np.ndarray], slot: np.ndarray, idf: np.ndarray, width: int) -> np.ndarray:
-    """TF-IDF rows of unit length over the benchmark's own buckets."""
-    out = np.zeros((len(passages), width), np.float32)
+def _places(own: np.ndarray, slot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each word in own, or -1. Most words end at the bucket's slot."""
+    first = slot[buckets(hashes)]
+    out = np.full(len(hashes), -1, np.int32)
+    some = np.flatnonzero(first >= 0)
+    at = np.searchsorted(own, hashes[some])
+    at[at == len(own)] = 0
+    same = own[at] == hashes[some]
+    out[some[same]] = at[same]
+    return out
+
+
+def _vectors(passages: list[np.ndarray], own: np.ndarray, slot: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of unit length over the benchmark's own words."""
+    out = np.zeros((len(passages), len(own)), np.float32)
     for i, p in enumerate(passages):
-        b = buckets(p)
-        np.add.at(out[i], slot[b], idf[b])
+        np.add.at(out[i], _places(own, slot, p), idf[buckets(p)] ** 2)
+    out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -129,14 +162,15 @@ def _summed(rows: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def latent_basis(rows: DataFrame, slot: np.ndarray, idf: np.ndarray, width: int, rank: int) -> np.ndarray:
+def latent_basis(rows: DataFrame, own: np.ndarray, slot: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
     """The first rank right singular vectors (width x rank), in order, of the TF-IDF matrix of the passages in rows.words."""
+    width = len(own)
     size = min(rank + SPARE, width)
     start = np.random.default_rng(7).standard_normal((width, size)).astype(np.float32)
 
     def pull(basis: np.ndarray) -> np.ndarray:
         """A^T A basis, transposed."""
-        return _summed(rows, lambda p: (lambda a: (a @ basis).T @ a)(_vectors(p, slot, idf, width)), (size, width))
+        return _summed(rows, lambda p: (lambda a: (a @ basis).T @ a)(_vectors(p, own, slot, idf)), (size, width))
 
     basis = start
     for _ in range(POWERS + 1):
@@ -169,19 +203,23 @@ def build(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray) ->
         return None
     answers = _hashes([_answer(t) for _, t, _ in kept])
     parts = [(k, w[a:b]) for k, (_, _, w) in enumerate(kept) for a, b in _passages(len(w))]
-    own = np.unique(np.concatenate([buckets(w) for _, _, w in kept]))
+    own = np.unique(np.concatenate([w for _, _, w in kept]))  # in the order of their buckets, the hashes' first bits
     slot = np.full(1 << DIM_BITS, -1, np.int32)
-    slot[own] = np.arange(len(own))
+    slot[buckets(own)[::-1]] = np.arange(len(own))[::-1]
     rows = spark.createDataFrame([(bytearray(p.tobytes()),) for _, p in parts], "words binary").repartition(max(1, min(8, len(parts) // 2000)))
-    vectors = _vectors([p for _, p in parts], slot, idf, len(own))
-    basis = latent_basis(rows, slot, idf, len(own), len(parts))
+    vectors = _vectors([p for _, p in parts], own, slot, idf)
+    often = idf[buckets(own)] < FREQUENT
+    frequent = np.linalg.norm(vectors[:, often], axis=1).astype(np.float64)
+    word, passage = np.nonzero(np.where(often, 0, vectors).T)
+    lists = (np.searchsorted(word, np.arange(len(own) + 1)), passage, vectors[passage, word].astype(np.float64))
+    basis = latent_basis(rows, own, slot, idf, len(parts))
     latent = vectors @ basis
     left = np.minimum.accumulate(np.cumsum(latent[:, ::-1] ** 2, axis=1)[:, ::-1], axis=1)  # in the dimensions from each on
     enough = ((latent**2).sum(axis=1, keepdims=True) - left >= ENERGY).all(axis=0)
     rank = int(enough.argmax()) if enough.any() else basis.shape[1]
     basis, latent = basis[:, :rank], latent[:, :rank]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(idf, slot, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(w, a) for (_, _, w), a in zip(kept, answers, strict=True)], [i for i, _, _ in kept])
+    return Index(idf, slot, own, frequent, lists, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(w, a) for (_, _, w), a in zip(kept, answers, strict=True)], [i for i, _, _ in kept])
 
 
 def weighted_lcs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -216,35 +254,52 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
         return found
     b = buckets(w.hash)
     weight = index.idf[b].astype(np.float64)
-    place = index.slot[b]
+    place = _places(index.own, index.slot, w.hash)
     sq = weight**2
-    all_mass, own_mass = (np.concatenate([[0], np.cumsum(v)]) for v in (sq, np.where(place >= 0, sq, 0)))
+    ours, often = place >= 0, weight < FREQUENT
+    all_mass, rare_mass, often_mass = (np.concatenate([[0], np.cumsum(v)]) for v in (sq, np.where(ours & ~often, sq, 0), np.where(ours & often, sq, 0)))
     counts = np.diff(w.doc)
     per = np.where(counts > 0, 1 + (np.maximum(counts - WINDOW, 0) + WINDOW_STEP - 1) // WINDOW_STEP, 0)
     doc = np.repeat(np.arange(n), per)
     start = w.doc[doc] + (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)) * WINDOW_STEP
     start = np.maximum(np.minimum(start, w.doc[doc + 1] - WINDOW), w.doc[doc])
     stop = np.minimum(start + WINDOW, w.doc[doc + 1])
-    # A repeated word weighs more than the sum of its squares says, on both sides; the bound allows for that.
-    likely = np.flatnonzero(own_mass[stop] - own_mass[start] >= (COSINE / 2) ** 2 * (all_mass[stop] - all_mass[start]))
-    for k0 in range(0, len(likely), 4096):
-        some = likely[k0 : k0 + 4096]
-        rows = np.repeat(np.arange(len(some)), stop[some] - start[some])
-        where = np.concatenate([np.arange(a, z) for a, z in zip(start[some], stop[some], strict=True)])
-        # Norms with repeated words added up: equal (window, bucket) pairs are summed first.
-        pair, inverse = np.unique(rows << DIM_BITS | b[where], return_inverse=True)
-        tf = np.bincount(inverse, weight[where])
-        owner, slot = pair >> DIM_BITS, index.slot[pair & ((1 << DIM_BITS) - 1)]
-        norm = np.sqrt(np.bincount(owner, tf**2, len(some)))
-        ours = slot >= 0
-        held = np.sqrt(np.bincount(owner[ours], tf[ours] ** 2, len(some)))
-        good = held >= COSINE * norm
-        use = ours & good[owner]
+    mass = lambda sums: np.maximum(sums[stop] - sums[start], 0)
+    squared, rare, common = mass(all_mass), mass(rare_mass), mass(often_mass)
+    most = index.frequent.max()
+    bound = np.minimum(np.sqrt(rare + common), np.sqrt(rare) + most * np.sqrt(common))
+    likely = np.flatnonzero(bound >= (COSINE - 1e-6) * np.sqrt(squared))
+    for k0 in range(0, len(likely), 2048):
+        some = likely[k0 : k0 + 2048]
+        sizes = stop[some] - start[some]
+        rows = np.repeat(np.arange(len(some)), sizes)
+        where = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[some], sizes)
+        kept = ours[where]
+        if not kept.any():
+            continue
+        pair, inverse = np.unique(rows[kept] * len(index.own) + place[where[kept]], return_inverse=True)
+        value = np.sqrt(np.bincount(inverse, sq[where[kept]]))
+        owner, word = pair // len(index.own), pair % len(index.own)
+        norm = np.sqrt(squared[some])
+        # The rare part of the similarity with each passage, and the most that frequent words can add to it.
+        begin, passage, there = index.lists
+        size = begin[word + 1] - begin[word]
+        each = np.repeat(np.arange(len(word)), size)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + begin[word[each]]
+        meet, part = np.unique(owner[each] * len(index.latent) + passage[at], return_inverse=True)
+        dot = np.bincount(part, value[each] * there[at], len(meet))
+        win, with_passage = meet // len(index.latent), meet % len(index.latent)
+        share = np.sqrt(common[some])
+        near = np.zeros(len(some), bool)
+        near[win[dot + share[win] * index.frequent[with_passage] >= (COSINE - 1e-5) * norm[win]]] = True
+        near |= share * most >= (COSINE - 1e-5) * norm
+        use = near[owner]
         if not use.any():
             continue
+        owner, word, value = owner[use], word[use], value[use]
+        o, first = np.unique(owner, return_index=True)
         latent = np.zeros((len(some), index.basis.shape[1]), np.float32)
-        o, first = np.unique(owner[use], return_index=True)
-        latent[o] = np.add.reduceat(index.basis[slot[use]] * tf[use, None].astype(np.float32), first, axis=0)
+        latent[o] = np.add.reduceat(index.basis[word] * value[:, None].astype(np.float32), first, axis=0)
         cosine = latent[o] @ index.latent.T / np.maximum(norm[o, None], 1e-9)
         r, p = np.nonzero(cosine >= COSINE)
         for i, j in sorted(zip(r, p, strict=True), key=lambda x: -cosine[x]):
@@ -289,7 +344,7 @@ def _with_hits(rows: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = _search(shared.value, bytetext.words(part.column(part.num_columns - 2)))
+                found = _search(shared.value, _words(part.column(part.num_columns - 2)))
                 before = part.column(part.num_columns - 1).to_pylist()
                 hits = [[*old, *({k: v for k, v in x.items() if k != "_k"} for x in new)] for old, new in zip(before, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, part.schema.field(part.num_columns - 1).type)], names=part.schema.names)
