@@ -61,29 +61,35 @@ def never(nodes: list[Node]) -> tuple[list[bool], list[bool]]:
     return cut, main
 
 
+def _shielded(node: Node, in_main: bool) -> bool:
+    """Elements that importance never cuts: the page itself, and plain ones in an article."""
+    return node.tag in ("html", "body") or (in_main and (not node.style or node.tag in MAIN_TAGS))
+
+
 def _page_key() -> Column:
     return F.xxhash64("page_id", "url", "html")
 
 
 def _features(pages: DataFrame) -> DataFrame:
-    """page, host, node, parent, kind (0: child sequence, 1: text block) and feature, once for each page."""
+    """page, host, node, parent, kind (0: child sequence, 1: text block) and feature, once for each page; open: whether
+    importance has a say on this page, as the prior neither cuts nor shields the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for page, host, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     nodes, blocks = read(html)
-                    style = style_nodes(nodes)
-                    rows = {(style[i], style[n.parent], 0, _hash(" ".join(dict.fromkeys(nodes[c].tag + "." + nodes[c].style for c in n.children)))) for i, n in enumerate(nodes[1:], 1)}
-                    rows |= {(style[i], style[nodes[i].parent] if i else 0, 1, _hash(text)) for i, text in blocks}
-                    for node, parent, kind, feature in rows:
-                        for column, value in zip(out, (page, host, node, parent, kind, feature), strict=True):
+                    style, (cut, main) = style_nodes(nodes), never(nodes)
+                    rows = {(style[i], style[n.parent], 0, _hash(" ".join(dict.fromkeys(nodes[c].tag + "." + nodes[c].style for c in n.children))), not cut[i] and not _shielded(n, main[i])) for i, n in enumerate(nodes[1:], 1)}
+                    rows |= {(style[i], style[nodes[i].parent] if i else 0, 1, _hash(text), False) for i, text in blocks}
+                    for row in rows:
+                        for column, value in zip(out, (page, host, *row), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["page", "host", "node", "parent", "kind", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["page", "host", "node", "parent", "kind", "feature", "open"])
 
-    return pages.select("page", "host", "html").mapInArrow(run, "page long, host string, node long, parent long, kind int, feature long")
+    return pages.select("page", "host", "html").mapInArrow(run, "page long, host string, node long, parent long, kind int, feature long, open boolean")
 
 
 def importance(features: DataFrame) -> DataFrame:
@@ -111,8 +117,7 @@ def _extract(html: str, low: dict[int, float]) -> str:
                 branch[i] = (1 - DEPTH_WEIGHT) * mine[i] + DEPTH_WEIGHT * below[i] / len(n.children)
             below[n.parent] += branch[i]
         for i, n in enumerate(nodes[1:], 1):
-            plain = main[i] and (not n.style or n.tag in MAIN_TAGS)
-            cut[i] = cut[n.parent] or cut[i] or (branch[i] < LEAST_IMPORTANCE and not plain and n.tag not in ("html", "body"))
+            cut[i] = cut[n.parent] or cut[i] or (branch[i] < LEAST_IMPORTANCE and not _shielded(n, main[i]))
     kept = [(i, text) for i, text in blocks if not cut[i]]
     inner = [text for i, text in kept if main[i]]
     return " ".join(inner or [text for _, text in kept])
@@ -125,7 +130,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keyed = plain.withColumn("page", _page_key()).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
     features = settle(_features(keyed))
     low = importance(features).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "node", "importance")
-    on_page = features.where("kind = 0").select("page", "host", "node").distinct().join(low, ["host", "node"])
+    on_page = features.where("open").select("page", "host", "node").distinct().join(low, ["host", "node"])
     # Written first, so that the join below is planned by its true size.
     cuts = settle(on_page.groupBy("page").agg(F.collect_set(F.struct("node", "importance")).alias("low")))
 
