@@ -20,8 +20,8 @@ BITS, LANES = 64, 16
 LANE_MASK = 0x0001000100010001
 #: A term weighs HEAVY if its first word has more than SHORT characters, else 1.
 HEAVY, SHORT = 3, 3
-#: Terms in a block: BLOCK * HEAVY votes fit into the 16 bits of a lane.
-BLOCK = 20_000
+#: Terms in a block: BLOCK * HEAVY votes fit into 15 bits, so that the highest lane stays positive.
+BLOCK = 10_000
 #: Rows of one ordered bucket, and how many buckets there are at most (a square, for the two-step lookup).
 BUCKET_ROWS, BUCKETS_SIDE = 4_000, 128
 
