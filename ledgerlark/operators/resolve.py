@@ -25,47 +25,59 @@ def alias_targets(aliases: DataFrame) -> DataFrame:
     return aliases.select("kind", T.norm_text(F.col("alias")).alias("alias"), "state_code", F.col("ac_number").try_cast("int").alias("ac_number")).distinct()
 
 
-def _unique(found: DataFrame, key: str, *values: str) -> DataFrame:
-    """One row per key: how many different rows were found, and the values of the only one."""
-    rows = found.select(key, F.struct(*values).alias("v")).groupBy(key).agg(F.collect_set("v").alias("vs"))
-    return rows.select(key, F.size("vs").alias("n"), *[F.when(F.size("vs") == 1, F.get("vs", F.lit(0))[v]).alias(v) for v in values])
+def _only(found: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """The values of each key that has just one row of them; nothing for other keys."""
+    rows = found.select(*keys, F.struct(*values).alias("v")).groupBy(*keys).agg(F.min("v").alias("v"), F.max("v").alias("w"))
+    return rows.where(F.col("v") == F.col("w")).select(*keys, *[F.col(f"v.{x}").alias(x) for x in values])
+
+
+def _spelled(table: DataFrame, *names: str) -> DataFrame:
+    """table with `name`, a row for each of its names in lower case and trimmed."""
+    return table.withColumn("name", F.explode(F.array_distinct(F.array(*[F.lower(F.trim(n)) for n in names])))).where("name is not null")
+
+
+def _look_up(rows: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Left join on keys that are unique in table; on: column of rows -> column of table."""
+    keyed = table.select(*[F.col(c).alias(f"_on_{c}" if c in on.values() else c) for c in table.columns])
+    condition = F.lit(True)
+    for left, right in on.items():
+        condition = condition & (F.col(left) == F.col(f"_on_{right}"))
+    return rows.join(keyed, condition, "left").drop(*[f"_on_{c}" for c in on.values()])
 
 
 def scopes(requests: DataFrame, states: DataFrame, districts: DataFrame, targets: DataFrame | None) -> DataFrame:
     """requests with scope_state, scope_district and conflict (a text, or null).
 
     A code wins over a name, even if it is unknown. A district is looked up by its code without the state, so that a
-    contradiction shows; by its name within the state if that is known, and only if just one has it.
+    contradiction shows; by its name within the state if that is known, and only if just one has it. Codes are unique.
     """
-    s = states.select("state_id", F.trim("state_code").alias("state_code"), "state_name_en", "state_name_hi")
+    s = states.select("state_id", F.trim("state_code").alias("code"), "state_name_en", "state_name_hi")
     r = requests.withColumn("_s", F.nullif(T.norm_text(F.col("state_name")), F.lit(""))).withColumn("_sc", F.nullif(F.trim("state_code"), F.lit("")))
-    names = s.select("state_id", F.explode(F.array(F.lower(F.trim("state_name_en")), F.lower(F.trim("state_name_hi")))).alias("_s")).where("_s is not null")
-    by_code = r.join(s.select("state_id", F.col("state_code").alias("_sc")), "_sc").select("req_id", F.col("state_id").alias("code_state"))
-    by_name = _unique(r.where("_sc is null").join(names, "_s"), "req_id", "state_id").select("req_id", F.col("state_id").alias("name_state"))
-    out = r.join(by_code, "req_id", "left").join(by_name, "req_id", "left")
+    r = r.withColumn("_dc", F.nullif(F.trim("district_lgd_code"), F.lit(""))).withColumn("_d", F.nullif(T.norm_text(T.strip_prefix(F.col("district_name"), T.DISTRICT_LABEL)), F.lit("")))
+    r = _look_up(r, s.select("code", F.col("state_id").alias("code_state")), {"_sc": "code"})
+    r = _look_up(r, _only(_spelled(s, "state_name_en", "state_name_hi"), ["name"], "state_id").select("name", F.col("state_id").alias("name_state")), {"_s": "name"})
     if targets is not None:
-        alias = targets.where("kind = 'state'").select(F.col("alias").alias("_s"), F.col("state_code").alias("_tc")).join(s.select("state_id", F.col("state_code").alias("_tc")), "_tc")
-        by_alias = _unique(r.where("_sc is null").join(alias, "_s"), "req_id", "state_id").select("req_id", F.col("state_id").alias("alias_state"))
-        out = out.join(by_alias, "req_id", "left")
+        alias = targets.where("kind = 'state'").select("alias", F.col("state_code").alias("code")).join(s.select("state_id", "code"), "code")
+        r = _look_up(r, _only(alias, ["alias"], "state_id").select("alias", F.col("state_id").alias("alias_state")), {"_s": "alias"})
     else:
-        out = out.withColumn("alias_state", F.lit(None).cast("int"))
-    out = out.withColumn("_state", F.when(F.col("_sc").isNotNull(), F.col("code_state")).otherwise(F.coalesce("name_state", "alias_state")))
-    out = out.withColumn("_dc", F.nullif(F.trim("district_lgd_code"), F.lit(""))).withColumn("_d", F.nullif(T.norm_text(T.strip_prefix(F.col("district_name"), T.DISTRICT_LABEL)), F.lit("")))
-    d = districts.select("district_id", F.col("state_id").alias("_ds"), F.trim("lgd_district_code").alias("_dc"))
-    d_code = out.join(d, "_dc").select("req_id", F.col("district_id").alias("code_district"), F.col("_ds").alias("code_ds"))
-    d_names = districts.select("district_id", F.col("state_id").alias("_ds"), F.explode(F.array(F.lower(F.trim("district_name_en")), F.lower(F.trim("district_name_hi")))).alias("_d")).where("_d is not null")
-    hits = out.where("_dc is null").join(d_names, "_d").where("_state is null or _state = _ds")
-    d_name = _unique(hits, "req_id", "district_id", "_ds").select("req_id", F.col("district_id").alias("name_district"), F.col("_ds").alias("name_ds"))
-    out = out.join(d_code, "req_id", "left").join(d_name, "req_id", "left")
-    out = out.withColumn("scope_district", F.when(F.col("_dc").isNotNull(), F.col("code_district")).otherwise(F.col("name_district")))
-    out = out.withColumn("_ds", F.when(F.col("_dc").isNotNull(), F.col("code_ds")).otherwise(F.col("name_ds")))
+        r = r.withColumn("alias_state", F.lit(None).cast("int"))
+    r = r.withColumn("_state", F.when(F.col("_sc").isNotNull(), F.col("code_state")).otherwise(F.coalesce("name_state", "alias_state")))
+    d = districts.select("district_id", F.col("state_id").alias("of_state"), F.trim("lgd_district_code").alias("code"), "district_name_en", "district_name_hi")
+    named = _spelled(d, "district_name_en", "district_name_hi")
+    r = _look_up(r, d.select("code", F.col("district_id").alias("code_district"), F.col("of_state").alias("code_ds")), {"_dc": "code"})
+    r = _look_up(r, _only(named, ["name"], "district_id", "of_state").select("name", F.col("district_id").alias("any_district"), F.col("of_state").alias("any_ds")), {"_d": "name"})
+    r = _look_up(r, _only(named, ["name", "of_state"], "district_id").select("name", "of_state", F.col("district_id").alias("in_district")), {"_d": "name", "_state": "of_state"})
+    by_name = F.when(F.col("_state").isNull(), F.col("any_district")).otherwise(F.col("in_district"))
+    by_name_ds = F.when(F.col("_state").isNull(), F.col("any_ds")).when(F.col("in_district").isNotNull(), F.col("_state"))
+    r = r.withColumn("scope_district", F.when(F.col("_dc").isNotNull(), F.col("code_district")).otherwise(by_name))
+    r = r.withColumn("_ds", F.when(F.col("_dc").isNotNull(), F.col("code_ds")).otherwise(by_name_ds))
     conflict = F.when(F.col("_state").isNotNull() & F.col("_ds").isNotNull() & (F.col("_state") != F.col("_ds")), F.lit("the district is not in the state"))
-    return out.select(*requests.columns, F.coalesce("_state", "_ds").alias("scope_state"), "scope_district", conflict.alias("conflict"))
+    return r.select(*requests.columns, F.coalesce("_state", "_ds").alias("scope_state"), "scope_district", conflict.alias("conflict"))
 
 
-def _in_scope(pairs: DataFrame) -> DataFrame:
-    district, state = F.col("scope_district"), F.col("scope_state")
-    return pairs.where(F.when(district.isNotNull(), district == F.col("district_id")).when(state.isNotNull(), state == F.col("state_id")).otherwise(F.lit(True)))
+def _by_scope(district: str, state: str, anywhere: str):
+    """The value of the strongest scope that a request has."""
+    return F.when(F.col("scope_district").isNotNull(), F.col(district)).when(F.col("scope_state").isNotNull(), F.col(state)).otherwise(F.col(anywhere))
 
 
 def _pool(fuzzy: DataFrame, rows: DataFrame) -> DataFrame:
@@ -94,14 +106,14 @@ def resolve(requests: DataFrame, constituencies: DataFrame, states: DataFrame, d
     rows = constituencies.select("id", "constituency", "constituency_hindi", "district_id", "state_id", F.col("ac_number").alias("row_number"))
 
     # Exact: equal normalised names, and sourced aliases, in the scope.
-    keyed = rows.withColumn("key", F.explode(F.array_distinct(F.array(F.lower(F.trim("constituency")), F.lower(F.trim("constituency_hindi")))))).where("key is not null")
-    named = r.where("key <> ''")
-    hits = _in_scope(named.join(keyed, "key")).select("req_id", "id")
+    keyed = _spelled(rows, "constituency", "constituency_hindi").select("name", "id", "district_id", "state_id")
     if targets is not None:
-        own = targets.where("kind = 'constituency'").join(states.select("state_id", F.trim("state_code").alias("state_code")), "state_code").select(F.col("alias").alias("key"), "state_id", F.col("ac_number").alias("row_number"))
-        hits = hits.union(_in_scope(named.join(own, "key").join(rows.drop("constituency", "constituency_hindi"), ["state_id", "row_number"])).select("req_id", "id"))
-    exact = hits.distinct().groupBy("req_id").agg(F.sort_array(F.collect_list("id")).alias("exact"))
-    r = r.join(exact, "req_id", "left")
+        own = targets.where("kind = 'constituency'").join(states.select("state_id", F.trim("state_code").alias("state_code")), "state_code").select(F.col("alias").alias("name"), "state_id", F.col("ac_number").alias("row_number"))
+        keyed = keyed.union(own.join(rows, ["state_id", "row_number"]).select("name", "id", "district_id", "state_id"))
+    ids_of = lambda out, *keys: keyed.groupBy(*keys).agg(F.sort_array(F.collect_set("id")).alias(out)).select(*[F.col(k).alias(f"{out}_{k}") for k in keys], out)
+    for out, on in (("exact_d", {"key": "name", "scope_district": "district_id"}), ("exact_s", {"key": "name", "scope_state": "state_id"}), ("exact_a", {"key": "name"})):
+        r = _look_up(r, ids_of(out, *on.values()), {k: f"{out}_{v}" for k, v in on.items()})
+    r = r.withColumn("exact", F.when(F.col("key") != "", _by_scope("exact_d", "exact_s", "exact_a")))
 
     # Rows of the scope without a local name make a fuzzy match in that script unsafe.
     lacking = rows.where("constituency_hindi is null")
@@ -123,10 +135,14 @@ def resolve(requests: DataFrame, constituencies: DataFrame, states: DataFrame, d
     r = r.join(n_pool, "req_id", "left").join(top, "req_id", "left")
 
     # What the identifiers say.
-    scope_rows = lambda df, on: _in_scope(df.join(rows.select("id", "district_id", "state_id", "row_number"), on))
-    by_id = scope_rows(r.where("constituency_id is not null").select("req_id", "constituency_id", "scope_district", "scope_state"), F.col("constituency_id") == F.col("id")).select("req_id", F.col("id").alias("id_row"))
-    by_no = scope_rows(r.where("number is not null and scope_state is not null").select("req_id", "number", "scope_district", "scope_state"), (F.col("number") == F.col("row_number")) & (F.col("scope_state") == F.col("state_id"))).groupBy("req_id").agg(F.min("id").alias("no_row"))
-    return _decide(r.join(by_id, "req_id", "left").join(by_no, "req_id", "left"))
+    r = _look_up(r, rows.select(F.col("id").alias("by_id"), F.col("id").alias("found_id"), F.col("district_id").alias("id_district"), F.col("state_id").alias("id_state")), {"constituency_id": "by_id"})
+    inside = F.when(F.col("scope_district").isNotNull(), F.col("scope_district") == F.col("id_district")).when(F.col("scope_state").isNotNull(), F.col("scope_state") == F.col("id_state")).otherwise(F.lit(True))
+    r = r.withColumn("id_row", F.when(inside, F.col("found_id")))
+    for out, scope, column in (("no_d", "scope_district", "district_id"), ("no_s", "scope_state", "state_id")):
+        table = rows.groupBy(column, "row_number").agg(F.min("id").alias(out)).select(F.col(column).alias(f"{out}_scope"), F.col("row_number").alias(f"{out}_number"), out)
+        r = _look_up(r, table, {scope: f"{out}_scope", "number": f"{out}_number"})
+    r = r.withColumn("no_row", F.when(F.col("scope_state").isNotNull(), _by_scope("no_d", "no_s", "no_s")))
+    return _decide(r)
 
 
 def _decide(r: DataFrame) -> DataFrame:
