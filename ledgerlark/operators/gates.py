@@ -34,11 +34,14 @@ def gaps(df: DataFrame, key: str) -> DataFrame:
     """Runs of integers between the least and the greatest key that are missing: first, last and size. Repeated and
     null keys do not matter. One sort of the distinct keys in ranges; a run is a row, however long it is."""
     keys = df.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    # Keys are dealt into blocks of a fixed width; each block gets the greatest key before it from a table of blocks.
+    # Keys are dealt into blocks, and blocks into spans, of a fixed width; each block gets the greatest key before it. Only
+    # the spans, a row for every 2^32 keys, are ordered as a whole.
     width = 1 << 16
     blocked = keys.withColumn("b", F.floor(F.col("k") / width))
-    ends = blocked.groupBy("b").agg(F.max("k").alias("top"))
-    before = ends.select("b", F.lag("top").over(Window.orderBy("b")).alias("last_before"))
+    ends = blocked.groupBy("b").agg(F.max("k").alias("top")).withColumn("span", F.floor(F.col("b") / width))
+    spans = ends.groupBy("span").agg(F.max("top").alias("top")).select("span", F.lag("top").over(Window.orderBy("span")).alias("span_before"))
+    within = F.lag("top").over(Window.partitionBy("span").orderBy("b"))
+    before = ends.withColumn("w", within).join(spans, "span").select("b", F.coalesce("w", "span_before").alias("last_before"))
     inner = F.lag("k").over(Window.partitionBy("b").orderBy("k"))
     steps = blocked.withColumn("prev", inner).join(before, "b").withColumn("prev", F.coalesce("prev", "last_before"))
     return steps.where("k - prev > 1").select((F.col("prev") + 1).alias("gap_first"), (F.col("k") - 1).alias("gap_last"), (F.col("k") - F.col("prev") - 1).alias("gap_size"))
