@@ -163,9 +163,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     texts = keyed_text(docs, id_col, text_col)
     signed = settle(sign(texts, size, bands, rows))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    # One member stands for each class of equal sets.
-    classes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    nodes = settle(real.groupBy("set_a", "set_b").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node")).select("node", "bands"))
+    # One member stands for each class of equal sets. Written, so that in the joins on it a class of many copies can be split.
+    nodes = settle(real.groupBy("set_a", "set_b").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node")))
+    classes = nodes.select("set_a", "set_b", "node")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     crowded = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     shared = settle(entries.join(crowded, "key"))
@@ -215,3 +215,22 @@ def _torn(shared: DataFrame, comp: DataFrame) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: DuckDB SQL for op7_minhash, by comparing all documents that share a shingle.
+ORACLE_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end)) as sh from w
+), n as (select doc_id, count(*) as n from s group by 1
+), p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), sides as (select a, b from e union all select b, a from e
+), r(doc_id, reached) as (select doc_id, doc_id from documents union select sides.b, r.reached from r join sides on r.doc_id = sides.a
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.reached) as component_id, d.doc_id = min(r.reached) as kept
+from documents d left join n using (doc_id) join r using (doc_id) group by d.doc_id, n.n
+"""
