@@ -53,7 +53,7 @@ def expected_counts(actual: DataFrame, expected: DataFrame, key: str) -> DataFra
     return expected.join(n, key, "left").select(key, "want", F.coalesce("n", F.lit(0)).alias("n")).withColumn("passed", F.col("n") == F.col("want"))
 
 
-def coverage(expected: DataFrame, key: str) -> Column:
+def coverage() -> Column:
     """complete, short, over or missing, of a row of expected_counts."""
     return F.when(F.col("n") == 0, "missing").when(F.col("n") < F.col("want"), "short").when(F.col("n") > F.col("want"), "over").otherwise("complete")
 

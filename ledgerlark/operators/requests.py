@@ -33,7 +33,7 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"(?U)\s", ""), F.lit("")) == ""
 
 
-def registration_issues(requests: DataFrame) -> Column:
+def registration_issues() -> Column:
     """An array of what is wrong with each registration: an id of 0 counts as none."""
     username, password = F.coalesce("username", F.lit("")), F.coalesce("password", F.lit(""))
     role = F.coalesce("role", F.lit(""))

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
-from pyspark.sql.window import Window
 
 from ledgerlark.functions import extract, text, validate
 from ledgerlark.operators import gates, geo, layout, load, records, resolve
@@ -208,8 +207,7 @@ def expected_vs_actual(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select c_mktsegment, case when coalesce(n, 0) = 0 then 'missing' when n < want then 'short' when n > want then 'over' else 'complete' end as coverage from {_WANT_SQL}")
 def coverage_status(spark: SparkSession, d: str) -> DataFrame:
-    counts = expected_vs_actual(spark, d)
-    return counts.select("c_mktsegment", gates.coverage(counts, "c_mktsegment").alias("coverage"))
+    return expected_vs_actual(spark, d).select("c_mktsegment", gates.coverage().alias("coverage"))
 
 
 @query("with b as (select l_returnflag, l_linestatus, count(*) as n from lineitem where l_linenumber <= 3 group by all), a as (select l_returnflag, l_linestatus, count(*) as n from lineitem where l_linenumber <= 3 or l_returnflag = 'R' group by all) select *, 'before' as side from (select * from b except all select * from a) union all select *, 'after' from (select * from a except all select * from b)")

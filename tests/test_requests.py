@@ -12,7 +12,7 @@ def test_lookups(spark):
 def test_registration(spark):
     rows = [("Asha", "asha1", "secret", None, "superadmin", None), (" ", "abc", "123", "12", "guest", None), ("R", "ravi22", "secret", "9876543210", "booth", 0), ("R", None, None, "", "district", 4)]
     df = spark.createDataFrame([(f, u, p, m, r, None, i, None, i) for f, u, p, m, r, i in rows], "first_name string, username string, password string, mobile string, role string, mandal_id int, district_id int, constituency_id int, booth_id int")
-    got = [r[0] for r in df.select(Q.registration_issues(df)).collect()]
+    got = [r[0] for r in df.select(Q.registration_issues()).collect()]
     assert got[0] == [] and len(got[1]) == 5 and got[2] == ["booth_id is required"] and got[3] == ["username is required", "password is required"]
 
 
