@@ -111,7 +111,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fingerprint_rows(keyed_text(docs, id_col, text_col), ["text"]).withColumnRenamed("fp_0", "fp")
 
 
-def within_radius(fps: DataFrame, radius: int, blocks: int | None = None, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+def within_radius(fps: DataFrame, radius: int, blocks: int | None = None, fp_col: str = "fp") -> DataFrame:
     """All pairs of different fingerprints at most radius bits apart, as (fp_a, fp_b, distance) with fp_a < fp_b.
 
     The bits are cut into blocks; each choice of blocks - radius of them is a permuted table whose key those blocks

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pyarrow as pa
@@ -93,8 +94,7 @@ def test_token_counts(spark):
 
 
 def brute_fingerprint(text):
-    signed = lambda h: h
-    own = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").lower().strip(" \t\n\x0b\x0c\r")) if w]
+    own = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower().strip(" \t\n\x0b\x0c\r")) if w]
     votes = [0] * 64
     for i, a in enumerate(own):
         h = xxhash.xxh64_intdigest(a.encode(), seed=42)
@@ -102,7 +102,7 @@ def brute_fingerprint(text):
             h = xxhash.xxh64_intdigest(own[i + 1].encode(), seed=h)
         weight = simhash.HEAVY if len(a) > simhash.SHORT else 1
         for b in range(64):
-            votes[b] += weight if signed(h) >> b & 1 else -weight
+            votes[b] += weight if h >> b & 1 else -weight
     return f"{sum((v > 0) << b for b, v in enumerate(votes)):016x}"
 
 
