@@ -11,13 +11,15 @@ numbers of their customers and tables, are arrays of fixed size, added up in a t
 three passes over one shuffle: counts; Gibbs sampling, which gives the shared sums of each sample; and scoring, where
 each shard repeats its chain from the same seed and adds up its tokens' log probabilities for each document.
 
-Sampling: customers leave their tables one at a time and are seated again, by the Chinese restaurant rule, for all
-dishes of a shard at once; the shared sums of the round before are used, as in other parallel Gibbs samplers. The
+Sampling: in each round all customers of every dish are seated again at once, by a draw of the dish's number of tables
+from its distribution given the number of its customers, first in the contexts and then in the parent. Of what other
+shards hold, the number of tables of each context, of the parent, and of frequent words are those of the first pass. The
 predictive probabilities of SAMPLES states of the chain are averaged before the logarithm is taken.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +36,10 @@ from ledgerlark.llm.common import held_out, table
 CONTEXT_BITS = 16
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 2.0, 0.6, 20.0
-#: Rounds before the first sample and between samples, customers of a dish that move in a round at most, samples.
-BURN_IN, THIN, MOVES, SAMPLES = 1, 1, 6, 3
+#: Rounds before the first sample and between samples, samples.
+BURN_IN, THIN, SAMPLES = 2, 1, 3
+#: Customers of a dish up to which the weights of table numbers are listed; points of the integrals beyond.
+LISTED, NODES = 1024, 192
 #: Words dealt out by context too, at most, and the share of a piece that makes one such.
 HOT, HOT_SHARE = 4096, 1000
 #: Tokens of a shard and of one packed piece, about, and shards that one task takes one after the other.
@@ -203,74 +207,91 @@ class Shard:
             at += len(per_pair)
 
 
-def _tables_at_first(c: np.ndarray, strength: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """About as many tables as c customers of a dish of this strength come to sit at."""
-    more = rng.poisson(strength * np.log((c + strength) / (1 + strength)))
-    return np.where(c > 0, np.minimum(1 + more, np.maximum(c, 1)), 0)
-
-
-class Seating:
-    """Tables of dishes with at least two customers each, sampled by moving one customer of every dish at a time."""
-
-    def __init__(self, count: np.ndarray, strength: np.ndarray, rng: np.random.Generator):
-        self.count, self.rng = count.astype(np.int64), rng
-        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]]) if len(count) else np.zeros(0, np.int64)
-        self.tables = _tables_at_first(self.count, strength, rng).astype(np.int64)
-        dish = np.repeat(np.arange(len(count)), self.count)
-        place = np.arange(len(dish)) - self.start[dish]
-        self.seat = np.where(place < self.tables[dish], place, (rng.random(len(dish)) * self.tables[dish]).astype(np.int64))
-        self.size = np.bincount(self.start[dish] + self.seat, minlength=len(dish)) if len(dish) else np.zeros(0, np.int64)
-        self.used = self.tables.copy()  # table numbers given out; once all are, those of emptied tables are looked for
-
-    def move(self, dishes: np.ndarray, strength: np.ndarray, discount: float) -> None:
-        """Seats one customer of each of these dishes anew; strength: (theta + d T) P(dish) of each."""
-        if not len(dishes):
-            return
-        rng, start, count = self.rng, self.start[dishes], self.count[dishes]
-        who = start + (rng.random(len(dishes)) * count).astype(np.int64)
-        left = start + self.seat[who]
-        self.size[left] -= 1
-        alone = self.size[left] == 0
-        self.tables[dishes] -= alone
-        stay = count - 1 - discount * self.tables[dishes]
-        fresh = rng.random(len(dishes)) * (strength + stay) < strength
-        full = ~alone & fresh & (self.used[dishes] >= count)
-        todo = np.flatnonzero(full)
-        while len(todo):  # there are fewer tables than customers, so some number is free
-            number = (rng.random(len(todo)) * count[todo]).astype(np.int64)
-            ok = self.size[start[todo] + number] == 0
-            self.seat[who[todo[ok]]] = number[ok]
-            self.size[start[todo[ok]] + number[ok]] = 1
-            todo = todo[~ok]
-        rest = fresh & ~full
-        number = np.where(alone, self.seat[who], self.used[dishes])[rest]
-        self.used[dishes[rest & ~alone]] += 1
-        self.seat[who[rest]] = number
-        self.size[start[rest] + number] = 1
-        self.tables[dishes] += fresh
-        todo = np.flatnonzero(~fresh)
-        while len(todo):  # another customer's table, in proportion to its size less the discount
-            s, me = start[todo], who[todo]
-            other = s + (rng.random(len(todo)) * count[todo]).astype(np.int64)
-            table = self.seat[other]
-            size = self.size[s + table]
-            ok = (other != me) & (rng.random(len(todo)) * size >= discount)
-            self.seat[me[ok]] = table[ok]
-            np.add.at(self.size, s[ok] + table[ok], 1)
-            todo = todo[~ok]
+@functools.cache
+def _log_ways(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: the weight of c customers at t tables, in row c and column t."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, LISTED):
+        t = np.arange(1, c + 2)
+        out[c + 1, t] = np.logaddexp(out[c, t - 1], np.log(np.maximum(c - discount * t, 1e-300)) + out[c, t])
+    return out
+
+
+def _saddle(c: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
+    """w for which strength x (1 - x)^(discount - 1) = c, where x = exp(-w)."""
+    low, high = np.full(len(c), -700.0), np.full(len(c), 700.0)
+    aim = np.log(c / strength)
+    for _ in range(64):
+        mid = (low + high) / 2
+        w = np.exp(np.minimum(mid, 300))
+        above = -w + (discount - 1) * np.log(-np.expm1(-w)) > aim
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.exp((low + high) / 2)
+
+
+def _chances(c: int, strength: float, w: float, discount: float) -> tuple[int, np.ndarray]:
+    """The least number of tables that c customers can be thought to have, and the chances of it and those after it.
+
+    The weight of t tables is strength^t / t! times the coefficient of z^c in ((1 - (1 - z)^discount) / discount)^t. The
+    coefficient is a contour integral, here in p = -c log z: along a line through the saddle point c w, or, where that is
+    near the branch point 0, along a parabola around it. Sums over NODES points of it are exact but for rounding.
+    """
+    x, rest = math.exp(-w), -math.expm1(-w)
+    phi = 1 - rest**discount
+    mean = strength * phi / discount
+    around = 9 * math.sqrt(mean)
+    low, high = max(1, int(mean - around) - 9), min(c, int(mean + around) + 20)
+    t = np.arange(low, high + 1)
+    step = np.arange(NODES) + 0.5
+    if c * w > 20:
+        cross = c * w
+        first, second = discount * x * rest ** (discount - 1) / phi, discount * (1 - discount) * x * x * rest ** (discount - 2) / phi
+        spread = max(mean, 1.0) * max(second + first - first**2, 1e-12)
+        p = cross + 1j * c * step * min(math.pi, 30 / math.sqrt(spread)) / NODES
+        turn = np.ones(NODES)
+    else:
+        cross = max(c * w, 4.0)
+        way = 1 + 1j * step * (3 + 8 / cross) / NODES
+        p, turn = cross * way**2, way
+    at_cross = math.log1p(-((-math.expm1(-cross / c)) ** discount))
+    ratio = np.log1p(-((-np.expm1(-p / c)) ** discount)) - at_cross
+    held = (np.exp(p - cross + t[:, None] * ratio) * turn).real.sum(axis=1)
+    log = t * (math.log(strength / discount) + at_cross) - np.cumsum(np.log(t))
+    chance = np.exp(log - log.max()) * np.maximum(held, 0)
+    return low, chance / chance.sum()
+
+
+def draw_tables(count: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The tables at which all customers of each dish sit, drawn from their conditional distribution.
+
+    strength: (theta + d T) P(dish) of each. t tables of c customers have the weight strength^t S(c, t), with the
+    generalised Stirling numbers S of the discount: what moves of single customers by the Chinese restaurant rule come
+    to in the end. Up to LISTED customers S is listed; beyond, the weights are integrals.
+    """
+    tables = np.minimum(count, 1).astype(np.int64)
+    ways = _log_ways(discount)
+    some = np.flatnonzero((count > 1) & (count <= LISTED))
+    some = some[np.argsort(count[some], kind="stable")]
+    sizes, begin = np.unique(count[some], return_index=True)
+    for c, a, z in zip(sizes, begin, np.append(begin[1:], len(some))[: len(sizes)], strict=True):
+        t = np.arange(1, c + 1)
+        for at in range(a, z, max(1, (1 << 20) // int(c))):
+            own = some[at : min(z, at + max(1, (1 << 20) // int(c)))]
+            log = np.log(strength[own])[:, None] * t + ways[c, 1 : c + 1]
+            sums = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = np.minimum(1 + (sums <= (rng.random(len(own)) * sums[:, -1])[:, None]).sum(axis=1), c)
+    many = np.flatnonzero(count > LISTED)
+    for i, w in zip(many, _saddle(count[many], strength[many], discount), strict=True):
+        low, chance = _chances(int(count[i]), float(strength[i]), float(w), discount)
+        tables[i] = low + min(int(np.searchsorted(np.cumsum(chance), rng.random(), side="right")), len(chance) - 1)
+    return tables
 
 
 def _seat_parent(customers: np.ndarray, share: float, total: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish of the parent, given its customers; share: the base probability."""
     strength = np.full(len(customers), (PARENT_STRENGTH + PARENT_DISCOUNT * total) * share)
-    tables = np.where(customers > 0, 1, 0)
-    several = np.flatnonzero(customers > 1)
-    seating = Seating(customers[several], strength[several], rng)
-    every = np.arange(len(several))
-    for k in range(4):
-        seating.move(every[seating.count > k], strength[several][seating.count > k], PARENT_DISCOUNT)
-    tables[several] = seating.tables
-    return tables
+    return draw_tables(customers, strength, PARENT_DISCOUNT, rng)
 
 
 def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -296,16 +317,10 @@ def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndar
 
     p = predictive(types, np.minimum(types, 1))
     room = STRENGTH + DISCOUNT * counts["contexts_types"][shard.context[several]]
-    seating = Seating(shard.count[several], room * p[shard.word[several]], rng)
-    every = np.arange(len(several))
     rounds = BURN_IN + 1 + THIN * (SAMPLES - 1)
     for r in range(rounds):
-        strength = room * p[shard.word[several]]
-        for k in range(MOVES):
-            some = every[seating.count > k]
-            seating.move(some, strength[some], DISCOUNT)
         tables = (shard.count > 0).astype(np.int64)
-        tables[several] = seating.tables
+        tables[several] = draw_tables(shard.count[several], room * p[shard.word[several]], DISCOUNT, rng)
         customers = np.bincount(shard.word, tables, len(shard.words)).astype(np.int64)
         parent = _seat_parent(customers, share, parent_total, rng)
         seen = np.where(is_hot, types, customers)

@@ -220,6 +220,36 @@ def test_language_model_adds_up_to_one():
             assert (held + (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * sums["contexts"][s][b]) * (parent.sum() + unknown)) / (pitman_yor.STRENGTH + counts["contexts"][b]) == pytest.approx(1)
 
 
+def test_language_model_seats_all_customers():
+    """A pair of 3,000 tokens, seated again in every round: its tables follow their conditional distribution."""
+    import pyarrow as pa
+
+    def mean(c, strength, discount):
+        log = np.full(c + 2, -np.inf)
+        log[1], t = 0.0, np.arange(1, c + 1)
+        for n in range(1, c):
+            log[1:-1] = np.logaddexp(np.log(np.maximum(n - discount * t, 1e-300)) + log[1:-1], log[:-2])
+        chance = np.exp(log[1:-1] + t * np.log(strength) - (log[1:-1] + t * np.log(strength)).max())
+        return (t * chance).sum() / chance.sum()
+
+    word, context, row = pitman_yor._tokens(pa.array([" ".join(["a"] * 3001 + ["b"])]))
+    hot, head = np.zeros(0, np.uint64), b"T" + np.uint32(1).tobytes() + b"\0"
+    blobs = [(0, head + b) for _, b in pitman_yor._pack(word, context, row.astype(np.uint16), hot, 1)]
+    states = []
+    for number in range(60):
+        shard = pitman_yor.Shard(number, blobs)
+        counts = pitman_yor._count(shard, hot)
+        counts["vocabulary"] = int(counts["words"][0])
+        states += [tables[shard.count.argmax()] for tables, _ in pitman_yor.chain(shard, counts, hot)]
+    assert shard.count.max() == 3000
+    # The pair's restaurant has two types, and its dish has a probability of 1 at most.
+    assert np.mean(states) < mean(3000, pitman_yor.STRENGTH + 2 * pitman_yor.DISCOUNT, pitman_yor.DISCOUNT)
+    rng = np.random.default_rng(3)
+    for c, strength, discount in ((2, 0.3, 0.75), (40, 5.0, 0.75), (3000, 0.6, 0.6), (3000, 40.0, 0.75), (3000, 4000.0, 0.75)):
+        got = pitman_yor.draw_tables(np.full(400, c), np.full(400, strength), discount, rng)
+        assert abs(got.mean() - mean(c, strength, discount)) < 5 * got.std() / 20
+
+
 def test_pipeline(spark, small):
     """Stages against a plain restatement on each one's own input."""
     import corpus_pipeline
