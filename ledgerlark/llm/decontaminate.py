@@ -7,8 +7,9 @@
 3. Every window of every document is compared. Term frequencies enter as square roots, so squared norms are sums over
    tokens, and running sums bound a window's similarity to any passage: by the share of its norm that benchmark words
    hold, and by what its rare and its frequent benchmark words can add at most. For those left, the lists of passages
-   that have a rare word give the rare part for each passage. Windows that stay below the threshold by these bounds are
-   skipped without loss; the others are projected.
+   in which a rare word has a value give the rare part for each passage, but for what small values can add at most. The
+   passages are taken as the latent space has them, so windows that stay below the threshold by these bounds would not
+   reach it in that space either; the others are projected.
 4. Candidates are confirmed by the longest common subsequence with the item, weighted by inverse document frequency,
    and, for paraphrases, by whether the item's answer (its last sentence) is in the document too.
 
@@ -33,14 +34,15 @@ from ledgerlark.llm.common import keyed_text, table
 
 DIM_BITS = 17
 #: Words of a passage and of a window, and the steps between them.
-PASSAGE, PASSAGE_STEP, WINDOW, WINDOW_STEP = 24, 12, 24, 8
+PASSAGE, PASSAGE_STEP, WINDOW, WINDOW_STEP = 24, 12, 24, 6
 #: Passages that share a latent space, at most; it has as few dimensions as leave every passage this share of its
 #: squared length. SPARE, POWERS: spare columns of the random range, and its power iterations.
 SPACE, ENERGY, SPARE, POWERS = 1024, 0.9, 16, 1
 #: Least latent similarity of a candidate; weighted LCS that confirms it alone, or with the answer.
-COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.45, 0.7, 0.5, 0.8
-#: Words of a smaller weight are frequent ones.
-FREQUENT = 4.0
+COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.4, 0.7, 0.5, 0.8
+#: Words of a smaller weight are frequent ones; rare words of a smaller value in a passage are bounded, not listed. SLACK:
+#: what rounding may take from a similarity.
+FREQUENT, LISTED, SLACK = 4.0, 0.03, 1e-4
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 SLICE = 192
@@ -90,15 +92,17 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Index:
     """One group of benchmark items. slot: bucket -> first place in own, or -1; own: the items' words by bucket and
-    hash, the rows of basis; frequent: the share of each passage's norm that its frequent words hold; lists: for each
-    place, where its list begins, then the passages with it and its values there, rare words only; latent: the
-    passages, of unit length; item: the place of each passage's item; items: place -> hashes of its words and of its
+    hash, the rows of basis; latent: the passages in the latent space, of unit length; lists: for each place, where its
+    list begins, then the passages in which it has a value and these values, rare words only, and the passages being
+    those of latent carried back to words; frequent, small: the norms of their frequent and of their unlisted rare
+    words; item: the place of each passage's item; items: place -> hashes of its words and of its
     answer; ids: of the items."""
 
     idf: np.ndarray
     slot: np.ndarray
     own: np.ndarray
     frequent: np.ndarray
+    small: np.ndarray
     lists: tuple[np.ndarray, np.ndarray, np.ndarray]
     basis: np.ndarray
     latent: np.ndarray
@@ -208,10 +212,6 @@ def build(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray) ->
     slot[buckets(own)[::-1]] = np.arange(len(own))[::-1]
     rows = spark.createDataFrame([(bytearray(p.tobytes()),) for _, p in parts], "words binary").repartition(max(1, min(8, len(parts) // 2000)))
     vectors = _vectors([p for _, p in parts], own, slot, idf)
-    often = idf[buckets(own)] < FREQUENT
-    frequent = np.linalg.norm(vectors[:, often], axis=1).astype(np.float64)
-    word, passage = np.nonzero(np.where(often, 0, vectors).T)
-    lists = (np.searchsorted(word, np.arange(len(own) + 1)), passage, vectors[passage, word].astype(np.float64))
     basis = latent_basis(rows, own, slot, idf, len(parts))
     latent = vectors @ basis
     left = np.minimum.accumulate(np.cumsum(latent[:, ::-1] ** 2, axis=1)[:, ::-1], axis=1)  # in the dimensions from each on
@@ -219,7 +219,15 @@ def build(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray) ->
     rank = int(enough.argmax()) if enough.any() else basis.shape[1]
     basis, latent = basis[:, :rank], latent[:, :rank]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(idf, slot, own, frequent, lists, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(w, a) for (_, _, w), a in zip(kept, answers, strict=True)], [i for i, _, _ in kept])
+    vectors = latent @ basis.T
+    often = idf[buckets(own)] < FREQUENT
+    frequent = np.linalg.norm(vectors[:, often], axis=1).astype(np.float64)
+    vectors[:, often] = 0
+    word, passage = np.nonzero((np.abs(vectors) >= LISTED).T)
+    lists = (np.searchsorted(word, np.arange(len(own) + 1)), passage, vectors[passage, word].astype(np.float64))
+    vectors[passage, word] = 0
+    small = np.linalg.norm(vectors, axis=1).astype(np.float64)
+    return Index(idf, slot, own, frequent, small, lists, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(w, a) for (_, _, w), a in zip(kept, answers, strict=True)], [i for i, _, _ in kept])
 
 
 def weighted_lcs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -266,9 +274,9 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
     stop = np.minimum(start + WINDOW, w.doc[doc + 1])
     mass = lambda sums: np.maximum(sums[stop] - sums[start], 0)
     squared, rare, common = mass(all_mass), mass(rare_mass), mass(often_mass)
-    most = index.frequent.max()
+    most, most_small = index.frequent.max(), index.small.max()
     bound = np.minimum(np.sqrt(rare + common), np.sqrt(rare) + most * np.sqrt(common))
-    likely = np.flatnonzero(bound >= (COSINE - 1e-6) * np.sqrt(squared))
+    likely = np.flatnonzero(bound >= (COSINE - SLACK) * np.sqrt(squared))
     for k0 in range(0, len(likely), 2048):
         some = likely[k0 : k0 + 2048]
         sizes = stop[some] - start[some]
@@ -281,7 +289,7 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
         value = np.sqrt(np.bincount(inverse, sq[where[kept]]))
         owner, word = pair // len(index.own), pair % len(index.own)
         norm = np.sqrt(squared[some])
-        # The rare part of the similarity with each passage, and the most that frequent words can add to it.
+        # The listed part of the similarity with each passage, and the most that other words can add to it.
         begin, passage, there = index.lists
         size = begin[word + 1] - begin[word]
         each = np.repeat(np.arange(len(word)), size)
@@ -289,10 +297,10 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
         meet, part = np.unique(owner[each] * len(index.latent) + passage[at], return_inverse=True)
         dot = np.bincount(part, value[each] * there[at], len(meet))
         win, with_passage = meet // len(index.latent), meet % len(index.latent)
-        share = np.sqrt(common[some])
+        share, rest = np.sqrt(common[some]), np.sqrt(rare[some])
         near = np.zeros(len(some), bool)
-        near[win[dot + share[win] * index.frequent[with_passage] >= (COSINE - 1e-5) * norm[win]]] = True
-        near |= share * most >= (COSINE - 1e-5) * norm
+        near[win[dot + share[win] * index.frequent[with_passage] + rest[win] * index.small[with_passage] >= (COSINE - SLACK) * norm[win]]] = True
+        near |= share * most + rest * most_small >= (COSINE - SLACK) * norm
         use = near[owner]
         if not use.any():
             continue

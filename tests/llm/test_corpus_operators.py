@@ -153,6 +153,38 @@ def test_benchmark_items(spark):
     assert decontaminate.matches(df.where("false"), benchmark).count() == 0
 
 
+def test_benchmark_search_skips_no_window(spark):
+    """Paraphrases of every degree: what the bounds leave is what projecting every window of six words' step finds."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}{d}{e}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst" for d in "aeiou" for e in "knpt"] + ["the", "of", "and"] * 200
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, f"{sentence(rng.choice([14, 30, 60]))}. {sentence(6)}.") for i in range(60)]
+    docs = []
+    for i in range(300):
+        text = [x for w in items[i % 60][1].split() for x in ([rng.choice(vocabulary)] if rng.random() < i / 600 else [rng.choice(vocabulary)] * (rng.random() < i / 400) + [w])]
+        docs.append(f"{sentence(rng.randrange(60, 90))} {' '.join(text)} {sentence(60)}")
+    docs += [sentence(200) for _ in range(200)]
+    df, n = decontaminate.document_frequencies(spark.createDataFrame([(t,) for t in docs], "text string"))
+    index = decontaminate.build(spark, items, decontaminate.weights(df, n))
+    words = decontaminate._words(pa.array(docs))
+    got = {(d, x["item_id"]) for d, hits in enumerate(decontaminate._search(index, words)) for x in hits}
+    want = set()
+    for d, (a, z) in enumerate(zip(words.doc[:-1], words.doc[1:], strict=True)):
+        own = words.hash[a:z]
+        for at in sorted({*range(0, len(own) - 24, 6), len(own) - 24}):
+            window = own[at : at + 24]
+            weight, place = index.idf[decontaminate.buckets(window)].astype(float) ** 2, decontaminate._places(index.own, index.slot, window)
+            vector = np.sqrt(np.bincount(place[place >= 0], weight[place >= 0], len(index.own)))
+            cosine = vector @ index.basis @ index.latent.T / np.sqrt(weight.sum())
+            for item in {int(index.item[j]) for j in np.flatnonzero(cosine >= 0.4)}:
+                lcs, answer = decontaminate._confirm(index, own, item, at)
+                if lcs >= 0.7 or (lcs >= 0.5 and answer >= 0.8):
+                    want.add((d, index.ids[item]))
+    assert len(want) > 150 and got == want
+
+
 def test_groups_of_items():
     items = [(i, "a b c d e f g h " * 30) for i in range(200)]
     groups = decontaminate.spaces(items)
