@@ -87,6 +87,14 @@ def test_parse(spark):
     assert set(got[4].values()) == set(got[5].values()) == {(None, 0.0)}
 
 
+def test_parse_reads_long_pages_whole(spark):
+    cells = "<table>" + "<td>one</td>" * 20_000 + "<td>" + SHEET.replace("\n", "<br>") + "</td><td>जिला</td><td>जिला: लखनऊ</td></table>"
+    docs = spark.createDataFrame([(1, "x y z\n" * 40_000 + SHEET), (2, cells), (3, "विधानसभा x " * 20_000 + "\n" + SHEET)], "i int, t string")
+    got = {r["i"]: {k: (v["value"], v["confidence"]) for k, v in r["parsed"].asDict(True).items()} for r in extract.parse(docs, "t").collect()}
+    assert got[1] == got[3] == FIELDS
+    assert got[2] == FIELDS | {"district": ("लखनऊ", 0.75), "mobile": (None, 0.0)}
+
+
 def test_cells():
     assert extract.cells_of("<td>a<br>  b &amp; c</td><th>d</th><td>lost<td>kept</td>") == ["a\nb & c", "d", "kept"]
 
