@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -39,6 +40,41 @@ def partial_ratio(a: str, b: str) -> float:
     return _one_way(*sorted((a, b), key=len))
 
 
+def _all_one_way(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """_one_way of many pairs at once; rows are the code points of texts, of at most 63 in short."""
+    m, n = short.shape[1], long.shape[1]
+    full = np.uint64((1 << m) - 1)
+    masks = [np.zeros(len(short), np.uint64) for _ in range(n)]
+    for j in range(n):
+        for i in range(m):
+            masks[j] |= (short[:, i] == long[:, j]).astype(np.uint64) << np.uint64(i)
+    best = np.zeros(len(short))
+    for start in range(1 - m, n):
+        window = masks[max(start, 0) : start + m]
+        free = np.full(len(short), full)
+        for mask in window:
+            hit = free & mask
+            free = ((free + hit) | (free - hit)) & full
+        best = np.maximum(best, 200 * (m - np.bitwise_count(free).astype(np.int64)) / (m + len(window)))
+    return best
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """partial_ratio of each pair; pairs of equal lengths are compared at once."""
+    out = np.zeros(len(a))
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(pairs):
+        groups.setdefault((len(x), len(y)), []).append(k)
+    for (m, n), where in groups.items():
+        if m == 0 or m > 63 or len(where) < 8:
+            out[where] = [partial_ratio(*pairs[k]) for k in where]
+            continue
+        short, long = (np.array([pairs[k][side] for k in where], f"<U{size}").view(np.uint32).reshape(len(where), size) for side, size in ((0, m), (1, n)))
+        out[where] = np.maximum(_all_one_way(short, long), _all_one_way(long, short)) if m == n else _all_one_way(short, long)
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(partial_ratios([x or "" for x in a], [x or "" for x in b]), dtype=float)

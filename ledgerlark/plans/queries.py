@@ -409,8 +409,8 @@ def resolve_scope_conflict(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def resolve_fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Names with a letter missing, each within its state and district."""
+    """The names of all constituencies with a letter missing, each within its state and district."""
     c = constituencies(spark, d).withColumn("id", F.col("id").cast("int"))
     none = F.lit(None)
-    r = c.where("id % 50 = 7").select(F.col("id").alias("req_id"), F.replace("constituency", F.lit("ust"), F.lit("st")).alias("name"), F.col("state_id").cast("string").alias("state_code"), none.cast("string").alias("state_name"), F.col("lgd_district_code").alias("district_lgd_code"), none.cast("string").alias("district_name"), none.cast("int").alias("ac_number"), none.cast("int").alias("constituency_id"))
+    r = c.select(F.col("id").alias("req_id"), F.replace("constituency", F.lit("ust"), F.lit("st")).alias("name"), F.col("state_id").cast("string").alias("state_code"), none.cast("string").alias("state_name"), F.col("lgd_district_code").alias("district_lgd_code"), none.cast("string").alias("district_name"), none.cast("int").alias("ac_number"), none.cast("int").alias("constituency_id"))
     return resolve.resolve(r, c, states(spark, d), districts(spark, d)).select("req_id", "status", "method", "score", "match_id", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))

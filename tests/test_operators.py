@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlark.errors import EngineError
 from ledgerlark.functions import extract, fuzzy, text, validate, vision
 from ledgerlark.operators import gates, geo, layout, load, resolve
+from ledgerlark.plans import queries
 from ledgerlark.sources import pdf, tables
 from ledgerlark.streaming import jobs
 
@@ -197,3 +199,25 @@ def test_vision():
     flat, noisy = np.full((20, 10, 3), 9, np.uint8), np.random.default_rng(0).integers(0, 255, (20, 10, 3), dtype=np.uint8)
     assert vision.laplacian_variance(flat) == 0.0 < vision.BLURRED < vision.laplacian_variance(noisy)
     assert [vision.crop(flat, r).shape for r in vision.REGIONS] == [(5, 6, 3), (6, 10, 3)]
+
+
+def test_partial_ratios_of_many_pairs():
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("ab#0 लख") for _ in range(rng.choice([0, 1, 5, 6, 63, 64])))
+    a, b = [text() for _ in range(1500)], [text() for _ in range(1500)]
+    assert fuzzy.partial_ratios(a, b).tolist() == [fuzzy.partial_ratio(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_all_constituencies_are_resolved(spark, small):
+    """Each within its district, against all rows of it by brute force."""
+    rows = [r.asDict() for r in queries.constituencies(spark, small).collect()]
+    got = {r["req_id"]: (r["status"], r["score"], r["candidates"]) for r in queries.resolve_fuzzy_topk(spark, small).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        name = r["constituency"].replace("ust", "st")
+        scores = {o["id"]: fuzzy.partial_ratio(name, o["constituency"]) for o in rows if o["district_id"] == r["district_id"]}
+        best = max(scores.values())
+        tied = sorted(i for i, x in scores.items() if x == best)
+        status, score, candidates = got[r["id"]]
+        assert score == best and status == (resolve.RESOLVED if len(tied) == 1 else resolve.AMBIGUOUS)
+        assert candidates == ("" if len(tied) == 1 else ",".join(map(str, tied[:5])))
