@@ -5,7 +5,7 @@ positions, gives coordinate k of the signature: the least pi(position - k) over
 successive coordinates are bucket keys.
 
 Documents with equal shingle sets are one class and enter the buckets once. A bucket is never expanded into all its
-pairs: its members are first compared with one leader and then, where still in different components, by a prefix
+pairs: its members are first compared with its first one and then, where still in different components, by a prefix
 filter over their differences from the best-linked member. It leaves out only pairs that cannot be similar enough,
 so a group of thousands of copies costs a few comparisons per copy while no link between the members of a bucket is
 lost. Every link rests on the full shingle sets of both texts.
@@ -27,8 +27,6 @@ from ledgerlark.llm.components import components
 
 #: BANDS bands of ROWS coordinates miss a pair of similarity 0.8 with probability (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
-#: Rounds of comparison with a leader of the bucket's largest component.
-LEADS = 2
 #: Rows of an Arrow batch that are worked on at once.
 SLICE = 192
 
@@ -103,7 +101,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,33 +161,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     texts = keyed_text(docs, id_col, text_col)
     signed = settle(sign(texts, size, bands, rows))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    # One member stands for each class of equal sets. Written, so that in the joins on it a class of many copies can be split.
+    # One member stands for each class of equal sets. Tables that are joined on a hot key are written first: the join
+    # is then between two plain shuffles, of which Spark can split the hot partition.
     nodes = settle(real.groupBy("set_a", "set_b").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node")))
     classes = nodes.select("set_a", "set_b", "node")
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    crowded = settle(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
     shared = settle(entries.join(crowded, "key"))
     wanted = settle(texts.where("doc_id is not null").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
-    ordered = lambda df: df.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
-    # Each member of a bucket against one leader; then those that are not in the largest component against one of it.
-    tried = settle(ordered(shared.where("node <> low").select("node", F.col("low").alias("lead"))))
-    links = settle(_confirmed(tried, wanted, size, percent).union(_shared_ids(real.join(classes, ["set_a", "set_b"]))))
+    # Each member of a bucket against its first one.
+    tried = settle(shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    links = settle(_confirmed(tried, wanted, size, percent).union(_shared_ids(real, classes)))
     comp = components(links)
-    for _ in range(LEADS):
-        torn = _torn(shared, comp)
-        pairs = ordered(torn.where("component <> major").select("node", F.col("first").alias("lead"))).join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        links = settle(links.union(_confirmed(pairs, wanted, size, percent)))
-        tried = tried.union(pairs)
-        comp = components(links)
-    # What is still apart, by differences from the member with most links.
-    torn = settle(_torn(shared, comp).select("key", "node"))
+    # Buckets that are still in several components: by differences from the member with most links.
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("deg"))
-    best = torn.join(degree, "node", "left").groupBy("key").agg(F.max_by("node", F.struct(F.coalesce("deg", F.lit(0)), -F.col("node"))).alias("lead"))
-    apart = settle(_differences(torn.join(best, "key").where("node <> lead").select("node", "lead").distinct(), wanted, size, percent))
+    tagged = settle(shared.join(comp, "node", "left").join(degree, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("deg", F.lit(0)).alias("deg")))
+    best = tagged.groupBy("key", "component").agg(F.max(F.struct("deg", F.bitwise_not("node").alias("low"))).alias("best"))
+    torn = settle(best.groupBy("key").agg(F.count("*").alias("k"), F.max("best").alias("best")).where("k > 1").select("key", F.bitwise_not("best.low").alias("lead")))
+    pairs = tagged.select("key", "node").join(torn, "key").where("node <> lead").select("node", "lead").distinct()
+    apart = settle(_differences(pairs, wanted, size, percent))
     last = settle(_by_differences(apart, comp, percent).join(tried, ["a", "b"], "left_anti"))
-    comp = components(links.union(_confirmed(last, wanted, size, percent)).union(apart.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b"))))
+    more = _confirmed(last, wanted, size, percent).union(apart.where("linked").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     of_class = classes.join(comp, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     found = signed.join(of_class, ["set_a", "set_b"], "left")
@@ -197,21 +191,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _shared_ids(rows: DataFrame) -> DataFrame:
+def _shared_ids(real: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges between the classes in which one doc_id occurs."""
+    again = settle(real.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rows = real.select("doc_id", "set_a", "set_b").join(again, "doc_id", "left_semi").join(classes, ["set_a", "set_b"])
     several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("doc_id", "a")
     return rows.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
 
 
-def _torn(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Buckets whose members are in several components: key, node, component, the bucket's largest component (major)
-    and the first node of that in the bucket."""
-    tagged = shared.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    mixed = sizes.groupBy("key").agg(F.max_by(F.struct("component", "first"), F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    return tagged.join(mixed.select("key", F.col("m.component").alias("major"), F.col("m.first").alias("first")), "key")
-
-
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
