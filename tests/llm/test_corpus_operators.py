@@ -302,12 +302,13 @@ def test_pipeline(spark, small):
     items = [" ".join(helpers.words(r["text"])) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert set(unique) - set(clean) >= {i for i, t in unique.items() if any(x in " ".join(helpers.words(t)) for x in items)}
     assert len(set(unique) - set(clean)) < 0.1 * len(unique)
+    secret = re.compile("[A-Za-z0-9_]{20}")
     assert set(safe) == set(clean) and not any(helpers.base_spans(t) for t in safe.values())
-    assert all(safe[i] == t for i, t in clean.items() if not helpers.base_spans(t))
+    assert all(safe[i] == t for i, t in clean.items() if not helpers.base_spans(t) and not secret.search(t))
     encoder = codec.load(codec.default_path())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert sum(r["length"] for r in packed) == sum(len(codec.ids(encoder, t)) + 1 for t in safe.values())
-    assert len(pii.KINDS) == 5
+    assert pii.KINDS[:4] == list(helpers.BASE)
 
 
 def test_registry():

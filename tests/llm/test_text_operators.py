@@ -1,6 +1,7 @@
 """Words, tokens, packing, edit-aware counts, fingerprints and personal data, against plain restatements."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,52 @@ def test_disclosing_terms(spark):
     assert clean[100] == dict(rows)[100] and "call  at [EMAIL] or" in clean[0]
 
 
+def brute_disclosures(rows):
+    """(doc_id, start, stop) of the terms that the estimate finds, from sets of documents."""
+    texts = [(i, t or "") for i, t in rows]
+    entities, terms, places = {}, {}, {}
+    for n, (_, text) in enumerate(texts):
+        spans = [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in base_spans(text))]
+        spans += [("secret", m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}", text) if len(re.findall("[0-9]+", m[0])) >= 4 and re.search("[A-Za-z]", m[0])]
+        for k, a, z in spans:
+            entities.setdefault((k, text[a:z].lower()), set()).add(n)
+        for m in re.finditer(r"[^\W\d_]+", text):
+            if len(m[0]) >= 3:
+                terms.setdefault(m[0].lower(), set()).add(n)
+                if not any(a < m.end() and m.start() < z for _, a, z in spans):
+                    places.setdefault((n, m[0].lower()), []).append((m.start(), m.end()))
+    out = set()
+    for c in entities.values():
+        ic = math.log2(len(texts) / len(c))
+        for t, held in terms.items():
+            both = [n for n in c & held if (n, t) in places]
+            if len(both) >= 2 and ic >= 4:
+                pmi = ic + math.log2(len(both) / len(held))
+                if pmi >= 0.9 * ic - 1e-9 and pmi >= 4:
+                    out |= {(texts[n][0], a, z) for n in both for a, z in places[n, t]}
+    return out
+
+
+def test_disclosing_terms_by_brute_force(spark, small):
+    """All occurrences in the document count, far from the value too, and so do words of texts that are there twice."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abdeiklmnorst") for _ in range(rng.randint(2, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(rng.randint(5, 80))) for i in range(300)]
+    for k in range(12):
+        value = rng.choice([f"user{k}@x.org", f"10.0.{k}.7", f"+1 (743) 555-38{k:02d}", f"a1b2c3d4e5f6a7b8c9d0e{k}"])
+        for i in rng.sample(range(300), rng.randint(1, 4)):
+            rows[i] = (i, f"Name{chr(97 + k)}s {rows[i][1]} {value} {text(10)} name{chr(97 + k)}s, Éa@b.c")
+    rows += [(400 + i, rows[i][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], s["start"], s["stop"]) for r in pii.spans(df).collect() for s in r["spans"] if s["kind"] == pii.TERM}
+    assert got == brute_disclosures(rows) and len(got) > 30
+    far = spark.createDataFrame([(i, f"Zorblax {'word ' * 700} z@x.org {'word ' * 3000} and zorblax") for i in range(3)] + [(10 + i, "word and more") for i in range(200)], "doc_id long, text string")
+    assert all("orblax" not in r["text"] for r in pii.redact(far).collect())
+    found = {(r["doc_id"], s["start"], s["stop"]) for r in pii.spans(spark.read.parquet(f"{small}/documents.parquet")).collect() for s in r["spans"] if s["kind"] == pii.TERM}
+    assert found == brute_disclosures([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()])
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     for out in (pii.spans(df), pii.redact(df), simhash.fingerprint_documents(df)):
