@@ -12,37 +12,42 @@ from pyspark.sql import functions as F
 from ledgerlark.llm import decontaminate, minhash, packing, pii, quality
 from ledgerlark.llm.common import settle, table
 
-#: A name that no column of the documents has.
-MARK = "_ledger_mark"
+
+def _mark(docs: DataFrame) -> str:
+    """A name that no column of the documents has."""
+    name = "_mark"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Null and empty texts are scored like others."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col=MARK).where(F.col(MARK) >= quality.THRESHOLD).select(*docs.columns)
+    model, mark = quality.train(docs, table(spark, sf_dir, "labels")), _mark(docs)
+    return quality.score(docs, model, out_col=mark).where(F.col(mark) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest doc_id.
 
-    Rows of one doc_id are one document, of which one row stays. Documents without words, and rows without a
-    doc_id, are no copies of anything.
+    Rows of one doc_id are one document; of those with equal texts one row stays, the one with the smallest hash, and
+    those with different texts stay all. Documents without words, and rows without a doc_id, are no copies of anything.
     """
-    found = minhash.near_duplicates(docs, size=5)
+    found, mark = minhash.near_duplicates(docs, size=5), _mark(docs)
     # Written first, so that the joins are planned by true sizes.
-    gone = settle(found.where("not kept").select(F.col("doc_id").alias(MARK)).distinct())
-    again = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(MARK)))
-    left = docs.join(gone, docs["doc_id"] == gone[MARK], "left_anti")
-    if again.isEmpty():
-        return left
-    several = left.join(again, left["doc_id"] == again[MARK], "left_semi")
-    return left.join(again, left["doc_id"] == again[MARK], "left_anti").unionByName(several.dropDuplicates(["doc_id"]))
+    gone = settle(found.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
+    again = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(mark)))
+    left = docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
+    several = left.join(again, left["doc_id"] == again[mark], "left_semi")
+    one = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(mark)).select(f"{mark}.*")
+    return left.join(again, left["doc_id"] == again[mark], "left_anti").unionByName(one)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), out_col=MARK)
-    return found.where(F.size(MARK) == 0).select(*docs.columns)
+    mark = _mark(docs)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), out_col=mark)
+    return found.where(F.size(mark) == 0).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
