@@ -42,6 +42,35 @@ def test_pages_without_an_article(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_pages_by_the_tree(spark):
+    """The same page, with an article: only the other pages of its host decide what of it is its own."""
+    page = "<body><nav>Menu</nav><article class='tag-social comments-open'><h1>A title</h1><p class='lead'>Read us daily</p><p class='notice'>On fog</p><p>Body text of the story</p><div class='comments'><p>First!</p></div></article></body>"
+    other = lambda i, lead, notice: page.replace("A title", f"T{i}").replace("Body text", f"Story {i}").replace("Read us daily", lead).replace("On fog", notice).replace("First!", f"No {i}!")
+    rows = [(i, f"http://same.org/{i}", other(i, "Read us daily", f"Fog {i}")) for i in range(1, 12)] + [(0, "http://same.org/0", page)]
+    rows += [(100 + i, f"http://own.org/{i}", other(i, f"Lead {i}", "On fog")) for i in range(1, 12)] + [(100, "http://own.org/0", page)]
+    rows += [(200 + i, "http://copies.org/x", page) for i in range(40)] + [(300, "http://few.org/x", page)]
+    rows += [(400, "http://form.org", "<body class='comments-open'><form><article><h1>T</h1><p>x y</p></article></form><div class=comments><article>no</article></div></body>")]
+    rows += [(401, "http://parts.org", f"<div class='article-title'><h1>T</h1></div><div class='story'><p>{'body ' * 40}</p></div>"), (402, "http://parts.org", f"<article>T</article><div><p>{'body ' * 40}</p></div>")]
+    got = {r["page_id"]: (r["text"], r["by_tree"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("A title On fog Body text of the story", True)
+    assert got[100] == ("A title Read us daily Body text of the story", False)
+    assert {got[200 + i] for i in range(40)} | {got[300]} == {("A title Read us daily Body text of the story", False)}
+    assert got[400][0] == "T x y" and got[401][0] == got[402][0] == "T " + ("body " * 40).strip()
+
+
+def test_importance_by_brute_force(spark):
+    rng = random.Random(2)
+    pages = [[(node, kind, rng.randint(0, 3 if node else 0)) for node in range(4) for kind in (0, 1) if rng.random() < 0.8] for _ in range(30)]
+    rows = [(p, "h", node, 0, kind, feature) for p, own in enumerate(pages) for node, kind, feature in own]
+    got = {r["node"]: r["importance"] for r in html_extract.importance(spark.createDataFrame(rows, "page long, host string, node long, parent long, kind int, feature long")).collect()}
+    for node in range(4):
+        m, values = sum((node, 0) == x[:2] for own in pages for x in own), []
+        for kind in (0, 1):
+            n = collections.Counter(x[2] for own in pages for x in own if x[:2] == (node, kind)).values()
+            values.append(1 - sum(k * math.log(k) for k in n) / (sum(n) * math.log(m)))
+        assert got[node] == pytest.approx(max(values))
+
+
 def test_quality_on_the_held_out_fold(spark, small):
     folder = small.replace("sf0.001", "sf0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
