@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import discard, settle
 
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+def _least(e: DataFrame) -> DataFrame:
+    """The least neighbour of each node that has a smaller one."""
+    return e.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _large(e: DataFrame, low: DataFrame) -> DataFrame:
+    """Each node's greater neighbours go to the least of it and its neighbours. Centres of stars keep theirs, and low is
+    a written table, so that a centre with very many neighbours can be split in the join."""
+    return e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    """Each node and its smaller neighbours go to the least of these."""
+    low = _least(e)
     moved = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -33,6 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if count == 0 or (count, total) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = (count, total)
-        after = settle(_small(_large(now)))
+        low = settle(_least(now))
+        after = settle(_small(_large(now, low)))
         discard(now)
+        discard(low)
         now = after
