@@ -1,7 +1,7 @@
 """Byte-level BPE: token ids of texts and of single pre-tokens.
 
 The vocabulary file is in the format of the `tokenizers` library; merges are done by `tiktoken`, whose ids
-are the same (tests/llm/test_codec.py) at several times the speed.
+are the same (tests/llm/test_text_operators.py) at several times the speed.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ def load(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     byte_of = _byte_of_char()
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def ids(encoder, text: str) -> np.ndarray:
-    """Token ids of a whole text; strings of special tokens are ordinary text."""
-    return np.asarray(encoder.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+    """Token ids of a whole text; a special token's string is that token, as in the `tokenizers` library."""
+    return np.asarray(encoder.encode_to_numpy(text, allowed_special="all"), dtype="<u4")

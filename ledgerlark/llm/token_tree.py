@@ -1,7 +1,7 @@
 """Edit-aware token counts.
 
 A document's pre-tokens are kept in blocks, and a segment tree holds the sums of characters, pre-tokens and tokens
-below each node. Byte-level BPE merges nothing across pre-tokens, and where a pre-token ends depends on the text from
+below each node. Trees are kept as a table, so that later edits go on from it (`trees`, `edit_trees`). Byte-level BPE merges nothing across pre-tokens, and where a pre-token ends depends on the text from
 its start to two characters beyond its end, so an edit can change only the pre-tokens from the last one that ends at
 least two characters before it up to the first place behind it where the old and the new borders agree. Only those
 are encoded again; the sums above their blocks are updated.
@@ -45,10 +45,16 @@ def token_count(encoder, piece: str) -> int:
 class TokenTree:
     """The token count of a text that is edited."""
 
-    def __init__(self, encoder, text: str):
+    def __init__(self, encoder, text: str, kept: tuple[list[int], list[int]] | None = None):
+        """kept: lengths and tokens of the text's pre-tokens, if they are known already."""
         self.encoder, self.text, self.encoded = encoder, text, 0
-        pieces = [len(p) for p in self._split(PRETOKEN.findall(text))]
-        self._build(pieces, self._last)
+        if kept is None:
+            pieces = [len(p) for p in self._split(PRETOKEN.findall(text))]
+            kept = pieces, self._last
+        self._build(*kept)
+
+    def leaf_values(self) -> tuple[list[int], list[int]]:
+        return [x for a, _ in self.blocks for x in a], [x for _, b in self.blocks for x in b]
 
     def _split(self, pieces: list[str]) -> list[str]:
         encoder = self.encoder
@@ -181,6 +187,47 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, edited_chars long, edited_tokens long, reencoded long")
 
 
+TREES = "doc_id long, text string, lengths array<int>, tokens array<int>, reencoded long"
+
+
+def _trees(rows: DataFrame, tokenizer: str | None) -> DataFrame:
+    """rows: doc_id, text, lengths, tokens (null: to be built) and edits."""
+    path = tokenizer or codec.default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = codec.load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts, lengths, tokens, done = [], [], [], []
+                for text, a, b, edits in zip(*(part.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    tree = TokenTree(encoder, text, None if a is None else (a, b))
+                    before = tree.encoded
+                    for e in edits or ():
+                        if e is not None:
+                            tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                    a, b = tree.leaf_values()
+                    texts.append(tree.text)
+                    lengths.append(a)
+                    tokens.append(b)
+                    done.append(tree.encoded - before)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(lengths, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array(done, pa.int64())], names=["doc_id", "text", "lengths", "tokens", "reencoded"])
+
+    return rows.select("doc_id", "text", "lengths", "tokens", F.col("edits").cast(EDITS)).mapInArrow(run, TREES)
+
+
+def trees(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, and the lengths and token counts of its pre-tokens, the leaves of its tree."""
+    none = F.lit(None)
+    return _trees(keyed_text(docs, id_col, text_col).withColumns({"lengths": none.cast("array<int>"), "tokens": none.cast("array<int>"), "edits": none.cast(EDITS)}), tokenizer)
+
+
+def edit_trees(kept: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The trees after the edits of (doc_id, edits), a row for each doc_id at most; `reencoded` tells how many pre-tokens
+    were encoded. Trees without edits stay as they are; nothing else is encoded again."""
+    return _trees(kept.select("doc_id", "text", "lengths", "tokens").join(edits.select("doc_id", "edits"), "doc_id", "left"), tokenizer)
+
+
 def sample_edits(text: Column) -> Column:
     """Three edits of any text: the second quarter loses up to 40 characters at its start, a line is put in the middle,
     and up to 12 characters before the last quarter are replaced."""

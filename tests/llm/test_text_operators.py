@@ -33,10 +33,9 @@ def test_codec_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(codec.default_path())
-    reference.encode_special_tokens = True
     encoder = codec.load(codec.default_path())
     every = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}!\t{chr(c)} x" for c in range(1, 0x3000)]
-    for text in [t or "" for _, t, _ in ODD if len(t or "") < 1000] + ["<|endoftext|> hi", "  a\n\n b\r\n", "it's's", "a" * 3000, *every]:
+    for text in [t or "" for _, t, _ in ODD if len(t or "") < 1000] + ["<|endoftext|> hi", "a <|endoftext|> b<|endoftext|><|endoftext|>c <|endo", "  a\n\n b\r\n", "it's's", "a" * 3000, *every]:
         assert codec.ids(encoder, text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
@@ -81,6 +80,19 @@ def test_token_tree_is_the_whole_count():
     assert again < total / 4
 
 
+def test_kept_trees(spark):
+    """A second batch of edits goes on from the table of trees and encodes only what it touches."""
+    encoder = codec.load(codec.default_path())
+    docs = [(i, f"{i} words it's " * (i * 40)) for i in range(6)] + [(9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("edits", token_tree.sample_edits(F.coalesce("text", F.lit(""))))
+    first = token_tree.edit_trees(token_tree.trees(df), df.select("doc_id", "edits"))
+    second = token_tree.edit_trees(first, first.select("doc_id", F.expr("array(struct(3L as start, 5L as stop, ' new' as text))").alias("edits")))
+    for r in second.collect():
+        assert sum(r["tokens"]) == len(encoder.encode_ordinary(r["text"])) and sum(r["lengths"]) == len(r["text"])
+        assert r["reencoded"] < 12 and r["text"][3:7] == " new"
+    assert token_tree.edit_trees(first, first.select("doc_id", F.lit(None).cast(token_tree.EDITS).alias("edits"))).where("reencoded > 0").count() == 0
+
+
 def test_token_counts(spark):
     edits = spark.createDataFrame([(1, 1, 0, 3, "a"), (1, 0, 4, 9, "slow"), (6, 0, 100, 105, None)], "doc_id long, seq int, start int, stop int, text string")
     plain = odd(spark).select("doc_id", "text")
