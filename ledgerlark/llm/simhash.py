@@ -24,6 +24,8 @@ HEAVY, SHORT = 3, 3
 BLOCK = 10_000
 #: Rows of one ordered bucket, and how many buckets there are at most (a square, for the two-step lookup).
 BUCKET_ROWS, BUCKETS_SIDE = 4_000, 128
+#: Bits by which near fingerprints differ at most.
+RADIUS = 3
 
 
 def fingerprint_rows(rows: DataFrame, texts: list[str]) -> DataFrame:
@@ -115,24 +117,37 @@ def within_radius(fps: DataFrame, radius: int, blocks: int | None = None, fp_col
     """All pairs of different fingerprints at most radius bits apart, as (fp_a, fp_b, distance) with fp_a < fp_b.
 
     The bits are cut into blocks; each choice of blocks - radius of them is a permuted table whose key those blocks
-    are: two fingerprints within the radius agree on at least one key. Equal fingerprints are one class, so copies
-    are not paired; membership is a join of fps on the fingerprint. Null fingerprints match nothing.
+    are: two fingerprints within the radius agree on at least one key, and come out of the first table of these. Equal
+    fingerprints are one class, so copies are not paired; membership is a join of fps on the fingerprint. Both sides of
+    the join are plain shuffles of a written table, so that Spark splits a crowded key. Null fingerprints match nothing.
     """
-    blocks = blocks or radius + 2
+    blocks = blocks or radius + 3
     if not 0 < radius < blocks <= BITS:
         raise ValueError("0 < radius < blocks <= 64 is needed")
     bounds = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << bounds[i + 1]) - 1) ^ ((1 << bounds[i]) - 1) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    classes = fps.select(F.col(fp_col).cast("long").alias("fp")).where("fp is not null").distinct()
-    keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("tab", "key"))
+    signed = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in masks])
+    classes = settle(fps.select(F.col(fp_col).cast("long").alias("fp")).where("fp is not null").distinct())
+    keyed = classes.select("fp", F.posexplode(F.transform(signed, lambda m: F.col("fp").bitwiseAND(m))).alias("tab", "key"))
     a, b = keyed.withColumnRenamed("fp", "fp_a"), keyed.withColumnRenamed("fp", "fp_b")
-    near = a.join(b, ["tab", "key"]).where("fp_a < fp_b").withColumn("distance", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))).where(F.col("distance") <= radius)
-    return near.select("fp_a", "fp_b", "distance").distinct()
+    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    near = a.join(b, ["tab", "key"]).where("fp_a < fp_b").withColumn("distance", F.bit_count(apart)).where(F.col("distance") <= radius)
+    first = ~F.exists(F.slice(signed, F.lit(1), F.col("tab")), lambda m: apart.bitwiseAND(m) == 0)
+    return near.where(first).select("fp_a", "fp_b", "distance")
+
+
+def neighbours(fps: DataFrame, radius: int, fp_col: str = "fp") -> DataFrame:
+    """fp and n_within, how many rows of fps have a fingerprint at most radius bits from it, its own ones included."""
+    rows = settle(fps.select(F.col(fp_col).cast("long").alias("fp")).where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")))
+    pairs = within_radius(rows, radius)
+    both = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other")).union(pairs.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other")))
+    others = both.join(rows.select(F.col("fp").alias("other"), "n"), "other").select("fp", "n")
+    return others.union(rows.select("fp", "n")).groupBy("fp").agg(F.sum("n").alias("n_within"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how alike they are.
+    """Fingerprints of every document and of its edited text, how alike they are, and how many documents have a
+    fingerprint within RADIUS bits.
 
     Repeated rows come out as often as they are there. A single document is its own next one.
     """
@@ -140,7 +155,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("order"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
     found = settle(fingerprint_rows(rows, ["text", "edited"]))
-    pairs = with_next(found, ["fp_0"])
+    near = settle(neighbours(found, RADIUS, "fp_0"))
+    pairs = with_next(found, ["fp_0"]).join(near, F.col("fp_0") == F.col("fp"))
     return pairs.select(
         "doc_id",
         "n_chars",
@@ -149,4 +165,5 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("fp_1")).alias("edited_fingerprint"),
         likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"),
         likeness(F.col("fp_0"), F.col("next_fp_0")).alias("near_next"),
+        "n_within",
     )

@@ -130,7 +130,8 @@ def test_fingerprints(spark, tmp_path):
         edited = t[: len(t) - half] + following[:half]
         a, b, c = (brute_fingerprint(x) for x in (t, edited, following))
         like = lambda x, y: 1 - (int(x, 16) ^ int(y, 16)).bit_count() / 64
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b), like(a, c)))
+        within = sum((int(a, 16) ^ int(brute_fingerprint(x), 16)).bit_count() <= simhash.RADIUS for _, x in order)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b), like(a, c), within))
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -152,6 +153,8 @@ def test_radius_search(spark):
     df = spark.createDataFrame([(x,) for x in [*signed, *signed[:3], None]], "fp long")
     got = {tuple(r) for r in simhash.within_radius(df, 3).collect()}
     mask = (1 << 64) - 1
+    rows = [*signed, *signed[:3]]
+    assert {tuple(r) for r in simhash.neighbours(df, 3).collect()} == {(a, sum(((a ^ b) & mask).bit_count() <= 3 for b in rows)) for a in signed}
     assert got == {(a, b, ((a ^ b) & mask).bit_count()) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & mask).bit_count() <= 3}
 
 
