@@ -100,13 +100,41 @@ def test_quality_of_odd_rows(spark):
 
 def test_licences(spark):
     notices = {1: ("MIT", "Released under the MIT License."), 2: ("GPL", "This work is licensed under the GNU General Public License, version 2."), 3: ("CC", "Licensed under CC BY-NC 4.0."), 4: ("Apache", "Licensed under the Apache License, Version 2.0.")}
-    rows = [(i, f"Some words.\nof the permission of the day\n{t}\nMore.") for i, (_, t) in notices.items()] + [(10, "He lost his driving license and walked home."), (11, "The terms of the peace were made public."), *[(i, t) for i, t, _ in ODD]]
+    rows = [(i, f"Some words.\n\nof the permission of the day\n \n{t}\n\nMore.") for i, (_, t) in notices.items()] + [(10, "He lost his driving license and walked home."), (11, "The terms of the peace were made public."), *[(i, t) for i, t, _ in ODD]]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("clash"), "line": F.lit("clash")}))
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got.collect() if r["doc_id"] < 5) == [(i, 2, f) for i, (f, _) in notices.items()]
     assert {r["doc_id"] for r in got.collect()} == set(notices)
     assert licenses.scan(odd(spark).where("false")).count() == 0
 
 
+def test_licences_in_long_and_wrapped_paragraphs(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice("the of river house with over a stone was very by green people walked for".split()) for _ in range(n))
+    bsd = "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that the following\n * conditions are met:"
+    rows = [(1, f"{filler(400)} Licensed under CC BY-NC 4.0. {filler(400)}"), (2, f"{filler(30)}\n{bsd}\n{filler(30)}"), (3, filler(2000)), (4, f"{filler(100)} Released under the MIT License. {filler(50)} Licensed under the Apache License, Version 2.0. {filler(20)}")]
+    got = sorted((r["doc_id"], r["family"], r["paragraph"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "CC", 0), (2, "BSD", 0), (4, "Apache", 0), (4, "MIT", 0)]
+
+
+def test_every_confirming_window_is_scored():
+    """Of any share of a template's pairs that confirms it, one has a word that is looked for."""
+    rng, looked = random.Random(3), re.compile(licenses.telling_pattern().replace("(?i)", ""))
+    for _, _, own in licenses.templates():
+        for _ in range(30):
+            some = rng.sample(sorted(own), math.ceil(licenses.CONFIRM * len(own) - 1e-9))
+            assert looked.search(" ".join(some).replace("#", "7")) and set(" ".join(some).split()) & set(licenses.telling_words())
+
+
+def test_licence_probabilities_are_calibrated():
+    names, _, temperature, held = licenses.model()
+    found = [(max(p), p.index(max(p)) == label) for z, label in held for p in [licenses._softmax([x / temperature for x in z])]]
+    assert abs(np.mean([p for p, _ in found]) - np.mean([ok for _, ok in found])) < 0.15
+    sure = [ok for p, ok in found if p >= licenses.CONFIDENT]
+    assert len(sure) > 20 and np.mean(sure) > 0.8
+    unknown = [p.index(max(p)) == len(names) - 1 or max(p) < licenses.CONFIDENT for z, label in held if label == len(names) - 1 for p in [licenses._softmax([x / temperature for x in z])]]
+    assert np.mean(unknown) > 0.9
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
