@@ -7,7 +7,7 @@ training token; a table of a context restaurant is a customer of the parent.
 How it is distributed. Tokens are dealt out by the word they are (the dish), as packed arrays, so that all tables of a
 dish, in every context and in the parent, are in one place. Words that make up a thousandth of some partition are dealt
 out by word and context instead, and their parts meet in sums over at most HOT of them. What restaurants share, the
-numbers of their customers and tables, are arrays of fixed size, added up in a tree over the shards. So there are
+numbers of their customers and tables, are arrays of fixed size, added up over the shards in chunks. So there are
 three passes over one shuffle: counts; Gibbs sampling, which gives the shared sums of each sample; and scoring, where
 each shard repeats its chain from the same seed and adds up its tokens' log probabilities for each document.
 
@@ -43,7 +43,9 @@ LISTED, NODES = 1024, 192
 #: Words dealt out by context too, at most, and the share of a piece that makes one such.
 HOT, HOT_SHARE = 4096, 1000
 #: Tokens of a shard and of one packed piece, about, and shards that one task takes one after the other.
-SHARD_TOKENS, PIECE_TOKENS, GROUP = 1_000_000, 1_000_000, 6
+SHARD_TOKENS, PIECE_TOKENS, GROUP = 1_000_000, 1_000_000, 4
+#: Values of a chunk of the shared sums.
+CHUNK = 512
 PIECE_DOCS = 60_000
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -160,23 +162,26 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 def _deal(rows: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     """shard, piece and blob, dealt out by groups of shards; a blob that begins with D has the piece's rows: doc_ids,
-    held-out flags and token numbers."""
+    held-out flags and token numbers. A piece's held-out rows are its last ones, so that one number in each of its other
+    blobs, which begin with T, tells them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_id = TaskContext.get().partitionId() << 24
         for piece in _pieces(batches):
-            word, context, row = _in_slices(piece)
             held = piece.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            order = np.argsort(held, kind="stable")
+            piece, held = piece.take(pa.array(order)), held[order]
+            word, context, row = _in_slices(piece)
             ids = piece.column(0)
             n = np.bincount(row, minlength=piece.num_rows)
             about = b"".join([np.uint32(piece.num_rows).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8).tobytes(), held.tobytes(), n.astype(np.int64).tobytes()])
-            flags = np.packbits(held).tobytes()
-            head = b"T" + np.uint32(len(flags)).tobytes() + flags
-            out = [(piece_id % shards, b"D" + about)] + [(s, head + blob) for s, blob in _pack(word, context, row, hot, shards)]
+            head = b"T" + np.uint32(len(held) - held.sum()).tobytes()
+            place = int(bytetext.mix(np.array([piece_id], np.uint64))[0]) % shards
+            out = [(place, b"D" + about)] + [(s, head + blob) for s, blob in _pack(word, context, row, hot, shards)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([piece_id] * len(out), pa.int64()), pa.array([b for _, b in out], pa.large_binary())], names=["shard", "piece", "blob"])
             piece_id += 1
 
-    return rows.mapInArrow(run, "shard long, piece long, blob binary").repartition(-(-shards // GROUP), F.floor(F.col("shard") / GROUP))
+    return rows.mapInArrow(run, "shard long, piece long, blob binary").repartitionById(-(-shards // GROUP), F.floor(F.col("shard") / GROUP).cast("int"))
 
 
 class Shard:
@@ -186,13 +191,12 @@ class Shard:
         self.number = number
         words, contexts, trained, tokens, self.where = [], [], [], [], []
         for piece, blob in blobs:
-            size = int(np.frombuffer(blob, np.uint32, 1, 1)[0])
-            held = np.unpackbits(np.frombuffer(blob, np.uint8, size, 5)).astype(bool)
-            word, context, per_pair, doc = _unpack(blob[5 + size :])
+            train_rows = int(np.frombuffer(blob, np.uint32, 1, 1)[0])
+            word, context, per_pair, doc = _unpack(blob[5:])
             pair = np.repeat(np.arange(len(word)), per_pair)
             words.append(word)
             contexts.append(context)
-            trained.append(np.bincount(pair[~held[doc]], minlength=len(word)))
+            trained.append(np.bincount(pair[doc < train_rows], minlength=len(word)))
             tokens.append(per_pair)
             self.where.append((piece, doc))
         word, context, trained = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((words, np.uint64), (contexts, np.uint16), (trained, np.int64)))
@@ -347,17 +351,21 @@ def _shards(part) -> Iterator[tuple[Shard, list[tuple[int, bytes]]]]:
 
 
 def _added(rdd, make) -> dict[str, np.ndarray]:
-    """The sum over all shards of make(shard), arrays of fixed size, in a tree."""
+    """The sum over all shards of make(shard), arrays of fixed size, added up in chunks of their last axis."""
 
     def local(part):
         total = None
         for shard, _ in _shards(part):
             one = make(shard)
             total = one if total is None else {k: total[k] + v for k, v in one.items()}
-        if total is not None:
-            yield total
+        for name, values in (total or {}).items():
+            for at in range(0, max(values.shape[-1], 1), CHUNK):
+                yield (name, at), values[..., at : at + CHUNK]
 
-    return rdd.mapPartitions(local).treeReduce(lambda a, b: {k: a[k] + b[k] for k in a}, depth=2)
+    found: dict[str, list] = {}
+    for (name, at), values in rdd.mapPartitions(local).reduceByKey(lambda a, b: a + b).collect():  # arrays of fixed size
+        found.setdefault(name, []).append((at, values))
+    return {name: np.concatenate([v for _, v in sorted(parts, key=lambda x: x[0])], axis=-1) for name, parts in found.items()}
 
 
 def _by_hot(shard: Shard, hot: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -454,7 +462,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
             doc, *values = (np.concatenate(x) for x in zip(*found, strict=True))
             rows = np.flatnonzero(np.bincount(doc))
             base, model, seen = (np.bincount(doc, v)[rows] for v in values)
-            yield piece, b"S" + np.uint32(len(rows)).tobytes() + rows.astype(np.uint16).tobytes() + base.tobytes() + model.astype(np.float32).tobytes() + seen.astype(np.uint32).tobytes()
+            yield piece, b"S" + np.uint32(len(rows)).tobytes() + rows.astype(np.uint16).tobytes() + base.tobytes() + model.tobytes() + seen.astype(np.uint32).tobytes()
 
     def documents(part):
         held: dict[int, list] = {}
@@ -471,8 +479,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
                 m = int(np.frombuffer(blob, np.uint32, 1, 1)[0])
                 row = np.frombuffer(blob, np.uint16, m, 5)
                 base[row] += np.frombuffer(blob, np.float64, m, 5 + 2 * m)
-                model[row] += np.frombuffer(blob, np.float32, m, 5 + 10 * m)
-                seen[row] += np.frombuffer(blob, np.uint32, m, 5 + 14 * m)
+                model[row] += np.frombuffer(blob, np.float64, m, 5 + 10 * m)
+                seen[row] += np.frombuffer(blob, np.uint32, m, 5 + 18 * m)
             base -= tokens * below
             for i in range(n):
                 yield None if null[i] else int(ids[i]), bool(out[i]), int(tokens[i]), int(seen[i]), train_tokens, float(base[i]), float(model[i])

@@ -289,8 +289,7 @@ def test_language_model_adds_up_to_one():
     texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(100)]
     word, context, row = pitman_yor._tokens(pa.array(texts))
     hot = np.zeros(0, np.uint64)
-    flags = np.packbits(np.zeros(len(texts), np.uint8)).tobytes()
-    head = b"T" + np.uint32(len(flags)).tobytes() + flags
+    head = b"T" + np.uint32(len(texts)).tobytes()
     shard = pitman_yor.Shard(0, [(0, head + b) for _, b in pitman_yor._pack(word, context, row.astype(np.uint16), hot, 1)])
     counts = pitman_yor._count(shard, hot)
     counts["vocabulary"] = int(counts["words"][0])
@@ -322,7 +321,7 @@ def test_language_model_seats_all_customers():
         return (t * chance).sum() / chance.sum()
 
     word, context, row = pitman_yor._tokens(pa.array([" ".join(["a"] * 3001 + ["b"])]))
-    hot, head = np.zeros(0, np.uint64), b"T" + np.uint32(1).tobytes() + b"\0"
+    hot, head = np.zeros(0, np.uint64), b"T" + np.uint32(1).tobytes()
     blobs = [(0, head + b) for _, b in pitman_yor._pack(word, context, row.astype(np.uint16), hot, 1)]
     states = []
     for number in range(60):
