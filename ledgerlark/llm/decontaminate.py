@@ -13,7 +13,9 @@
 4. Candidates are confirmed by the longest common subsequence with the item, weighted by inverse document frequency,
    and, for paraphrases, by whether the item's answer (its last sentence) is in the document too.
 
-The benchmark is the query set. It is taken in blocks of bounded size, each compared with all documents.
+The benchmark is the query set. It is taken in blocks of bounded size, and as many groups of its passages as fit into
+PASS_BYTES are compared with all documents in one pass. Items of a few words are searched in short windows too, of which
+they can be a large enough part; items of very many words are several, with one answer and one hit.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from ledgerlark.llm.common import keyed_text, table
 DIM_BITS = 17
 #: Words of a passage and of a window, and the steps between them.
 PASSAGE, PASSAGE_STEP, WINDOW, WINDOW_STEP = 24, 12, 24, 6
+#: Items of fewer words than SHORT are searched in windows of SHORT_WINDOW words too.
+SHORT, SHORT_WINDOW, SHORT_STEP = 10, 6, 1
 #: Passages that share a latent space, at most; it has as few dimensions as leave every passage this share of its
 #: squared length. SPARE, POWERS: spare columns of the random range, and its power iterations.
 SPACE, ENERGY, SPARE, POWERS = 1024, 0.9, 16, 1
@@ -45,6 +49,8 @@ COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.4, 0.7, 0.5, 0.8
 FREQUENT, LISTED, SLACK = 4.0, 0.03, 1e-4
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of the groups that are searched in one pass over the documents; one group alone may have more.
+PASS_BYTES = 128 << 20
 SLICE = 192
 HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double,first_word:bigint>>"
 
@@ -96,7 +102,7 @@ class Index:
     list begins, then the passages in which it has a value and these values, rare words only, and the passages being
     those of latent carried back to words; frequent, small: the norms of their frequent and of their unlisted rare
     words; item: the place of each passage's item; items: place -> hashes of its words and of its
-    answer; ids: of the items."""
+    answer; ids: of the items; parts: whether each is a part of an item."""
 
     idf: np.ndarray
     slot: np.ndarray
@@ -109,6 +115,12 @@ class Index:
     item: np.ndarray
     items: list[tuple[np.ndarray, np.ndarray]]
     ids: list[int]
+    parts: list[bool]
+
+    @property
+    def size(self) -> int:
+        """Bytes of its arrays."""
+        return self.basis.nbytes + self.latent.nbytes + self.idf.nbytes + self.slot.nbytes + sum(x.nbytes for x in self.lists)
 
 
 def _passages(n: int) -> list[tuple[int, int]]:
@@ -185,29 +197,40 @@ def latent_basis(rows: DataFrame, own: np.ndarray, slot: np.ndarray, idf: np.nda
     return (basis @ vectors[:, keep]).astype(np.float32)
 
 
-def spaces(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    """The items in groups of at most SPACE passages; an item with more is a group by itself."""
-    out: list[list[tuple[int, str]]] = [[]]
+def spaces(items: list[tuple[int, str]]) -> list[list[tuple[int, str, str, bool]]]:
+    """The items, each with its answer and whether it is a part of one, in groups of at most SPACE passages; an item with more passages is cut into
+    overlapping parts."""
+    most = (SPACE - 1) * PASSAGE_STEP
+    parts: list[tuple[int, str, str, bool]] = []
+    for i, text in items:
+        words = list(re.finditer(r"[^\W_]+", text)) if len(text) > most else []
+        if len(words) > most:
+            for at in range(0, len(words) - PASSAGE, most - PASSAGE):
+                own = words[at : at + most]
+                parts.append((i, text[own[0].start() : own[-1].end()], _answer(text), True))
+        else:
+            parts.append((i, text, _answer(text), False))
+    out: list[list[tuple[int, str, str, bool]]] = [[]]
     held = 0
-    for (i, text), w in zip(items, _hashes([t for _, t in items]), strict=True):
+    for part, w in zip(parts, _hashes([x[1] for x in parts]), strict=True):
         more = len(_passages(len(w)))
         if out[-1] and held + more > SPACE:
             out.append([])
             held = 0
-        out[-1].append((i, text))
+        out[-1].append(part)
         held += more
     return out
 
 
-def build(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray) -> Index | None:
-    """The index of one group of items; None if none of them has a word."""
-    words = _hashes([t for _, t in items])
-    kept = [(i, t, w) for (i, t), w in zip(items, words, strict=True) if len(w)]
+def build(spark: SparkSession, items: list[tuple], idf: np.ndarray) -> Index | None:
+    """The index of one group of items (id and text, or what spaces() gives); None if none has a word."""
+    words = _hashes([x[1] for x in items])
+    kept = [(x[0], x[2] if len(x) > 2 else _answer(x[1]), w, len(x) > 2 and x[3]) for x, w in zip(items, words, strict=True) if len(w)]
     if not kept:
         return None
-    answers = _hashes([_answer(t) for _, t, _ in kept])
-    parts = [(k, w[a:b]) for k, (_, _, w) in enumerate(kept) for a, b in _passages(len(w))]
-    own = np.unique(np.concatenate([w for _, _, w in kept]))  # in the order of their buckets, the hashes' first bits
+    answers = _hashes([x[1] for x in kept])
+    parts = [(k, w[a:b]) for k, (_, _, w, _) in enumerate(kept) for a, b in _passages(len(w))]
+    own = np.unique(np.concatenate([x[2] for x in kept]))  # in the order of their buckets, the hashes' first bits
     slot = np.full(1 << DIM_BITS, -1, np.int32)
     slot[buckets(own)[::-1]] = np.arange(len(own))[::-1]
     rows = spark.createDataFrame([(bytearray(p.tobytes()),) for _, p in parts], "words binary").repartition(max(1, min(8, len(parts) // 2000)))
@@ -227,7 +250,7 @@ def build(spark: SparkSession, items: list[tuple[int, str]], idf: np.ndarray) ->
     lists = (np.searchsorted(word, np.arange(len(own) + 1)), passage, vectors[passage, word].astype(np.float64))
     vectors[passage, word] = 0
     small = np.linalg.norm(vectors, axis=1).astype(np.float64)
-    return Index(idf, slot, own, frequent, small, lists, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(w, a) for (_, _, w), a in zip(kept, answers, strict=True)], [i for i, _, _ in kept])
+    return Index(idf, slot, own, frequent, small, lists, basis, latent.astype(np.float32), np.array([k for k, _ in parts]), [(x[2], a) for x, a in zip(kept, answers, strict=True)], [x[0] for x in kept], [x[3] for x in kept])
 
 
 def weighted_lcs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -256,10 +279,17 @@ def _confirm(index: Index, words: np.ndarray, item: int, at: int) -> tuple[float
 
 
 def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
+    found: list[list[dict]] = [[] for _ in range(len(w.doc) - 1)]
+    if len(w.hash):
+        _in_windows(index, w, WINDOW, WINDOW_STEP, found)
+        if min(len(own) for own, _ in index.items) < SHORT:
+            _in_windows(index, w, SHORT_WINDOW, SHORT_STEP, found)
+    return found
+
+
+def _in_windows(index: Index, w: bytetext.Words, window: int, step: int, found: list[list[dict]]) -> None:
+    """Adds to found what windows of so many words find, but items that it has already."""
     n = len(w.doc) - 1
-    found: list[list[dict]] = [[] for _ in range(n)]
-    if not len(w.hash):
-        return found
     b = buckets(w.hash)
     weight = index.idf[b].astype(np.float64)
     place = _places(index.own, index.slot, w.hash)
@@ -267,11 +297,11 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
     ours, often = place >= 0, weight < FREQUENT
     all_mass, rare_mass, often_mass = (np.concatenate([[0], np.cumsum(v)]) for v in (sq, np.where(ours & ~often, sq, 0), np.where(ours & often, sq, 0)))
     counts = np.diff(w.doc)
-    per = np.where(counts > 0, 1 + (np.maximum(counts - WINDOW, 0) + WINDOW_STEP - 1) // WINDOW_STEP, 0)
+    per = np.where(counts > 0, 1 + (np.maximum(counts - window, 0) + step - 1) // step, 0)
     doc = np.repeat(np.arange(n), per)
-    start = w.doc[doc] + (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)) * WINDOW_STEP
-    start = np.maximum(np.minimum(start, w.doc[doc + 1] - WINDOW), w.doc[doc])
-    stop = np.minimum(start + WINDOW, w.doc[doc + 1])
+    start = w.doc[doc] + (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)) * step
+    start = np.maximum(np.minimum(start, w.doc[doc + 1] - window), w.doc[doc])
+    stop = np.minimum(start + window, w.doc[doc + 1])
     mass = lambda sums: np.maximum(sums[stop] - sums[start], 0)
     squared, rare, common = mass(all_mass), mass(rare_mass), mass(often_mass)
     most, most_small = index.frequent.max(), index.small.max()
@@ -318,7 +348,6 @@ def _search(index: Index, w: bytetext.Words) -> list[list[dict]]:
             lcs, answer = _confirm(index, w.hash[w.doc[d] : w.doc[d + 1]], item, int(start[win] - w.doc[d]))
             if lcs >= LCS or (lcs >= LCS_WITH_ANSWER and answer >= ANSWER):
                 found[d].append({"_k": item, "item_id": index.ids[item], "cosine": float(cosine[i, j]), "lcs": lcs, "answer": answer, "first_word": int(start[win] - w.doc[d])})
-    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out_col: str = "hits") -> DataFrame:
@@ -336,25 +365,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = N
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     names = [f"c{i}" for i in range(len(columns))]
     out = docs.select(*[F.col(c).alias(x) for c, x in zip(columns, names, strict=True)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("searched"), F.array().cast(HITS).alias("hits"))
+    indexes: list[Index] = []
     for block in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()  # about BLOCK_BYTES of text
         for group in spaces(sorted((r["item_id"], r["text"]) for r in some)):
             index = build(spark, group, idf)
             if index is not None:
-                out = _with_hits(out, index)
+                if indexes and sum(x.size for x in indexes) + index.size > PASS_BYTES:
+                    out, indexes = _with_hits(out, indexes), []
+                indexes.append(index)
+    if indexes:
+        out = _with_hits(out, indexes)
     return out.select(*[F.col(x).alias(c) for c, x in zip(columns, names, strict=True)], F.col("hits").alias(out_col))
 
 
-def _with_hits(rows: DataFrame, index: Index) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # bounded by SPACE and the words of its passages
+def _with_hits(rows: DataFrame, indexes: list[Index]) -> DataFrame:
+    """rows with the hits of these groups added; the texts are cut into words once. Parts of one item give one hit."""
+    shared = rows.sparkSession.sparkContext.broadcast(indexes)  # bounded by PASS_BYTES, or by SPACE and the words of its passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = _search(shared.value, _words(part.column(part.num_columns - 2)))
-                before = part.column(part.num_columns - 1).to_pylist()
-                hits = [[*old, *({k: v for k, v in x.items() if k != "_k"} for x in new)] for old, new in zip(before, found, strict=True)]
+                words = _words(part.column(part.num_columns - 2))
+                hits = part.column(part.num_columns - 1).to_pylist()
+                for index in shared.value:
+                    for old, new in zip(hits, _search(index, words), strict=True):
+                        for x in new:
+                            if not (index.parts[x["_k"]] and any(y["item_id"] == x["item_id"] for y in old)):
+                                old.append({k: v for k, v in x.items() if k != "_k"})
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hits, part.schema.field(part.num_columns - 1).type)], names=part.schema.names)
 
     return rows.mapInArrow(run, rows.schema)

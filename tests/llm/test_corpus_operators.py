@@ -245,7 +245,27 @@ def test_benchmark_search_skips_no_window(spark):
 def test_groups_of_items():
     items = [(i, "a b c d e f g h " * 30) for i in range(200)]
     groups = decontaminate.spaces(items)
-    assert len(groups) > 1 and [i for g in groups for i, _ in g] == list(range(200))
+    assert len(groups) > 1 and [i for g in groups for i, *_ in g] == list(range(200))
+    long = decontaminate.spaces([(1, " ".join(f"w{k}" for k in range(30_000)) + ". the answer")])
+    assert len(long) == 3 and {(i, a, cut) for g in long for i, _, a, cut in g} == {(1, "the answer", True)}
+    words = [w for g in long for _, t, *_ in g for w in t.replace(".", "").split()]
+    assert set(words) >= {f"w{k}" for k in range(30_000)} | {"answer"}
+
+
+def test_short_and_long_items(spark, monkeypatch):
+    """Items of three words, and one of more passages than a group holds, each found once, in groups that share a pass."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(3, 7)))
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    monkeypatch.setattr(decontaminate, "SPACE", 64)
+    book = sentence(900)
+    items = [(1, "zebra quartz violin"), (2, "Who wrote Kalevala"), (3, book), (4, sentence(20))]
+    docs = [(i, sentence(100)) for i in range(60)]
+    docs[3] = (3, sentence(50) + " zebra, quartz VIOLIN " + sentence(50))
+    docs[5] = (5, sentence(50) + " who wrote kalevala? " + sentence(40) + " " + items[3][1])
+    docs[7] = (7, " ".join(book.split()[300:380]) + " " + " ".join(book.split()[820:880]))
+    got = [(r["doc_id"], h["item_id"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() for h in r["hits"]]
+    assert sorted(got) == [(3, 1), (5, 2), (5, 4), (7, 3)]
 
 
 def test_weighted_lcs():
