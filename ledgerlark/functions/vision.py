@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -41,3 +43,37 @@ def sharpness(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd
 
 def is_blurred(image: Column) -> Column:
     return sharpness(image["height"], image["width"], image["nChannels"], image["data"]) < BLURRED
+
+
+def widen(image: np.ndarray, width: int) -> np.ndarray:
+    """The image in another width, its height in proportion, by the nearest pixels."""
+    h, w = image.shape[:2]
+    height = max(1, int(h * width / w))
+    return image[np.arange(height) * h // height][:, np.arange(width) * w // width]
+
+
+def stack(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one below the other, all in the width of the widest one."""
+    width = max(p.shape[1] for p in parts)
+    return np.concatenate([p if p.shape[1] == width else widen(p, width) for p in parts])
+
+
+def regions(images: DataFrame, wanted: list[tuple[float, float, float, float]] = REGIONS) -> DataFrame:
+    """Rows (key, height, width, nChannels, data) with each image replaced by its regions, stacked; an image without
+    pixels stays as it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, h, w, c, raw in batch[["key", "height", "width", "nChannels", "data"]].itertuples(index=False):
+                if raw is not None and h and w and len(raw) == h * w * c:
+                    image = np.frombuffer(raw, np.uint8).reshape(int(h), int(w), int(c))
+                    cut = [p for p in (crop(image, r) for r in wanted) if p.size]
+                    if cut:
+                        image = stack(cut)
+                        h, w, raw = *image.shape[:2], image.tobytes()
+                out.append((key, h, w, c, raw))
+            yield pd.DataFrame(out, columns=["key", "height", "width", "nChannels", "data"])
+
+    rows = images.select("key", "height", "width", "nChannels", "data")
+    return rows.mapInPandas(run, rows.schema)

@@ -53,9 +53,59 @@ def expected_counts(actual: DataFrame, expected: DataFrame, key: str) -> DataFra
     return expected.join(n, key, "left").select(key, "want", F.coalesce("n", F.lit(0)).alias("n")).withColumn("passed", F.col("n") == F.col("want"))
 
 
-def coverage() -> Column:
-    """complete, short, over or missing, of a row of expected_counts."""
-    return F.when(F.col("n") == 0, "missing").when(F.col("n") < F.col("want"), "short").when(F.col("n") > F.col("want"), "over").otherwise("complete")
+def coverage(states: DataFrame, rows: DataFrame, key: str, not_current: dict[str, str], missing: dict[str, int], without: set[str]) -> DataFrame:
+    """Every state's code with how many rows it has and a status: verified, unresolved (by its version, or as many are
+    expected), n/a if it has none by law, unexpected if nothing explains that there are none."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    code = F.col(key)
+    one_of = lambda values: code.isin(*values) if values else F.lit(False)
+    text = lambda pairs, make: reduce(lambda done, kv: F.when(code == kv[0], F.lit(make(kv[1]))).otherwise(done), pairs.items(), F.lit(None).cast("string"))
+    has = F.coalesce("n", F.lit(0)) > 0
+    status = (
+        F.when(has & one_of(not_current), text(not_current, lambda tag: f"UNRESOLVED ({tag})")).when(has, F.lit("VERIFIED"))
+        .when(one_of(missing), text(missing, lambda want: f"UNRESOLVED ({want} expected)")).when(one_of(without), F.lit("N/A")).otherwise(F.lit("UNEXPECTED"))
+    )
+    return states.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+
+
+def outside(df: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows whose value is not between low and high; null is no value."""
+    return df.where(~F.col(column).between(low, high))
+
+
+def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and n, how many rows have no value in it, for each of the columns, 0 too; one pass."""
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns])).alias("s")).select("s.*")
+
+
+def missing_targets(aliases: DataFrame, reference: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Aliases whose target is not in the reference; keys: column of aliases -> column of reference."""
+    return aliases.join(reference.select(*[F.col(r).alias(a) for a, r in keys.items()]), list(keys), "left_anti").select(*aliases.columns)
+
+
+def partition(df: DataFrame, column: str, excluded: list) -> tuple[DataFrame, DataFrame]:
+    """Rows that stay and rows that the list excludes; a null is excluded by nothing."""
+    out = F.coalesce(F.col(column).isin(*excluded), F.lit(False)) if excluded else F.lit(False)
+    return df.where(~out), df.where(out)
+
+
+def counters(df: DataFrame, columns: list[str]) -> DataFrame:
+    """counter, value (as text) and n, for each value of each of the columns; one pass."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s")).select("s.*")
+    return each.groupBy("counter", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_counts(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """One row: rows, blank ones (null, empty or white space), and those that match the pattern."""
+    c = F.col(column)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias("n_blank"), F.count_if(c.rlike(pattern)).alias("n_matching"))
+
+
+def distinct_pairs(df: DataFrame, columns: list[str], condition: Column) -> DataFrame:
+    """One row: distinct values of the columns together, and those of the rows that meet the condition."""
+    pair = F.struct(*columns)
+    return df.agg(F.countDistinct(pair).alias("n_all"), F.countDistinct(F.when(condition, pair)).alias("n_meeting"))
 
 
 def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -111,3 +161,12 @@ def enforce(checks: list[DataFrame]) -> DataFrame:
     if failed:
         raise EngineError("GATE_FAILED", "; ".join(f"{r['check']}: got {r['got']}, want {r['want']}" for r in failed))
     return table
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, item and value (as text): a table of each section's first column as item and its others as one text."""
+    parts = []
+    for name, df in sections.items():
+        item, *values = [F.col(c).cast("string") for c in df.columns]
+        parts.append(df.select(F.lit(name).alias("section"), F.coalesce(item, F.lit("")).alias("item"), F.concat_ws(", ", *values).alias("value")))
+    return reduce(DataFrame.union, parts)

@@ -48,11 +48,25 @@ def constituencies(table: DataFrame, state_table: DataFrame, district_table: Dat
         if value is not None:
             table = table.where(F.col(column) == value)
     found = table.where(_matches(["constituency", "constituency_hindi"], None, search))
-    joined = found.join(state_table.select("state_id", "state_code", "state_name_en"), "state_id", "left").join(district_table.select("district_id", "district_name_en", "district_name_hi"), "district_id", "left")
-    columns = [F.col(c) for c in ("id", "ac_number", "constituency", "constituency_hindi", "district_id", "district_name_en", "state_id", "state_code", "state_name_en", "lgd_district_code")]
+    joined = found.join(state_table.select("state_id", "state_code"), "state_id", "left").join(district_table.select("district_id", "district_name_en"), "district_id", "left")
+    columns = [F.col(c) for c in ("id", "ac_number", "constituency", "constituency_hindi", "state_id", "state_code", "district_id", "lgd_district_code", "district", "district_name_en")]
     return joined.select(*columns, F.lit(None).cast("string").alias("reservation")).orderBy("ac_number", "id")
 
 
+def candidates(rows: DataFrame, state_table: DataFrame, district_table: DataFrame) -> DataFrame:
+    """Rows of the constituency table with what a choice between them needs: the names and codes of all three levels."""
+    s = state_table.select("state_id", "state_code", "state_name_en")
+    d = district_table.select("district_id", "district_name_en", "district_name_hi")
+    columns = ("id", "state_id", "state_code", "state_name_en", "ac_number", "constituency", "constituency_hindi", "district_id", "district_name_en", "district_name_hi", "lgd_district_code")
+    return rows.join(s, "state_id", "left").join(d, "district_id", "left").select(*columns)
+
+
+def brief() -> Column:
+    """The struct of a row of candidates() that an answer shows."""
+    names = {"constituency_id": "id", "state_code": "state_code", "state_name_en": "state_name_en", "ac_number": "ac_number", "constituency": "constituency", "constituency_hindi": "constituency_hindi", "district_lgd_code": "lgd_district_code", "district_name_en": "district_name_en"}
+    return F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+
+
 def bundle(levels: dict[str, DataFrame]) -> DataFrame:
     """level and rows of each level, as one table."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("level"), "rows") for name, df in levels.items()]

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlark.functions.text import plain_punctuation, reservation, without_reservation
+
 TOLERANCE = 2.0
 #: Where the column of extents begins between the left edges of names and extents.
 BOUNDARY = 0.62
@@ -50,48 +52,130 @@ def boundary(name_left: float, extent_left: float) -> float:
     return name_left + BOUNDARY * (extent_left - name_left)
 
 
-def page_range(lines: DataFrame, first: str, last: str) -> DataFrame:
-    """Per section, the pages from the first line that matches `first` to the one before the first that matches `last`."""
-    start = F.min(F.when(F.col("text").rlike(first), F.col("page")))
-    stop = F.min(F.when(F.col("text").rlike(last), F.col("page")))
-    return lines.groupBy("section").agg(start.alias("first_page"), (stop - 1).alias("last_page"))
+#: How the lines of an order of delimitation read.
+_DASH = "[-\u2013\u2014]"
+SECTION = rf"(?i)^\s*SCHEDULE\s*{_DASH}?\s*[IVX]+\s*$"
+ANNEXURE, ANNEXURE_NAME = rf"(?i)^\s*ANNEXURE\s*{_DASH}?\s*I\s*$", "JAMMU AND KASHMIR"
+PART_A = rf"(?i)(?:PART|TABLE)\s*{_DASH}?\s*A\s*{_DASH}?\s*ASSEMBLY\s+CONSTITUENC"
+PART_A_OF_ANNEXURE = r"(?i)^\s*ASSEMBLY\s+CONSTITUENCIES\s*&\s*THEIR\s+EXTENT\s*$"
+PART_B = rf"(?i)(?:PART|TABLE)\s*{_DASH}?\s*B\s*{_DASH}?\s*PARLIAMENTARY|^\s*(?:ANNEXURE\s*{_DASH}?\s*A|APPENDIX)\s*$"
+STOP = r"(?i)^\s*(?:NOTE\s*\.|Abbreviations?\s*[:-]|The above Order)"
+SKIPPED = r"(?i)Sl\.?\s*No\.?\s*&\s*Name|^\s*NOTE\s*[:-]|^\d{1,4}$"
+DISTRICT = rf"(?i)^\s*(?:\d+\s*{_DASH}?\s*)?DISTRICT\s*[:\u2013\u2014-]\s*([^,;]{{2,60}}?)\s*$"
+NUMBERED = "^\\s*(\\d{1,3})\\s*(?:[-\u2010-\u2015:.]\\s*)?(.*)$"
+#: Lines of a page that can be a section's heading, and the least distance between the two columns.
+HEAD_LINES, COLUMN_GAP = 8, 40
 
 
-def column_edge(lines: DataFrame) -> DataFrame:
-    """Per section, the most common x of second columns (of several the least) and the least x of names."""
-    x = lines.select("section", F.explode("frags").alias("f")).select("section", "f.x")
-    n = x.groupBy("section", "x").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("section").agg(F.min("x").alias("name_left"), F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"].alias("extent_left"))
+def with_text(lines: DataFrame) -> DataFrame:
+    """lines with `text`: its fragments as one text in plain punctuation."""
+    return lines.withColumn("text", plain_punctuation(F.array_join(F.transform("frags", lambda f: f["text"]), " ")))
+
+
+def in_sections(lines: DataFrame) -> DataFrame:
+    """Lines (doc, page, line, frags, text) with section (the page where it starts), name and annexure.
+
+    A heading among the first lines of a page begins a section there; its name is the next line of the page that is not
+    empty, if that is no heading of a part. A section goes on to the page before the next one's; lines before the first
+    are left out. Of two headings on a page the later counts.
+    """
+    kind = F.when(F.col("text").rlike(SECTION), F.lit("schedule")).when(F.col("text").rlike(ANNEXURE), F.lit("annexure"))
+    marks = lines.where(F.col("line") < HEAD_LINES).select("doc", "page", F.col("line").alias("at"), kind.alias("kind")).where("kind is not null")
+    marks = marks.groupBy("doc", "page").agg(F.max(F.struct("at", "kind")).alias("mark"))
+    after = lines.join(marks, ["doc", "page"]).where((F.col("line") > F.col("mark.at")) & (F.col("text") != ""))
+    following = after.groupBy("doc", "page").agg(F.min(F.struct("line", "text"))["text"].alias("following"))
+    named = F.when(F.col("mark.kind") == "annexure", F.lit(ANNEXURE_NAME)).when(~F.col("following").rlike(PART_A) & ~F.contains(F.upper("following"), F.lit("PARLIAMENT")), F.upper("following"))
+    starts = marks.join(following, ["doc", "page"], "left").select("doc", "page", F.struct(F.col("page").alias("section"), named.alias("name"), (F.col("mark.kind") == "annexure").alias("annexure")).alias("s"))
+    pages = lines.select("doc", "page").distinct().join(starts, ["doc", "page"], "left")
+    so_far = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pages.withColumn("s", F.last("s", ignorenulls=True).over(so_far)).where("s is not null").select("doc", "page", "s.*")
+    return lines.join(placed, ["doc", "page"])
+
+
+def in_part_a(lines: DataFrame) -> DataFrame:
+    """The lines of in_sections() from the page of part A's heading up to the line of part B's, or to the section's end."""
+    place = F.struct("page", "line")
+    opens = F.col("text").rlike(PART_A) | (F.col("annexure") & F.col("text").rlike(PART_A_OF_ANNEXURE))
+    first = lines.where(opens).groupBy("doc", "section").agg(F.min(place).alias("first"))
+    inside = lines.join(first, ["doc", "section"])
+    last = inside.where((place > F.col("first")) & F.col("text").rlike(PART_B)).groupBy("doc", "section").agg(F.min(place).alias("last"))
+    kept = inside.join(last, ["doc", "section"], "left").where((F.col("page") >= F.col("first.page")) & (F.col("last").isNull() | (place < F.col("last"))))
+    stops = kept.where(F.col("text").rlike(STOP)).groupBy("doc", "section", "page").agg(F.min("line").alias("stop"))
+    return kept.join(stops, ["doc", "section", "page"], "left").where("stop is null or line < stop").select(*lines.columns)
 
 
-_ROW = re.compile(r"^\s*(\d{1,3})\s*[-.)]?\s*(.*)$", re.S)
+def column_edge(lines: DataFrame) -> DataFrame:
+    """doc, section, name_left, extent_left and edge, from the numbered lines whose second fragment stands apart: the least
+    x of the first fragments, the most common x of the second ones (of several the first to come), and the place between."""
+    f = [F.get("frags", F.lit(i)) for i in (0, 1)]
+    begin = plain_punctuation(f[0]["text"])
+    own = lines.where((F.size("frags") > 1) & begin.rlike(NUMBERED) & ~begin.rlike(DISTRICT) & (F.length(begin) < 60))
+    apart = own.select("doc", "section", "page", "line", f[0]["x"].alias("x0"), f[1]["x"].alias("x1")).where(F.col("x1") - F.col("x0") > COLUMN_GAP)
+    each = apart.groupBy("doc", "section", "x1").agg(F.min("x0").alias("x0"), F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "line")).alias("at"))
+    found = each.groupBy("doc", "section").agg(F.min("x0").alias("name_left"), F.min(F.struct((-F.col("n")).alias("n"), "at", "x1"))["x1"].alias("common"), F.sort_array(F.collect_set("x1")).alias("all"))
+    beyond = F.get(F.filter("all", lambda x: x > F.col("name_left") + COLUMN_GAP), F.lit(0))
+    found = found.withColumn("extent_left", F.when(F.col("common") > F.col("name_left") + COLUMN_GAP, F.col("common")).otherwise(beyond))
+    return found.select("doc", "section", "name_left", "extent_left", (F.col("name_left") + BOUNDARY * (F.col("extent_left") - F.col("name_left"))).alias("edge"))
+
+
+def with_district(lines: DataFrame) -> DataFrame:
+    """The lines that belong to rows, with the heading (district) that they stand under: '' before the first."""
+    own = F.when(F.col("text").rlike(DISTRICT) & (F.length("text") < 90), F.regexp_extract("text", DISTRICT, 1))
+    own = F.when(own.rlike("[A-Za-z]{2}"), F.rtrim(F.regexp_replace(F.regexp_replace(plain_punctuation(own), r"\.+$", ""), r"(?i)\s*\(.*?contd.*?\)\s*$", "")))
+    squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    other = (F.col("text") == "") | F.col("text").rlike(SKIPPED) | F.col("text").rlike(PART_A) | F.col("text").rlike(SECTION) | F.col("text").rlike(ANNEXURE) | F.coalesce(squeezed(F.col("text")) == squeezed(F.col("name")), F.lit(False))
+    marked = lines.where(~other).withColumn("own", own)
+    carried = carry_forward(marked.withColumn("heading", F.col("own")), "heading", ["doc", "section"], ["page", "line"])
+    return carried.where("own is null").drop("own").withColumn("heading", F.coalesce("heading", F.lit("")))
+
+
+_ROW = re.compile(NUMBERED, re.S)
 ROWS = "section string, number int, name string, extent string, heading string, page long"
+#: Characters and words that a wrapped part of a name has at most.
+WRAPPED_CHARS, WRAPPED_WORDS = 30, 4
+
+
+def _is_name(text: str) -> bool:
+    """Whether text left of the edge goes on with a name: short, without digits, not beginning with a small letter."""
+    return len(text) <= WRAPPED_CHARS and len(text.split()) <= WRAPPED_WORDS and not any(c.isdigit() for c in text) and (text[0].isupper() or not text[0].isalpha())
 
 
-def assemble_rows(lines: DataFrame, edge: float) -> DataFrame:
-    """Numbered rows of each section from (section, page, line, heading, frags): a line that begins with the next
-    number begins a row; others go on with the row before. Fragments left of the edge are the name, others the extent.
+def assemble_rows(lines: DataFrame, edge: float | None = None) -> DataFrame:
+    """Numbered rows of each section from (section, page, line, heading, frags and, if no edge is given, edge).
 
-    A section is one group, for a row can go on over a page's end; sections are short.
+    A number with a name begins a row, whatever the number; a bare number does if it is the next one, its name being on
+    the next line. Other lines go on with the row before: left of the edge with its name if they look like one, else
+    with its extent. Lines before the first row are left out. A section is one group, for a row can go on over a page's
+    end; sections are short.
     """
 
     def rows(lines_of: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
         for line in lines_of.sort_values(["page", "line"]).itertuples(index=False):
-            left = " ".join(f["text"] for f in line.frags if f["x"] < edge).strip()
-            right = " ".join(f["text"] for f in line.frags if f["x"] >= edge).strip()
-            m = _ROW.match(left)
-            if m and int(m[1]) == (out[-1]["number"] if out else 0) + 1:
-                out.append({"section": line.section, "number": int(m[1]), "name": [m[2]], "extent": [right], "heading": line.heading, "page": line.page})
+            border = line.edge if edge is None else edge
+            left, right = (" ".join(" ".join(f["text"] for f in line.frags if (f["x"] < border) == side).split()) for side in (True, False))
+            m = _ROW.match(left) if left else None
+            if m and (m[2].strip() or int(m[1]) == (out[-1]["number"] if out else 0) + 1):
+                out.append({"section": str(line.section), "number": int(m[1]), "name": [m[2]], "extent": [right], "heading": line.heading, "page": line.page})
             elif out:
-                out[-1]["name"].append(left)
+                if left:
+                    out[-1]["name" if _is_name(left) else "extent"].append(left)
                 out[-1]["extent"].append(right)
         for r in out:
             for k in ("name", "extent"):
                 r[k] = " ".join(" ".join(r[k]).split())
         return pd.DataFrame(out, columns=["section", "number", "name", "extent", "heading", "page"])
 
-    return lines.groupBy("section").applyInPandas(rows, ROWS)
+    return lines.groupBy(*[c for c in ("doc", "section") if c in lines.columns]).applyInPandas(rows, ROWS)
+
+
+def delimitation(lines: DataFrame) -> DataFrame:
+    """Constituencies of an order from its lines (doc, page, line, frags): state_name, district, ac_number, constituency,
+    reservation, extent and page. Sections without a name, a part A or two columns give no rows."""
+    part = in_part_a(in_sections(with_text(lines)).where(F.col("name").isNotNull() & ~F.contains("name", F.lit("PARLIAMENT"))))
+    rows = with_district(part.join(column_edge(part), ["doc", "section"]))
+    found = assemble_rows(rows.withColumn("section", F.col("name")))
+    return found.select(F.col("section").alias("state_name"), F.col("heading").alias("district"), F.col("number").alias("ac_number"), without_reservation(F.col("name")).alias("constituency"), F.coalesce(reservation(F.col("name")), F.lit("")).alias("reservation"), F.col("extent"), (F.col("page") + 1).alias("page"))
 
 
 def each_page(pages: DataFrame, read, schema: str) -> DataFrame:

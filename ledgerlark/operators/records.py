@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from ledgerlark.errors import EngineError
 
-#: The column that a role's rows are told by; None: all rows.
+#: The column that a role's rows are told by; None: all rows.
 ROLE_COLUMN = {"booth": "user_id", "constituency": "assembly_constituency_id", "district": "district_id", "mandal": "mandal_id", "superadmin": None}
+#: Columns that a list can be sorted by.
 SORTABLE = ("name", "epic", "serial_number", "part_number_and_name", "district_id", "assembly_constituency_id")
 MAX_PAGE_SIZE, PAGE_SIZE = 200, 50
-#: Header of an export and the column under it.
+#: The header of an export and the column under it.
 EXPORT = {
-    "Name": "name", "EPIC": "epic", "Mobile": "mobile", "Address": "address", "Serial Number": "serial_number", "Part Number & Name": "part_number_and_name",
-    "Constituency ID": "assembly_constituency_id", "Constituency": "assembly_constituency_name", "District": "district", "State": "state",
+    "ID": "id", "Name": "name", "EPIC": "epic", "Mobile": "mobile", "Address": "address", "Serial Number": "serial_number", "Part": "part_number_and_name",
+    "Constituency": "assembly_constituency_name", "District": "district", "State": "state",
 }
 
 
@@ -129,4 +130,10 @@ def serialise(records: DataFrame) -> DataFrame:
 
 
 def export(records: DataFrame) -> DataFrame:
-    return records.select(*[F.col(c).alias(h) for h, c in EXPORT.items()])
+    """The columns of an export under its header; the id as text."""
+    return records.select(*[(F.col(c).cast("string") if c == "id" else F.col(c)).alias(h) for h, c in EXPORT.items()])
+
+
+def numeric_order(*columns: str) -> list[Column]:
+    """Text columns ordered by the numbers that they hold; what is no number comes last, as text."""
+    return [x for c in columns for x in (F.col(c).try_cast("long").asc_nulls_last(), F.col(c).asc_nulls_last())]

@@ -25,6 +25,12 @@ def alias_targets(aliases: DataFrame) -> DataFrame:
     return aliases.select("kind", T.norm_text(F.col("alias")).alias("alias"), "state_code", F.col("ac_number").try_cast("int").alias("ac_number")).distinct()
 
 
+def alias_sets(aliases: DataFrame) -> DataFrame:
+    """kind, alias (normalised) and the set of its targets: a state's code, or code/number."""
+    target = F.when(F.col("kind") == "state", F.col("state_code")).otherwise(F.concat_ws("/", "state_code", "ac_number"))
+    return aliases.groupBy("kind", T.norm_text(F.col("alias")).alias("alias")).agg(F.sort_array(F.collect_set(target)).alias("targets"))
+
+
 def _only(found: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """The values of each key that has just one row of them; nothing for other keys."""
     rows = found.select(*keys, F.struct(*values).alias("v")).groupBy(*keys).agg(F.min("v").alias("v"), F.max("v").alias("w"))
@@ -197,11 +203,20 @@ def _decide(r: DataFrame) -> DataFrame:
     return r.select("req_id", final.alias("o")).select("req_id", "o.*")
 
 
-def confirm(raw: Column, status: Column, method: Column, canonical: Column, suggestion: Column) -> Column:
-    """A field after resolution: the raw text stays, with low confidence, unless it was resolved by more than a score."""
+def confirm(raw: Column, status: Column, method: Column, canonical: Column, suggestion: Column, match_id: Column | None = None) -> Column:
+    """A field after resolution: the raw text stays, with low confidence, unless it was resolved by more than a score.
+    With match_id, the field also has the id that it was resolved to."""
     weak = (status == RESOLVED) & (method == "fuzzy")
     sure = (status == RESOLVED) & ~weak
-    return F.struct(F.when(sure, canonical).otherwise(raw).alias("value"), F.when(sure, F.lit(0.99)).otherwise(F.lit(UNCONFIRMED)).alias("confidence"), raw.alias("raw_value"), F.when(weak, F.lit(WEAK_MATCH)).otherwise(status).alias("resolution_status"), F.when(weak, canonical).when(status == UNVERIFIED, suggestion).alias("suggested_value"))
+    own = [] if match_id is None else [F.when(sure, match_id).alias("constituency_id")]
+    return F.struct(F.when(sure, canonical).otherwise(raw).alias("value"), F.when(sure, F.lit(0.99)).otherwise(F.lit(UNCONFIRMED)).alias("confidence"), raw.alias("raw_value"), F.when(weak, F.lit(WEAK_MATCH)).otherwise(status).alias("resolution_status"), F.when(weak, canonical).when(status == UNVERIFIED, suggestion).alias("suggested_value"), *own)
+
+
+def fill_district(district: Column, confidence: Column, status: Column, method: Column, local_name: Column) -> Column:
+    """The district's value and confidence: an empty one is taken from a resolution that is more than a score."""
+    name = T.strip_prefix(local_name, T.DISTRICT_LABEL)
+    taken = (F.coalesce(district, F.lit("")) == "") & (status == RESOLVED) & ~F.coalesce(method == "fuzzy", F.lit(False)) & (F.coalesce(local_name, F.lit("")) != "")
+    return F.struct(F.when(taken, name).otherwise(district).alias("value"), F.when(taken, F.lit(0.99)).otherwise(confidence).alias("confidence"))
 
 
 def save_gate(status: Column, method: Column) -> Column:

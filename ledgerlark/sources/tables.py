@@ -23,22 +23,19 @@ def scratch(spark: SparkSession) -> str:
 
 
 def csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A file with a header in the schema's order, cells trimmed, with or without a byte-order mark."""
+    """A file with a header in the schema's order, cells trimmed, with or without a byte-order mark, which is in the
+    header alone; the same character inside cells stays."""
     raw = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", enforceSchema=True, mode="PERMISSIVE")
-    return raw.select(*[F.trim(F.regexp_replace(c, MARK, "")).alias(c) if t == "string" else F.col(c) for c, t in raw.dtypes])
-
-
-def aliases(table: DataFrame) -> DataFrame:
-    """kind, alias and the set of its targets."""
-    target = F.when(F.col("kind") == "state", F.col("state_code")).otherwise(F.concat_ws("/", "state_code", "ac_number"))
-    return table.groupBy("kind", F.lower(F.trim("alias")).alias("alias")).agg(F.sort_array(F.collect_set(target)).alias("targets"))
+    return raw.select(*[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in raw.dtypes])
 
 
 def json_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Layout pages: a list of pages, each a list of [y, [[x, text], ...]]; page, line, y and frags (x, text)."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<array<string>>>").alias("pages"))
+    """Layout pages: a list of pages, each a list of [y, [[x, text], ...]]; page, line, y and frags (x, text).
+    A file that is no such list fails the read."""
+    strict = {"mode": "FAILFAST"}
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<array<string>>>", strict).alias("pages"))
     lines = whole.select(F.posexplode("pages").alias("page", "ls")).select("page", F.posexplode("ls").alias("line", "l"))
-    frags = F.transform(F.from_json(F.get("l", F.lit(1)), "array<array<string>>"), lambda f: F.struct(F.get(f, F.lit(0)).cast("double").alias("x"), F.get(f, F.lit(1)).alias("text")))
+    frags = F.transform(F.from_json(F.get("l", F.lit(1)), "array<array<string>>", strict), lambda f: F.struct(F.get(f, F.lit(0)).cast("double").alias("x"), F.get(f, F.lit(1)).alias("text")))
     return lines.select("page", "line", F.get("l", F.lit(0)).cast("double").alias("y"), frags.alias("frags"))
 
 
@@ -48,6 +45,11 @@ def write_export(df: DataFrame, path: str) -> None:
     marked.write.csv(path, header=True, nullValue="", emptyValue="", encoding="UTF-8")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """UTF-8 with a header and without a byte-order mark; nulls are empty cells."""
+    df.write.csv(path, header=True, nullValue="", emptyValue="", encoding="UTF-8")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 
@@ -55,3 +57,9 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_report(checks: DataFrame, path: str) -> None:
     """One line for each check."""
     checks.select(F.concat(F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.lit("  "), F.col("check"), F.lit(": got "), F.col("got").cast("string"), F.lit(", want "), F.col("want").cast("string")).alias("value")).write.text(path)
+
+
+def write_sections(report: DataFrame, path: str) -> None:
+    """A report (section, item, value) as text, a line for each item, by section and item."""
+    line = F.concat(F.col("section"), F.lit("  "), F.col("item"), F.lit(": "), F.coalesce("value", F.lit("")))
+    report.orderBy("section", "item").select(line.alias("value")).write.text(path)

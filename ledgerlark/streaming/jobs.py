@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +29,29 @@ def view(status: Column, result: Column, error: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status == "failed", error).alias("error"), F.when(status == "completed", result).alias("data"))
 
 
-def process(jobs: DataFrame, work: Callable[[str], str], path: str = "image_path") -> DataFrame:
-    """jobs with status, result and error_message after work(path): completed, or failed with the error's text."""
+def _within(seconds: float | None, work: Callable[[str], str], value: str) -> str:
+    """work(value), given up after so many seconds; its thread is left to end by itself."""
+    if seconds is None:
+        return work(value)
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(work, value).result(seconds)
+    except TimeoutError as e:
+        raise TimeoutError(f"no result within {seconds:g} seconds") from e
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def process(jobs: DataFrame, work: Callable[[str], str], path: str = "image_path", seconds: float | None = None) -> DataFrame:
+    """jobs with status, result and error_message after work(path): completed, or failed with the error's text. Work that
+    takes more than so many seconds has failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for value in batch[path]:
                 try:
-                    out.append(("completed", work(value), None))
+                    out.append(("completed", _within(seconds, work, value), None))
                 except Exception as e:  # any failure of one job is that job's outcome
                     out.append(("failed", None, str(e)))
             yield batch.assign(status=[o[0] for o in out], result=[o[1] for o in out], error_message=[o[2] for o in out])
@@ -47,8 +62,8 @@ def process(jobs: DataFrame, work: Callable[[str], str], path: str = "image_path
 def latest_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, sink: str, job: str, at: str, tie: str, status: str) -> DataFrame:
     """latest() over a folder read as a stream until it has all that is there; the state after the last batch.
 
-    Times without a zone are read as UTC. The sink folder holds one table per batch and the checkpoint, so a restarted
-    query goes on where it was.
+    Times without a zone are read as UTC. Each batch adds only the jobs that it changed to the sink's table, where a job's
+    last batch is its state; with the checkpoint beside it, a restarted query goes on where it was.
     """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
     state = latest(stream.withColumn(at, F.col(at).cast("timestamp")), job, at, tie, status)
@@ -56,11 +71,10 @@ def latest_stream(spark: SparkSession, folder: str, pattern: str, schema: Struct
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/state/batch={number}")
 
-    query = state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
+    query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    tables = spark.read.parquet(f"{sink}/state")
-    last = tables.agg(F.max("batch").alias("batch"))
-    return tables.join(F.broadcast(last), "batch").drop("batch")  # last: one row
+    changes = spark.read.parquet(f"{sink}/state")
+    return changes.groupBy(job).agg(F.max_by(F.struct(status, at, "n_events"), "batch").alias("s")).select(job, "s.*")
 
 
 def polling(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):

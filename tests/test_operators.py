@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.errors import EngineError
 from ledgerlark.functions import extract, fuzzy, text, validate, vision
-from ledgerlark.operators import gates, geo, layout, load, resolve
+from ledgerlark.operators import gates, geo, layout, load, publish, resolve
 from ledgerlark.plans import queries
 from ledgerlark.sources import pdf, tables
 from ledgerlark.streaming import jobs
@@ -160,6 +160,83 @@ def test_layout(spark):
     assert got == [("S", 1, "Foo Bar", "wards", "H", 0), ("S", 2, "Baz", "", "H", 0)]
 
 
+def lines_of(spark, *lines):
+    """(page, line, fragments) as lines of one document."""
+    return spark.createDataFrame([("d", p, n, frags) for p, n, frags in lines], "doc string, page long, line long, frags array<struct<x:double,text:string>>")
+
+
+def test_layout_rows_and_continuations(spark):
+    numbered = [(0, i, [(10.0, f"{n} - {name}"), (200.0, "x")]) for i, (n, name) in enumerate([(1, "Foo"), (3, "Bar"), (4, "Baz")])]
+    lines = lines_of(spark, *numbered).withColumns({"section": F.lit("S"), "heading": F.lit("H")})
+    assert [r["number"] for r in layout.assemble_rows(lines, 100.0).orderBy("number").collect()] == [1, 3, 4]  # a gap in the numbers
+    wrapped = lines_of(spark, (0, 0, [(10.0, "1"), (200.0, "a")]), (0, 1, [(10.0, "Long Name")]), (0, 2, [(10.0, "ward 7 of the old town")]), (0, 3, [(10.0, "5"), (200.0, "b")]), (1, 0, [(10.0, "2 : Next (St) –")]))
+    got = rows(layout.assemble_rows(wrapped.withColumns({"section": F.lit("S"), "heading": F.lit("H")}), 100.0).select("number", "name", "extent", "page"))
+    assert got == [(1, "Long Name", "a ward 7 of the old town 5 b", 0), (2, "Next (St) –", "", 1)]
+
+
+def test_layout_of_a_document(spark):
+    head = [(0, 0, [(90.0, "SCHEDULE - II")]), (0, 1, [(90.0, "Bihar")]), (1, 0, [(60.0, "PART B - PARLIAMENTARY")]), (1, 1, [(60.0, "TABLE - A ASSEMBLY CONSTITUENCIES")]), (1, 2, [(50.0, "DISTRICT : Gaya (contd.)")])]
+    body = [(1, 3, [(10.0, "1 - Foo (SC)"), (210.0, "x")]), (2, 0, [(12.0, "2 - Bar"), (200.0, "y")]), (2, 1, [(10.0, "3 - Baz"), (200.0, "z")]), (2, 2, [(10.0, "17")]), (3, 0, [(10.0, "4 - Qux"), (200.0, "w")]), (3, 1, [(60.0, "PART B – PARLIAMENTARY CONSTITUENCIES")]), (3, 2, [(10.0, "9 - No"), (200.0, "v")]), (4, 0, [(90.0, "SCHEDULE - III")]), (4, 1, [(90.0, "PART A - ASSEMBLY CONSTITUENCIES")])]
+    lines = lines_of(spark, *head, *body)
+    part = layout.in_part_a(layout.in_sections(layout.with_text(lines)))
+    edge = layout.column_edge(part).select("name_left", "extent_left", "edge").first()
+    assert tuple(edge) == (10.0, 200.0, 10.0 + 0.62 * 190)
+    got = [tuple(r) for r in layout.delimitation(lines).orderBy("ac_number").collect()]
+    assert got == [("BIHAR", "Gaya", n, name, r, x, p) for n, name, r, x, p in [(1, "Foo", "SC", "x", 2), (2, "Bar", "", "y", 3), (3, "Baz", "", "z", 3), (4, "Qux", "", "w", 4)]]
+
+
+def test_reservations(spark):
+    names = ["Foo (sc) –", "Foo-Bar (ST).", ". Foo -", "Foo’s"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(text.reservation(F.col("n")), text.without_reservation(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("SC", "Foo"), ("ST", "Foo-Bar"), (None, "Foo"), (None, "Foo's")]
+
+
+def test_repeats_in_a_stage(spark):
+    target, stage = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "z"), (2, "y"), (None, "p"), (None, "q")], "k int, v string")
+    assert rows(load.insert_absent(target, stage, ["k"], order=["v"]).fillna(-1)) == [(-1, "p"), (-1, "q"), (1, "a"), (2, "y")]
+    assert rows(load.insert_absent(target, stage, ["k"], null_safe=True, order=["v"]).fillna(-1)) == [(-1, "p"), (1, "a"), (2, "y")]
+    new, refused = load.split_inserts(target, stage, ["k"], ["v"])
+    assert rows(new.fillna(-1)) == [(-1, "p"), (2, "y")] and rows(refused.fillna(-1)) == [(-1, "q"), (1, "x"), (2, "z")]
+
+
+def test_publish(spark, tmp_path):
+    df, name = spark.range(5), str(tmp_path / "t")
+    size = lambda want: lambda rows: [gates.check("rows", rows.agg(F.count(F.lit(1))), want)]
+    assert rows(publish.publish(df, name, size(5), apply=False)) == [("rows", 5, 5, True)] and not any(tmp_path.iterdir())
+    with pytest.raises(EngineError):
+        publish.publish(df, name, size(4))
+    assert not any(tmp_path.iterdir())
+    assert publish.publish(df, name, size(5)).count() == 5 and publish.exists(spark, name)
+    with pytest.raises(EngineError) as e:
+        publish.publish(df, name, size(5))
+    assert e.value.code == "ALREADY_PUBLISHED" and len(list(tmp_path.iterdir())) == 1
+
+
+def test_work_that_takes_too_long(spark):
+    import time
+
+    df = spark.createDataFrame([("a", "0"), ("b", "5")], "id string, image_path string").selectExpr("*", "'pending' status", "cast(null as string) result", "cast(null as string) error_message")
+    got = {r["id"]: (r["status"], r["error_message"]) for r in jobs.process(df, lambda v: time.sleep(float(v)) or v, seconds=0.5).collect()}
+    assert got == {"a": ("completed", None), "b": ("failed", "no result within 0.5 seconds")}
+
+
+def test_regions_of_images(spark):
+    image = np.arange(20 * 10 * 3, dtype=np.uint8).reshape(20, 10, 3)
+    df = spark.createDataFrame([("a", 20, 10, 3, bytearray(image.tobytes())), ("b", 0, 0, 3, None)], "key string, height int, width int, nChannels int, data binary")
+    got = {r["key"]: (r["height"], r["width"], r["data"]) for r in vision.regions(df).collect()}
+    want = vision.stack([image[0:5, 0:6], image[5:11]])
+    assert want.shape == (14, 10, 3) and (want[8:] == image[5:11]).all()
+    assert got == {"a": (14, 10, bytearray(want.tobytes())), "b": (0, 0, None)}
+
+
+def test_aliases_and_marks(spark, tmp_path, places):
+    got = {(r["kind"], r["alias"]): r["targets"] for r in resolve.alias_sets(places[3]).collect()}
+    assert got == {("constituency", "gamma cantt"): ["2/2"], ("state", "uno"): ["1"]}
+    (tmp_path / "bad.json").write_text('{"no": "list"')
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        tables.json_pages(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_pdf(spark, tmp_path):
     stream = zlib.compress(b"BT 1 0 0 1 10 700 Tm (Caf\\351 \\(x\\)) Tj 0 -12 Td [(a) -20 (b)] TJ ET")
     out = io.BytesIO()
