@@ -47,9 +47,9 @@ def districts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def constituencies(spark: SparkSession, d: str) -> DataFrame:
-    c = parquet(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = parquet(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = districts(spark, d).select(F.col("district_id").alias("c_nationkey"), "state_id", "lgd_district_code")
-    return c.join(n, "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("constituency"), F.lit(None).cast("string").alias("constituency_hindi"), F.col("c_nationkey").alias("district_id"), "state_id", (F.col("c_custkey") % 97 + 1).cast("int").alias("ac_number"), "lgd_district_code")
+    return c.join(n, "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("constituency"), F.lit(None).cast("string").alias("constituency_hindi"), F.col("c_nationkey").alias("district_id"), "state_id", (F.col("c_custkey") % 97 + 1).cast("int").alias("ac_number"), "lgd_district_code", F.col("c_mktsegment").alias("district"))
 
 
 def voters(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def geo_districts_scoped(spark: SparkSession, d: str) -> DataFrame:
     return geo.districts(districts(spark, d), states(spark, d), state_id=1, search="nation_1")
 
 
-@query("select c_custkey as id, (c_custkey % 97 + 1)::int as ac_number, c_name as constituency, null::varchar as constituency_hindi, n_nationkey as district_id, n_name as district_name_en, n_regionkey as state_id, n_regionkey::varchar as state_code, r_name as state_name_en, n_nationkey::varchar as lgd_district_code, null::varchar as reservation from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where n_regionkey = 2 and c_name ilike '%7%' and c_custkey % 97 + 1 = 8")
+@query("select c_custkey as id, (c_custkey % 97 + 1)::int as ac_number, c_name as constituency, null::varchar as constituency_hindi, n_nationkey as district_id, n_name as district_name_en, c_mktsegment as district, n_regionkey as state_id, n_regionkey::varchar as state_code, n_nationkey::varchar as lgd_district_code, null::varchar as reservation from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where n_regionkey = 2 and c_name ilike '%7%' and c_custkey % 97 + 1 = 8")
 def geo_constituencies_scoped(spark: SparkSession, d: str) -> DataFrame:
     return geo.constituencies(constituencies(spark, d), states(spark, d), districts(spark, d), state_id=2, ac_number=8, search="7")
 
@@ -158,7 +158,7 @@ def count_scoped(spark: SparkSession, d: str) -> DataFrame:
     return records.count(records.apply_filters(records.role_scope(voters(spark, d), "mandal", 1), records.Filters(name="low")))
 
 
-@query(f'select name as "Name", epic as "EPIC", mobile as "Mobile", address as "Address", serial_number as "Serial Number", part_number_and_name as "Part Number & Name", assembly_constituency_id as "Constituency ID", assembly_constituency_name as "Constituency", district as "District", null::varchar as "State" from {VOTERS_SQL} v where district_id = 4')
+@query(f'select id::varchar as "ID", name as "Name", epic as "EPIC", mobile as "Mobile", address as "Address", serial_number as "Serial Number", part_number_and_name as "Part", assembly_constituency_name as "Constituency", district as "District", null::varchar as "State" from {VOTERS_SQL} v where district_id = 4')
 def export_projection(spark: SparkSession, d: str) -> DataFrame:
     return records.export(records.role_scope(voters(spark, d), "district", 4))
 
@@ -205,9 +205,10 @@ def expected_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     return gates.expected_counts(parquet(spark, d, "customer").select("c_mktsegment"), spark.createDataFrame(_WANT, "c_mktsegment string, want long"), "c_mktsegment")
 
 
-@query(f"select c_mktsegment, case when coalesce(n, 0) = 0 then 'missing' when n < want then 'short' when n > want then 'over' else 'complete' end as coverage from {_WANT_SQL}")
+@query("select r_regionkey::varchar as state_code, coalesce(n, 0) as n, case when n > 0 and r_regionkey = 1 then 'UNRESOLVED (2022)' when n > 0 then 'VERIFIED' when r_regionkey = 3 then 'UNRESOLVED (90 expected)' when r_regionkey = 4 then 'N/A' else 'UNEXPECTED' end as status from region left join (select n_regionkey, count(*) as n from customer join nation on c_nationkey = n_nationkey where n_regionkey <= 1 group by 1) on n_regionkey = r_regionkey")
 def coverage_status(spark: SparkSession, d: str) -> DataFrame:
-    return expected_vs_actual(spark, d).select("c_mktsegment", gates.coverage().alias("coverage"))
+    rows = constituencies(spark, d).where("state_id <= 1").select(F.col("state_id").cast("string").alias("state_code"))
+    return gates.coverage(states(spark, d), rows, "state_code", {"1": "2022"}, {"3": 90}, {"4"})
 
 
 @query("with b as (select l_returnflag, l_linestatus, count(*) as n from lineitem where l_linenumber <= 3 group by all), a as (select l_returnflag, l_linestatus, count(*) as n from lineitem where l_linenumber <= 3 or l_returnflag = 'R' group by all) select *, 'before' as side from (select * from b except all select * from a) union all select *, 'after' from (select * from a except all select * from b)")
@@ -237,16 +238,19 @@ def mode_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select c_custkey, c_name, c_nationkey from customer where c_custkey % 4 <> 0 union all select c_custkey, upper(c_name), c_nationkey from customer where c_custkey % 4 = 0 and c_custkey % 2 = 0")
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """The stage has each of its rows twice, the second time with another name; the first is taken."""
     c = parquet(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     stage = c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name"))
-    return load.insert_absent(c.where("c_custkey % 4 <> 0"), stage, ["c_custkey"])
+    repeats = stage.withColumn("c_name", F.concat("c_name", F.lit(" again")))
+    return load.insert_absent(c.where("c_custkey % 4 <> 0"), stage.union(repeats), ["c_custkey"], order=["c_name"])
 
 
-@query("select c_custkey, case when c_custkey % 3 = 0 and c_custkey % 6 <> 0 then lower(c_name) else c_name end as c_name, c_mktsegment from customer")
+@query("select c_custkey, case when c_custkey % 3 = 0 and c_custkey % 6 <> 0 then lower(c_name) else c_name end as c_name, c_mktsegment from customer where c_custkey % 5 <> 0 union all select c_custkey, case when c_custkey % 6 <> 0 then lower(c_name) end, null from customer where c_custkey % 5 = 0 and c_custkey % 3 = 0")
 def upsert_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of rows that are there, and of some that are not."""
     c = parquet(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    changes = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.lower("c_name")).alias("c_name"))
-    return load.update_present(c, changes, ["c_custkey"])
+    changes = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.lower("c_name")).alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    return load.upsert(c.where("c_custkey % 5 <> 0"), changes, ["c_custkey"])
 
 
 @query("select o_orderkey, o_custkey from orders where not (o_orderkey % 5 = 0 and o_orderstatus = 'F')")
@@ -259,14 +263,16 @@ _KEY = "trim(regexp_replace(replace(upper({}), '&', ' AND '), '[^A-Z0-9]+', ' ',
 
 
 @query(
-    f"""with ref as (select {_KEY.format('p_name')} as k, max(p_partkey::varchar) as code, count(*) as n from part where p_partkey % 40 = 0 group by 1),
- al as (select 'HOT GEAR' as k, '9001' as code)
- select p_partkey, p_name, coalesce(case when n = 1 then ref.code end, al.code) as code, case when coalesce({_KEY.format('p_name')}, '') = '' then 'no_name_in_source' when n = 1 then 'exact' when al.code is not null then 'mapped' else 'needs_review' end as confidence
- from part left join ref on ref.k = {_KEY.format('p_name')} left join al on al.k = {_KEY.format('p_name')}"""
+    f"""with ref as (select p_size % 2 as st, {_KEY.format('p_name')} as k, max(p_partkey::varchar) as code, count(*) as n from part where p_partkey % 40 = 0 group by all),
+ al as (select 1 as st, 'HOT GEAR' as k, '9001' as code)
+ select p_partkey, p_name, coalesce(case when n = 1 then ref.code end, al.code) as code, case when coalesce({_KEY.format('p_name')}, '') = '' then 'no_district_in_source' when n = 1 then 'exact' when al.code is not null then 'mapped' else 'needs_review' end as confidence
+ from part left join ref on ref.k = {_KEY.format('p_name')} and ref.st = p_size % 2 left join al on al.k = {_KEY.format('p_name')} and al.st = p_size % 2"""
 )
 def name_key_unique_match(spark: SparkSession, d: str) -> DataFrame:
-    p = parquet(spark, d, "part").select("p_partkey", "p_name")
-    return load.reconcile(p, p.where("p_partkey % 40 = 0"), "p_name", "p_name", "p_partkey", spark.createDataFrame([("HOT GEAR", "9001")], "key string, code string"))
+    """Names are looked up within their state: one name has other codes in other states."""
+    p = parquet(spark, d, "part").select("p_partkey", "p_name", (F.col("p_size") % 2).cast("string").alias("state"))
+    aliases = spark.createDataFrame([("1", "HOT GEAR", "9001")], "state string, key string, code string")
+    return load.reconcile(p, p.where("p_partkey % 40 = 0"), ("state", "p_name"), ("state", "p_name"), "p_partkey", aliases).select("p_partkey", "p_name", "code", "confidence")
 
 
 # Jobs.
@@ -390,20 +396,21 @@ _REQ_SQL = """(select q.*, n.n_regionkey as ds from (select o_orderkey as req_id
 _HIT_SQL = f"(select r.*, c.c_custkey is not null as inside from {_REQ_SQL} r left join (customer c join nation cn on c.c_nationkey = cn.n_nationkey) on c.c_custkey = r.o_custkey and case when dc is not null then c.c_nationkey = dc when sc is not null then cn.n_regionkey = sc else true end)"
 
 
-@query(f"select req_id, case when sc <> ds then 'unresolved_scope_conflict' when wrong then 'none' when inside then 'exact' else 'none' end as outcome, case when (sc is null or ds is null or sc = ds) and not wrong and inside then o_custkey end as match_id from {_HIT_SQL} where req_id % 6 <> 1")
+_CONFLICT = "coalesce(sc <> ds, false) or (cid is not null and not inside)"
+
+
+@query(f"select req_id, case when {_CONFLICT} then 'unresolved_scope_conflict' when wrong or not inside then 'none' else 'exact' end as outcome, case when not ({_CONFLICT}) and not wrong and inside then o_custkey end as match_id from {_HIT_SQL}")
 def resolve_exact_batch(spark: SparkSession, d: str) -> DataFrame:
-    """What names alone give: the conflict of a scope, an exact match, or none."""
-    r = _requests(spark, d).where("req_id % 6 <> 1")
-    found = resolve.resolve(r, constituencies(spark, d).withColumn("id", F.col("id").cast("int")), states(spark, d), districts(spark, d), fuzzy=False)
+    """What names and identifiers alone give, of all requests: the conflict of a scope, an exact match, or none."""
+    found = resolve.resolve(_requests(spark, d), constituencies(spark, d).withColumn("id", F.col("id").cast("int")), states(spark, d), districts(spark, d), fuzzy=False)
     exact = (F.col("status") == resolve.RESOLVED) & (F.col("method") == "exact")
     outcome = F.when(F.col("status") == resolve.SCOPE_CONFLICT, F.col("status")).when(exact, F.lit("exact")).otherwise(F.lit("none"))
     return found.select(F.col("req_id").cast("long").alias("req_id"), outcome.alias("outcome"), F.when(exact, F.col("match_id").cast("long")).alias("match_id"))
 
 
-@query(f"select req_id, case when sc <> ds then true when not inside then true else false end as conflict from {_HIT_SQL} where cid is not null and not wrong")
+@query(f"select req_id, {_CONFLICT} as conflict from {_HIT_SQL}")
 def resolve_scope_conflict(spark: SparkSession, d: str) -> DataFrame:
-    r = _requests(spark, d).where("constituency_id is not null and name <> 'zzzz'")
-    found = resolve.resolve(r, constituencies(spark, d).withColumn("id", F.col("id").cast("int")), states(spark, d), districts(spark, d), fuzzy=False)
+    found = resolve.resolve(_requests(spark, d), constituencies(spark, d).withColumn("id", F.col("id").cast("int")), states(spark, d), districts(spark, d), fuzzy=False)
     return found.select(F.col("req_id").cast("long").alias("req_id"), (F.col("status") == resolve.SCOPE_CONFLICT).alias("conflict"))
 
 
