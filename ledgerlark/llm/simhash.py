@@ -65,7 +65,8 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<c> for the given columns of the next row in descending doc_id; the last row's next is the first.
 
-    A null doc_id comes last; equal ids are ordered by the column order, or else by the text's hash. Rows are dealt out to buckets of about
+    A null doc_id comes last; equal ids are ordered by the column `order`, or else by the text's hash; in the result `order`
+    is the place that a row then has, so that a second look at the same rows finds the same neighbours. Rows are dealt out to buckets of about
     BUCKET_ROWS by quantiles of the id, and each bucket also gets the first row of the one after it: one shuffle,
     no bucket that all rows meet in. Only the bounds of the buckets reach the driver.
     """
@@ -89,7 +90,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         keyed = keyed.withColumn("_b", F.lit(0))
     heads = sorted((r["_b"], r["k"]) for r in keyed.groupBy("_b").agg(F.max("_k").alias("k")).collect())
     if not heads:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
+        return docs.withColumns({f"next_{c}": F.col(c) for c in columns}).withColumn("order", F.lit(0).cast("long"))
     # The head of bucket b ends the next higher bucket; the highest head ends the lowest bucket.
     ends = [(heads[(i + 1) % len(heads)][0], b, k) for i, (b, k) in enumerate(heads)]
     spark = docs.sparkSession
@@ -99,7 +100,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     best = first.groupBy("_to").agg(F.min_by(F.struct(*kept, "_k", "_h"), "_h").alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in kept], F.col("r._k").alias("_k"), F.col("r._h").alias("_h"), F.col("_to").alias("_b"))
     rows = keyed.withColumn("_end", F.lit(0)).unionByName(best.withColumn("_end", F.lit(1)))
     order = Window.partitionBy("_b").orderBy("_end", F.desc("_k"), "_h")
-    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_end = 0").drop("_b", "_k", "_h", "_end")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"order": F.row_number().over(order).cast("long")}).where("_end = 0").drop("_b", "_k", "_h", "_end")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -152,8 +153,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     Repeated rows come out as often as they are there. A single document is its own next one.
     """
     rows = with_next(keyed_text(table(spark, sf_dir, "documents")), ["text"])
-    rows = rows.select("doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("order"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
+    rows = rows.select("doc_id", "order", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "order", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
     found = settle(fingerprint_rows(rows, ["text", "edited"]))
     near = settle(neighbours(found, RADIUS, "fp_0"))
     pairs = with_next(found, ["fp_0"]).join(near, F.col("fp_0") == F.col("fp"))
