@@ -11,6 +11,9 @@ numbers of their customers and tables, are arrays of fixed size, added up over t
 three passes over one shuffle: counts; Gibbs sampling, which gives the shared sums of each sample; and scoring, where
 each shard repeats its chain from the same seed and adds up its tokens' log probabilities for each document.
 
+The discounts are estimated from the corpus, by how many pairs have one and how many two tokens, and likewise words
+among the pairs: n1 / (n1 + 2 n2).
+
 Sampling: in each round all customers of every dish are seated again at once, by a draw of the dish's number of tables
 from its distribution given the number of its customers, first in the contexts and then in the parent. Of what other
 shards hold, the number of tables of each context, of the parent, and of frequent words are those of the first pass. The
@@ -34,7 +37,7 @@ from ledgerlark.llm import bytetext
 from ledgerlark.llm.common import held_out, table
 
 CONTEXT_BITS = 16
-#: Discount and strength of the context restaurants and of the parent.
+#: Discount and strength of the context restaurants and of the parent; discounts hold where the corpus gives no estimate.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 2.0, 0.6, 20.0
 #: Rounds before the first sample and between samples, samples.
 BURN_IN, THIN, SAMPLES = 2, 1, 3
@@ -292,10 +295,21 @@ def draw_tables(count: np.ndarray, strength: np.ndarray, discount: float, rng: n
     return tables
 
 
-def _seat_parent(customers: np.ndarray, share: float, total: float, rng: np.random.Generator) -> np.ndarray:
+def _seat_parent(customers: np.ndarray, share: float, total: float, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish of the parent, given its customers; share: the base probability."""
-    strength = np.full(len(customers), (PARENT_STRENGTH + PARENT_DISCOUNT * total) * share)
-    return draw_tables(customers, strength, PARENT_DISCOUNT, rng)
+    strength = np.full(len(customers), (PARENT_STRENGTH + discount * total) * share)
+    return draw_tables(customers, strength, discount, rng)
+
+
+def estimate(ones: np.ndarray) -> tuple[float, float]:
+    """Discounts of the contexts and of the parent, in hundredths, from the numbers of pairs with one and two tokens and
+    of words with one and two pairs."""
+    n1, n2, m1, m2 = (float(x) for x in ones)
+    return tuple(round(min(max(a / (a + 2 * b), 0.05), 0.95), 2) if a and b else default for a, b, default in ((n1, n2, DISCOUNT), (m1, m2, PARENT_DISCOUNT)))
+
+
+def _discounts(counts: dict) -> tuple[float, float]:
+    return counts.get("discounts", (DISCOUNT, PARENT_DISCOUNT))
 
 
 def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -306,6 +320,7 @@ def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndar
     """
     rng = np.random.default_rng(shard.number + 1)
     share, base = 1 / (counts["vocabulary"] + 1), counts["contexts_types"].sum()
+    discount, upper = _discounts(counts)
     total = max(float(base), 1.0)
     busy = PARENT_STRENGTH + total
     is_hot = np.isin(shard.words, hot)
@@ -317,16 +332,16 @@ def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndar
     types[is_hot] = counts["hot_types"][where[is_hot]]
 
     def predictive(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * parent_total) * share) / busy
+        return (np.maximum(customers - upper * tables, 0) + (PARENT_STRENGTH + upper * parent_total) * share) / busy
 
     p = predictive(types, np.minimum(types, 1))
-    room = STRENGTH + DISCOUNT * counts["contexts_types"][shard.context[several]]
+    room = STRENGTH + discount * counts["contexts_types"][shard.context[several]]
     rounds = BURN_IN + 1 + THIN * (SAMPLES - 1)
     for r in range(rounds):
         tables = (shard.count > 0).astype(np.int64)
-        tables[several] = draw_tables(shard.count[several], room * p[shard.word[several]], DISCOUNT, rng)
+        tables[several] = draw_tables(shard.count[several], room * p[shard.word[several]], discount, rng)
         customers = np.bincount(shard.word, tables, len(shard.words)).astype(np.int64)
-        parent = _seat_parent(customers, share, parent_total, rng)
+        parent = _seat_parent(customers, share, parent_total, upper, rng)
         seen = np.where(is_hot, types, customers)
         p = predictive(seen, np.where(is_hot, np.minimum(types, 1), parent))
         if r >= BURN_IN and (r - BURN_IN) % THIN == 0:
@@ -378,12 +393,14 @@ def _by_hot(shard: Shard, hot: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _count(shard: Shard, hot: np.ndarray) -> dict[str, np.ndarray]:
     known = (shard.c_word > 0) & ~np.isin(shard.words, hot)
     some = shard.count > 0
+    types = np.bincount(shard.word, some, len(shard.words))
     return {
+        "ones": np.array([(shard.count == 1).sum(), (shard.count == 2).sum(), (types[known] == 1).sum(), (types[known] == 2).sum()], np.float64),
         "contexts": np.bincount(shard.context, shard.count, 1 << CONTEXT_BITS),
         "contexts_types": np.bincount(shard.context, some, 1 << CONTEXT_BITS),
         "words": np.array([known.sum()], np.float64),
         "hot": _by_hot(shard, hot, shard.c_word),
-        "hot_types": _by_hot(shard, hot, np.bincount(shard.word, some, len(shard.words))),
+        "hot_types": _by_hot(shard, hot, types),
     }
 
 
@@ -402,6 +419,7 @@ def _sums(shard: Shard, counts: dict, hot: np.ndarray) -> dict[str, np.ndarray]:
 def _score(shard: Shard, counts: dict, sums: dict, hot: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """piece, and for its rows the sums of log10(c + 1), of log10 of the model's probability, and of known tokens."""
     share = 1 / (counts["vocabulary"] + 1)
+    discount, upper = _discounts(counts)
     is_hot = np.isin(shard.words, hot)
     at = np.searchsorted(hot, shard.words[is_hot])
     chance = np.zeros(len(shard.word))
@@ -411,8 +429,8 @@ def _score(shard: Shard, counts: dict, sums: dict, hot: np.ndarray) -> Iterator[
         seats = above.astype(np.float64)
         customers[is_hot], seats[is_hot] = sums["hot"][s][at], sums["hot_tables"][s][at]
         all_customers, all_tables = sums["parent"][s]
-        p = (customers - PARENT_DISCOUNT * seats + (PARENT_STRENGTH + PARENT_DISCOUNT * all_tables) * share) / (PARENT_STRENGTH + all_customers)
-        chance += (shard.count - DISCOUNT * tables + (STRENGTH + DISCOUNT * sums["contexts"][s][shard.context]) * p[shard.word]) / inside
+        p = (customers - upper * seats + (PARENT_STRENGTH + upper * all_tables) * share) / (PARENT_STRENGTH + all_customers)
+        chance += (shard.count - discount * tables + (STRENGTH + discount * sums["contexts"][s][shard.context]) * p[shard.word]) / inside
     model = np.log10(chance / SAMPLES)
     c = shard.c_word.astype(np.float64)
     c[is_hot] = counts["hot"][at]
@@ -439,10 +457,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     if total:
         counts["vocabulary"] = int(counts.pop("words")[0] + (counts["hot"] > 0).sum())
         train_tokens = int(counts["contexts"].sum())
+        counts["discounts"] = estimate(counts.pop("ones"))
         known = spark.sparkContext.broadcast(counts)
         sums = _added(dealt, lambda shard: _sums(shard, known.value, hot))
         rng = np.random.default_rng(0)
-        sums["hot_tables"] = np.array([_seat_parent(h.astype(np.int64), 1 / (counts["vocabulary"] + 1), float(counts["vocabulary"]), rng) for h in sums["hot"]])
+        sums["hot_tables"] = np.array([_seat_parent(h.astype(np.int64), 1 / (counts["vocabulary"] + 1), float(counts["vocabulary"]), counts["discounts"][1], rng) for h in sums["hot"]])
         sums["parent"] += np.column_stack([sums["hot"].sum(axis=1), sums["hot_tables"].sum(axis=1)])
         shared = spark.sparkContext.broadcast(sums)
         below = math.log10(train_tokens + counts["vocabulary"] + 1)

@@ -358,6 +358,68 @@ def test_language_model_seats_all_customers():
         assert abs(got.mean() - mean(c, strength, discount)) < 5 * got.std() / 20
 
 
+def test_table_numbers_are_those_of_a_sampler():
+    """Customers that leave and sit down again one by one, as the restaurant's rule says, have as many tables."""
+    rng = np.random.default_rng(5)
+    for c, strength, discount in ((5, 0.7, 0.75), (9, 3.0, 0.4)):
+        seats, seen = [c], []
+        for step in range(6000):
+            i = rng.choice(len(seats), p=np.array(seats) / c)
+            seats[i] -= 1
+            seats = [x for x in seats if x]
+            # A new table: the dish's own part of the strength; strength here is already that of the seated restaurant.
+            weight = np.array([*(x - discount for x in seats), strength])
+            i = rng.choice(len(weight), p=weight / weight.sum())
+            seats = [*seats, 1] if i == len(seats) else [x + (k == i) for k, x in enumerate(seats)]
+            seen.append(len(seats)) if step > 500 else None
+        got = pitman_yor.draw_tables(np.full(4000, c), np.full(4000, strength), discount, rng)
+        assert abs(got.mean() - np.mean(seen)) < 0.12
+        assert np.abs(np.bincount(got, minlength=c + 1) / 4000 - np.bincount(seen, minlength=c + 1) / len(seen)).max() < 0.06
+
+
+def test_discounts_follow_the_corpus():
+    assert pitman_yor.estimate(np.array([600.0, 100.0, 0.0, 5.0])) == (0.75, pitman_yor.PARENT_DISCOUNT)
+    assert pitman_yor.estimate(np.array([1.0, 1000.0, 1e9, 1.0])) == (0.05, 0.95)
+
+
+def test_pipeline_of_odd_rows(spark, small):
+    """Nulls, empty and long texts, repeats, clashing names and empty tables, in every stage."""
+    import corpus_pipeline
+
+    docs = odd(spark).withColumns({"_mark": F.lit("clash"), "n_chars": F.lit(7).cast("long")}).union(odd(spark).where("doc_id = 3").selectExpr("doc_id", "'another text of this id' as text", *odd(spark).columns[2:], "'clash'", "7L"))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.where("false")):
+            out = stage(spark, rows, small)
+            got = out.collect()
+            assert name == "packing" or out.columns == docs.columns
+            assert len(got) <= len(ODD) + 1 or name == "packing"
+            if name == "near-duplicates" and rows is docs:
+                assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got if (r["doc_id"] or 0) < 4) == [(0, "no id here"), (1, ODD[0][1]), (2, ""), (3, ""), (3, "another text of this id")]
+    assert stage(spark, docs.where("false"), small).count() == 0
+
+
+def test_quality_by_brute_force():
+    """A tree is the best of all cuts, one after the other, and a score the logistic of a sum of table look-ups."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        g, h, n = rng.normal(size=9), rng.random(9) + 0.1, rng.integers(0, 9, 9)
+        value = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + quality.RIDGE)
+        borders = [0, 9]
+        for _ in range(2):
+            options = [(value(a, k) + value(k, b) - value(a, b), k) for a, b in zip(borders, borders[1:], strict=False) for k in range(a + 1, b) if min(n[a:k].sum(), n[k:b].sum()) >= quality.MIN_LEAF]
+            if not options or max(options)[0] <= 0:
+                break
+            borders = sorted([*borders, max(options)[1]])
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + quality.RIDGE)) for a, b in zip(borders, borders[1:], strict=False)])
+        assert np.allclose(quality._tree(g, h, n), want)
+    x = rng.random((500, 3))
+    model = quality.fit(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float))
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        z = model.bias + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_pipeline(spark, small):
     """Stages against a plain restatement on each one's own input."""
     import corpus_pipeline
@@ -385,6 +447,8 @@ def test_pipeline(spark, small):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert sum(r["length"] for r in packed) == sum(len(codec.ids(encoder, t)) + 1 for t in safe.values())
     assert pii.KINDS[:4] == list(helpers.BASE)
+    piece = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(piece, QUERIES["pipeline"](spark, small).collect())) == sorted(map(piece, packed))
 
 
 def test_registry():
