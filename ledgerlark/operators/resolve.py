@@ -1,18 +1,21 @@
 """Noisy constituency names and optional identifiers to one canonical row each, or a reason why not.
 
 A batch of requests is one plan: requests join the reference tables by equal keys (codes, normalised names, scopes,
-and for names without a scope the first three letters of their longest word), and the outcome is the first branch of
+and for names without a scope the rarest three letters of their longest word), and the outcome is the first branch of
 a ladder that applies. Names are scored by an Arrow UDF, only within the scope. No choice is ever made on a tie.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions import text as T
 from ledgerlark.functions.fuzzy import partial_ratio_udf
+from ledgerlark.sources.tables import written
 
 RESOLVED, NOT_FOUND, AMBIGUOUS = "resolved", "unresolved_not_found", "unresolved_ambiguous"
 SCOPE_REQUIRED, SCOPE_CONFLICT = "unresolved_scope_required", "unresolved_scope_conflict"
@@ -86,16 +89,60 @@ def _by_scope(district: str, state: str, anywhere: str):
     return F.when(F.col("scope_district").isNotNull(), F.col(district)).when(F.col("scope_state").isNotNull(), F.col(state)).otherwise(F.col(anywhere))
 
 
-def _pool(fuzzy: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows each request is scored against: those of its scope, or those with its longest word."""
-    by_district = fuzzy.where("scope_district is not null").join(rows.where("district_id is not null"), F.col("scope_district") == F.col("district_id"))
-    by_state = fuzzy.where("scope_district is null and scope_state is not null").join(rows, F.col("scope_state") == F.col("state_id"))
-    parts = rows.select(*rows.columns, F.lower("constituency").alias("_low")).withColumn("_grams", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - 2, F.lit(1))), lambda i: F.substring("_low", i, F.lit(3)))))
-    hindi = rows.where("constituency_hindi is not null").select(*rows.columns, F.lower("constituency_hindi").alias("_low")).withColumn("_grams", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - 2, F.lit(1))), lambda i: F.substring("_low", i, F.lit(3)))))
-    grams = parts.union(hindi).select(*rows.columns, "_low", F.explode("_grams").alias("_g"))
-    wide = fuzzy.where("scope_district is null and scope_state is null").withColumn("_t", F.lower("token")).withColumn("_g", F.left("_t", F.lit(3)))
-    by_token = wide.join(grams, "_g").where(F.contains("_low", F.col("_t"))).select(*by_state.columns).dropDuplicates(["req_id", "id"])
-    return by_district.union(by_state).union(by_token)
+def _letters(c: Column) -> Column:
+    """The runs of three letters of a text (all of it if it is shorter)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def _with_token(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """token and id of the rows with a name that contains it. A token meets the rows by its rarest three letters, so that
+    a beginning that all names share does not bring all of them together."""
+    spelled = rows.select("id", F.explode(F.array_compact(F.array(F.lower("constituency"), F.lower("constituency_hindi")))).alias("_low"))
+    grams = spelled.select("id", "_low", F.explode(_letters(F.col("_low"))).alias("_g"))
+    often = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = tokens.select("token", F.lower("token").alias("_t")).select("token", "_t", F.explode(_letters(F.col("_t"))).alias("_g")).join(often, "_g", "left")
+    rarest = own.groupBy("token", "_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).select("token", "_t", F.col("_r._g").alias("_g"))
+    return rarest.join(grams, "_g").where(F.contains("_low", F.col("_t"))).select("token", "id").distinct()
+
+
+def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """How many rows each key has, and how many with a name in either script."""
+    named = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), named("constituency").alias("n_english"), named("constituency_hindi").alias("n_local"))
+
+
+def _scored(unsure: DataFrame, rows: DataFrame) -> DataFrame:
+    """req_id, pool (rows of its scope, or with its longest word), scorable (those with a name in its script) and top (the
+    best by score). Sizes are looked up, not counted over pairs; equal requests are scored once, and those without a scope
+    only within the cap."""
+    scope = F.when(F.col("scope_district").isNotNull(), F.lit("d")).when(F.col("scope_state").isNotNull(), F.lit("s")).otherwise(F.lit("t"))
+    asked = written(unsure.withColumn("scope", scope))
+    # Requests, tokens and sizes are tables of their own, so that no plan holds the scopes' look-ups several times.
+    hits = _with_token(asked.where("scope = 't' and token is not null").select("token").distinct(), rows)
+    per_token = _sizes(hits.join(rows, "id"), "token")
+    sized = [
+        asked.where("scope = 'd'").join(_sizes(rows, "district_id").withColumnRenamed("district_id", "scope_district"), "scope_district", "left"),
+        asked.where("scope = 's'").join(_sizes(rows, "state_id").withColumnRenamed("state_id", "scope_state"), "scope_state", "left"),
+        asked.where("scope = 't'").join(per_token, "token", "left"),
+    ]
+    sized = reduce(DataFrame.unionByName, sized).select(*asked.columns, "n_rows", "n_english", "n_local")
+    sized = sized.withColumn("pool", F.coalesce("n_rows", F.lit(0))).withColumn("scorable", F.coalesce(F.when(F.col("local"), F.col("n_local")).otherwise(F.col("n_english")), F.lit(0)))
+    sized = written(sized)
+    keys = ["scope", "cleaned", "local", "scope_district", "scope_state", "token"]
+    names = sized.where((F.col("scope") != "t") | (F.col("pool") <= UNSCOPED_CAP)).where("scorable > 0").groupBy(*keys).agg(F.min("req_id").alias("rep"))
+    with_rows = [
+        names.where("scope = 'd'").join(rows, F.col("scope_district") == F.col("district_id")),
+        names.where("scope = 's'").join(rows, F.col("scope_state") == F.col("state_id")),
+        names.where("scope = 't'").join(hits.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token")).drop("_token").join(rows, "id"),
+    ]
+    value = F.when(F.col("local"), F.col("constituency_hindi")).otherwise(F.col("constituency"))
+    pairs = reduce(DataFrame.unionByName, with_rows).where(F.coalesce(value, F.lit("")) != "")
+    scored = pairs.select("rep", "id", F.col("state_id").alias("row_state"), partial_ratio_udf(T.nfc(F.col("cleaned")), T.nfc(value)).alias("score"))
+    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= TOP)
+    top = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "row_state", "score"))).alias("top"))
+    same = reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")), keys, F.lit(True))
+    found = sized.alias("a").join(names.join(top, "rep").alias("n"), same, "left")
+    return found.select("a.req_id", "a.pool", "a.scorable", "n.top")
 
 
 def resolve(requests: DataFrame, constituencies: DataFrame, states: DataFrame, districts: DataFrame, aliases: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
@@ -129,16 +176,12 @@ def resolve(requests: DataFrame, constituencies: DataFrame, states: DataFrame, d
     gap = F.when(F.col("scope_district").isNotNull(), F.coalesce("g_d", F.lit(0))).when(F.col("scope_state").isNotNull(), F.coalesce("g_s", F.lit(0))).otherwise(F.col("g_all"))
     r = r.withColumn("local", T.has_devanagari(F.col("cleaned"))).withColumn("gap", F.when(F.col("local"), gap).otherwise(F.lit(0)))
 
-    unsure = r.where(F.lit(fuzzy)).where("conflict is null and key <> '' and exact is null and gap = 0").select("req_id", "cleaned", "local", "token", "scope_district", "scope_state")
-    pool = _pool(unsure, rows)
-    value = F.when(F.col("local"), F.col("constituency_hindi")).otherwise(F.col("constituency"))
-    n_pool = pool.groupBy("req_id").agg(F.count(F.lit(1)).alias("pool"), F.count(F.nullif(value, F.lit(""))).alias("scorable"))
-    within = n_pool.where(F.col("pool") <= UNSCOPED_CAP).select("req_id")
-    scoped_ids = unsure.where("scope_district is not null or scope_state is not null").select("req_id").union(within).distinct()
-    scored = pool.where(F.coalesce(value, F.lit("")) != "").join(scoped_ids, "req_id", "left_semi").select("req_id", "id", F.col("state_id").alias("row_state"), partial_ratio_udf(T.nfc(F.col("cleaned")), T.nfc(value)).alias("score"))
-    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("req_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= TOP)
-    top = top.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "row_state", "score"))).alias("top"))
-    r = r.join(n_pool, "req_id", "left").join(top, "req_id", "left")
+    unsure = r.where("conflict is null and key <> '' and exact is null and gap = 0").select("req_id", "cleaned", "local", "token", "scope_district", "scope_state")
+    none = F.lit(None)
+    if fuzzy:
+        r = r.join(written(_scored(unsure, rows)), "req_id", "left")
+    else:
+        r = r.withColumns({"pool": none.cast("long"), "scorable": none.cast("long"), "top": none.cast("array<struct<rank:int,id:int,row_state:int,score:double>>")})
 
     # What the identifiers say.
     r = _look_up(r, rows.select(F.col("id").alias("by_id"), F.col("id").alias("found_id"), F.col("district_id").alias("id_district"), F.col("state_id").alias("id_state")), {"constituency_id": "by_id"})

@@ -22,6 +22,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in a scratch folder: what follows is planned from there, and not computed again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A file with a header in the schema's order, cells trimmed, with or without a byte-order mark, which is in the
     header alone; the same character inside cells stays."""
