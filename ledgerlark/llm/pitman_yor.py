@@ -8,16 +8,17 @@ How it is distributed. Tokens are dealt out by the word they are (the dish), as
 dish, in every context and in the parent, are in one place. Words that make up a thousandth of some partition are dealt
 out by word and context instead, and their parts meet in sums over at most HOT of them. What restaurants share, the
 numbers of their customers and tables, are arrays of fixed size, added up over the shards in chunks. So there are
-three passes over one shuffle: counts; Gibbs sampling, which gives the shared sums of each sample; and scoring, where
-each shard repeats its chain from the same seed and adds up its tokens' log probabilities for each document.
+four passes over one shuffle: counts; Gibbs sampling twice, which gives the shared sums of each sample, the second time
+from those of the first; and scoring, where each shard repeats its chain from the same seed and adds up its tokens'
+log probabilities for each document.
 
 The discounts are estimated from the corpus, by how many pairs have one and how many two tokens, and likewise words
 among the pairs: n1 / (n1 + 2 n2).
 
 Sampling: in each round all customers of every dish are seated again at once, by a draw of the dish's number of tables
 from its distribution given the number of its customers, first in the contexts and then in the parent. Of what other
-shards hold, the number of tables of each context, of the parent, and of frequent words are those of the first pass. The
-predictive probabilities of SAMPLES states of the chain are averaged before the logarithm is taken.
+shards hold, the numbers of tables of each context, of the parent, and of frequent words are those that the pass before
+left. The predictive probabilities of SAMPLES states of the chain are averaged before the logarithm is taken.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ CONTEXT_BITS = 16
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 2.0, 0.6, 20.0
 #: Rounds before the first sample and between samples, samples.
 BURN_IN, THIN, SAMPLES = 2, 1, 3
+#: Passes of sampling; each begins with what the shards share as the one before left it.
+SWEEPS = 2
 #: Customers of a dish up to which the weights of table numbers are listed; points of the integrals beyond.
 LISTED, NODES = 1024, 192
 #: Words dealt out by context too, at most, and the share of a piece that makes one such.
@@ -312,38 +315,42 @@ def _discounts(counts: dict) -> tuple[float, float]:
     return counts.get("discounts", (DISCOUNT, PARENT_DISCOUNT))
 
 
+def first_state(counts: dict) -> dict:
+    """What the shards share before any sampling: a table for each pair in its context and for each word in the parent."""
+    return {"tables": counts["contexts_types"], "customers": max(float(counts["contexts_types"].sum()), 1.0), "seats": float(counts["vocabulary"]), "hot_customers": counts["hot_types"], "hot_seats": np.minimum(counts["hot_types"], 1)}
+
+
 def chain(shard: Shard, counts: dict, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """SAMPLES states of the chain: tables of each pair, and of each word of the shard in the parent.
 
-    counts: what the first pass found (see _count). Words of hot have their parent seats on the driver; here their
-    probability is the one that the first pass suggests.
+    counts: what the first pass found (see _count), and the state of what other shards share, as the last pass left it.
+    Words of hot have their parent seats on the driver; here their probability is that of this state.
     """
     rng = np.random.default_rng(shard.number + 1)
-    share, base = 1 / (counts["vocabulary"] + 1), counts["contexts_types"].sum()
+    share = 1 / (counts["vocabulary"] + 1)
     discount, upper = _discounts(counts)
-    total = max(float(base), 1.0)
-    busy = PARENT_STRENGTH + total
+    state = counts.get("state") or first_state(counts)
+    busy, parent_total = PARENT_STRENGTH + state["customers"], state["seats"]
     is_hot = np.isin(shard.words, hot)
-    parent_total = float(counts["vocabulary"])
+    at = np.searchsorted(hot, shard.words[is_hot])
     several = np.flatnonzero(shard.count > 1)
     # At first, every pair has one table.
-    types = np.bincount(shard.word, shard.count > 0, len(shard.words))
-    where = np.searchsorted(hot, shard.words)
-    types[is_hot] = counts["hot_types"][where[is_hot]]
+    types = np.bincount(shard.word, shard.count > 0, len(shard.words)).astype(np.float64)
+    seats = np.minimum(types, 1)
+    types[is_hot], seats[is_hot] = state["hot_customers"][at], state["hot_seats"][at]
 
     def predictive(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (np.maximum(customers - upper * tables, 0) + (PARENT_STRENGTH + upper * parent_total) * share) / busy
 
-    p = predictive(types, np.minimum(types, 1))
-    room = STRENGTH + discount * counts["contexts_types"][shard.context[several]]
+    p = predictive(types, seats)
+    room = STRENGTH + discount * state["tables"][shard.context[several]]
     rounds = BURN_IN + 1 + THIN * (SAMPLES - 1)
     for r in range(rounds):
         tables = (shard.count > 0).astype(np.int64)
         tables[several] = draw_tables(shard.count[several], room * p[shard.word[several]], discount, rng)
         customers = np.bincount(shard.word, tables, len(shard.words)).astype(np.int64)
         parent = _seat_parent(customers, share, parent_total, upper, rng)
-        seen = np.where(is_hot, types, customers)
-        p = predictive(seen, np.where(is_hot, np.minimum(types, 1), parent))
+        p = predictive(np.where(is_hot, types, customers), np.where(is_hot, seats, parent))
         if r >= BURN_IN and (r - BURN_IN) % THIN == 0:
             yield tables, parent
 
@@ -452,17 +459,20 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(key, folds, fold).alias("held"))
     total, hot = _survey(rows)
     n_shards = shards or max(1, math.ceil(total / SHARD_TOKENS))
-    dealt = _deal(rows, hot, n_shards).rdd  # one shuffle, whose files all three passes read
+    dealt = _deal(rows, hot, n_shards).rdd  # one shuffle, whose files all passes read
     counts = _added(dealt, lambda shard: _count(shard, hot)) if total else {}
     if total:
         counts["vocabulary"] = int(counts.pop("words")[0] + (counts["hot"] > 0).sum())
         train_tokens = int(counts["contexts"].sum())
         counts["discounts"] = estimate(counts.pop("ones"))
-        known = spark.sparkContext.broadcast(counts)
-        sums = _added(dealt, lambda shard: _sums(shard, known.value, hot))
         rng = np.random.default_rng(0)
-        sums["hot_tables"] = np.array([_seat_parent(h.astype(np.int64), 1 / (counts["vocabulary"] + 1), float(counts["vocabulary"]), counts["discounts"][1], rng) for h in sums["hot"]])
-        sums["parent"] += np.column_stack([sums["hot"].sum(axis=1), sums["hot_tables"].sum(axis=1)])
+        for _ in range(SWEEPS):
+            known = spark.sparkContext.broadcast(counts)
+            sums = _added(dealt, lambda shard, known=known: _sums(shard, known.value, hot))
+            seats = (counts.get("state") or first_state(counts))["seats"]
+            sums["hot_tables"] = np.array([_seat_parent(h.astype(np.int64), 1 / (counts["vocabulary"] + 1), seats, counts["discounts"][1], rng) for h in sums["hot"]])
+            sums["parent"] += np.column_stack([sums["hot"].sum(axis=1), sums["hot_tables"].sum(axis=1)])
+            used, counts = known, counts | {"state": {"tables": sums["contexts"][-1], "customers": sums["parent"][-1, 0], "seats": sums["parent"][-1, 1], "hot_customers": sums["hot"][-1], "hot_seats": sums["hot_tables"][-1]}}
         shared = spark.sparkContext.broadcast(sums)
         below = math.log10(train_tokens + counts["vocabulary"] + 1)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -475,7 +485,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
         for shard, about in _shards(part):
             for piece, blob in about:
                 yield piece, b"D" + blob
-            for piece, sums_of in _score(shard, known.value, shared.value, hot) if len(shard.word) else ():
+            for piece, sums_of in _score(shard, used.value, shared.value, hot) if len(shard.word) else ():
                 held.setdefault(piece, []).append(sums_of)
         for piece, found in held.items():
             doc, *values = (np.concatenate(x) for x in zip(*found, strict=True))
