@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ledgerlark.functions import extract, text, validate
 from ledgerlark.operators import gates, geo, layout, load, records, requests, resolve
-from ledgerlark.plans.queries import constituencies, districts, query, states, voters
+from ledgerlark.plans.queries import ORACLES, constituencies, districts, query, states, voters
 from ledgerlark.sources.tables import parquet
 
 # Gates.
@@ -172,9 +172,12 @@ def state_and_label_functions(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "part").select("p_partkey", text.normal_state(raw).alias("state"), text.has_devanagari(script).alias("local"), text.local_or_english(local, F.col("p_brand")).alias("shown"), text.strip_prefix(F.concat(F.lit("जिला : "), F.col("p_name")), text.DISTRICT_LABEL).alias("district"))
 
 
-@query(r"select page_id, (i - 1)::int as place, trim(replace(replace(replace(replace(replace(regexp_replace(cells[i], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) as cell from (select page_id, regexp_extract_all(html, '(?s)<(?:li|h1)>(.*?)</(?:li|h1)>', 1) as cells from pages), unnest(generate_series(1, len(cells))) as t(i)")
-def html_cell_texts(spark: SparkSession, d: str) -> DataFrame:
-    return parquet(spark, d, "pages").select("page_id", F.posexplode(extract.html_cells(F.col("html"), ("li", "h1"))).alias("place", "cell"))
+_CELLS_SQL = r"""(select page_id, (i - 1)::int as place, trim(replace(replace(replace(replace(replace(regexp_replace(cells[i], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) as cell
+ from (select page_id, regexp_extract_all(html, '(?s)<(?:li|h1)>(.*?)</(?:li|h1)>', 1) as cells from pages), unnest(generate_series(1, len(cells))) as t(i))"""
+ORACLES["html_cells"] = f"select * from {_CELLS_SQL}"
+ORACLES["pairs_adjacent"] = f"select page_id, place, cell as label, value from (select *, lead(cell) over (partition by page_id order by place) as value, lead(place) over (partition by page_id order by place) as following from {_CELLS_SQL}) where following is not null"
+#: The pages have no sheet's labels, so that nothing is found.
+ORACLES["parse_documents"] = "select page_id, " + ", ".join(f"null::varchar as {f}" for f in extract.FIELDS) + " from pages"
 
 
 # Sheets.
