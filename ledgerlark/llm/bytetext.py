@@ -7,8 +7,11 @@ its texts, so no Python object is made per word. Only A-Z are lower-cased; space
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 #: Odd multipliers: of the rolling polynomial, and of the steps that mix words into shingles.
@@ -123,3 +126,15 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def distinct_sets(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct values of each row."""
     return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def slices(batch: pa.RecordBatch, column: int, at_most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about so many bytes together; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + at_most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
