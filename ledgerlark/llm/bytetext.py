@@ -53,10 +53,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (from 0) of a string column without nulls."""
+    """Bytes and row offsets (from 0) of a string or binary column without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n, at = len(column), column.offset
     _, offs, data = column.buffers()
     if n == 0 or data is None:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, html_extract, lexical, licenses, minhash, packing, pii, pitman_yor, quality, simhash, token_tree
+from ledgerlark.llm import decontaminate, html_extract, lexical, licenses, minhash, packing, pii, pitman_yor, quality, simhash, suffix_dedup, token_tree
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op6_licenses": licenses.op6_licenses,
     "op3_token_counts": token_tree.op3_token_counts,
