@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, html_extract, lexical, licenses, minhash, packing, pii, pitman_yor, quality, simhash, suffix_dedup, token_tree
+from ledgerlark.llm import decontaminate, hard_negatives, html_extract, lexical, licenses, minhash, packing, pii, pitman_yor, quality, simhash, suffix_dedup, token_tree
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op6_licenses": licenses.op6_licenses,
@@ -31,4 +32,4 @@ QUERIES = {
 }
 
 #: Only what SQL can express on whole tables; the others are tested against plain restatements in tests/llm.
-ORACLES: dict[str, str] = {"op7_minhash": minhash.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op7_minhash": minhash.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
