@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.plans import families
+from ledgerlark.plans import families, mechanisms
 from ledgerlark.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "families"]
+__all__ = ["ORACLES", "QUERIES", "families", "mechanisms"]
