@@ -27,7 +27,7 @@ from ledgerlark.llm.common import settle, table
 
 SAMPLE, CELLS = 32_768, 8_192
 #: Rows of a block, rows of a leaf, queries of a block; blocks of queries whose best rows a task holds.
-BLOCK, LEAF, QUERIES, HELD = 4_096, 128, 256, 4_096
+BLOCK, LEAF, QUERIES, HELD = 4_096, 256, 512, 4_096
 POSITIVES, NEGATIVES = 5, 3
 SCALE, MOST = 256, 1 << 24
 LOW, HIGH = -(1 << 62), 1 << 62
@@ -258,10 +258,15 @@ def _visit(sent: DataFrame, blocks: DataFrame, k: int, same_label: bool, most: f
                     for one in np.unique(at[going]):
                         who = going[at[going] == one]
                         a, b = starts[one], starts[one + 1]
-                        score = _dot(q[who], x[a:b], most).astype(np.int64)
-                        fits = (labels[None, a:b] == own[who, None]) == same_label
-                        fits &= (ids[None, a:b] != anchors[who, None]) & (score >= low[who, None]) & (score <= high[who, None])
-                        score = np.where(fits, score, LOW)
+                        score = _dot(q[who], x[a:b], most)
+                        fits = (score >= need[who, None]) & (score <= high[who, None])
+                        fits &= (labels[None, a:b] == own[who, None]) == same_label
+                        some = np.flatnonzero(fits.any(1))
+                        if not len(some):
+                            continue
+                        # Most rows are out by now: only those of queries that have a better one are sorted.
+                        who = who[some]
+                        score = np.where(fits[some] & (ids[None, a:b] != anchors[who, None]), score[some].astype(np.int64), LOW)
                         order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids rise within a leaf
                         score = np.take_along_axis(score, order, 1)
                         found = np.where(score > LOW, ids[a:b][order], HIGH)
