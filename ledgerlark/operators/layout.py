@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions.text import plain_punctuation, reservation, without_reservation
+from ledgerlark.sources.tables import written
 
 TOLERANCE = 2.0
 #: Where the column of extents begins between the left edges of names and extents.
@@ -19,7 +20,9 @@ BOUNDARY = 0.62
 
 def cluster_lines(fragments: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """page, y and frags of each line: fragments (page, x, y, text) whose y is within the tolerance of the line's first,
-    in the order in which they come (place). Lines go down the page, fragments to the right. A page is one group."""
+    in the order in which they come (place). Lines go down the page, fragments to the right. A page is one group; with a
+    column doc, a page of a document is, and doc stays."""
+    keys_of = [c for c in ("doc", "page") if c in fragments.columns]
 
     def lines(page: pd.DataFrame) -> pd.DataFrame:
         keys: list[float] = []
@@ -32,9 +35,10 @@ def cluster_lines(fragments: DataFrame, tolerance: float = TOLERANCE) -> DataFra
                 k = len(keys) - 1
             held[k].append((x, text))
         order = sorted(range(len(keys)), key=lambda i: -keys[i])
-        return pd.DataFrame({"page": [page["page"].iloc[0]] * len(order), "line": range(len(order)), "y": [keys[i] for i in order], "frags": [[{"x": x, "text": t} for x, t in sorted(held[i], key=lambda f: f[0])] for i in order]})
+        return pd.DataFrame({**{k: [page[k].iloc[0]] * len(order) for k in keys_of}, "line": range(len(order)), "y": [keys[i] for i in order], "frags": [[{"x": x, "text": t} for x, t in sorted(held[i], key=lambda f: f[0])] for i in order]})
 
-    return fragments.groupBy("page").applyInPandas(lines, "page long, line long, y double, frags array<struct<x:double,text:string>>")
+    kinds = dict(fragments.dtypes)
+    return fragments.groupBy(*keys_of).applyInPandas(lines, "".join(f"{k} {kinds[k]}, " for k in keys_of) + "line long, y double, frags array<struct<x:double,text:string>>")
 
 
 def section_ranges(marks: DataFrame, group: list[str], at: str) -> DataFrame:
@@ -77,31 +81,31 @@ def in_sections(lines: DataFrame) -> DataFrame:
 
     A heading among the first lines of a page begins a section there; its name is the next line of the page that is not
     empty, if that is no heading of a part. A section goes on to the page before the next one's; lines before the first
-    are left out. Of two headings on a page the later counts.
+    are left out. Of two headings on a page the later counts. Windows over a page and over a document's pages: the lines
+    are sorted, not joined with what was found in them.
     """
+    page, pages = Window.partitionBy("doc", "page"), Window.partitionBy("doc").orderBy("page").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.when(F.col("text").rlike(SECTION), F.lit("schedule")).when(F.col("text").rlike(ANNEXURE), F.lit("annexure"))
-    marks = lines.where(F.col("line") < HEAD_LINES).select("doc", "page", F.col("line").alias("at"), kind.alias("kind")).where("kind is not null")
-    marks = marks.groupBy("doc", "page").agg(F.max(F.struct("at", "kind")).alias("mark"))
-    after = lines.join(marks, ["doc", "page"]).where((F.col("line") > F.col("mark.at")) & (F.col("text") != ""))
-    following = after.groupBy("doc", "page").agg(F.min(F.struct("line", "text"))["text"].alias("following"))
-    named = F.when(F.col("mark.kind") == "annexure", F.lit(ANNEXURE_NAME)).when(~F.col("following").rlike(PART_A) & ~F.contains(F.upper("following"), F.lit("PARLIAMENT")), F.upper("following"))
-    starts = marks.join(following, ["doc", "page"], "left").select("doc", "page", F.struct(F.col("page").alias("section"), named.alias("name"), (F.col("mark.kind") == "annexure").alias("annexure")).alias("s"))
-    pages = lines.select("doc", "page").distinct().join(starts, ["doc", "page"], "left")
-    so_far = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    placed = pages.withColumn("s", F.last("s", ignorenulls=True).over(so_far)).where("s is not null").select("doc", "page", "s.*")
-    return lines.join(placed, ["doc", "page"])
+    own = F.when((F.col("line") < HEAD_LINES) & kind.isNotNull(), F.struct(F.col("line").alias("at"), kind.alias("kind")))
+    marked = lines.withColumn("_mark", F.max(own).over(page))
+    after = (F.col("line") > F.col("_mark.at")) & (F.col("text") != "")
+    marked = marked.withColumn("_following", F.min(F.when(after, F.struct("line", "text"))).over(page)["text"])
+    named = F.when(F.col("_mark.kind") == "annexure", F.lit(ANNEXURE_NAME)).when(~F.col("_following").rlike(PART_A) & ~F.contains(F.upper("_following"), F.lit("PARLIAMENT")), F.upper("_following"))
+    start = F.when(F.col("_mark").isNotNull(), F.struct(F.col("page").alias("section"), named.alias("name"), (F.col("_mark.kind") == "annexure").alias("annexure")))
+    placed = marked.withColumn("_start", F.last(start, ignorenulls=True).over(pages)).where(F.col("_start").isNotNull())
+    return placed.select(*lines.columns, "_start.*")
 
 
 def in_part_a(lines: DataFrame) -> DataFrame:
     """The lines of in_sections() from the page of part A's heading up to the line of part B's, or to the section's end."""
+    section, page = Window.partitionBy("doc", "section"), Window.partitionBy("doc", "section", "page")
     place = F.struct("page", "line")
     opens = F.col("text").rlike(PART_A) | (F.col("annexure") & F.col("text").rlike(PART_A_OF_ANNEXURE))
-    first = lines.where(opens).groupBy("doc", "section").agg(F.min(place).alias("first"))
-    inside = lines.join(first, ["doc", "section"])
-    last = inside.where((place > F.col("first")) & F.col("text").rlike(PART_B)).groupBy("doc", "section").agg(F.min(place).alias("last"))
-    kept = inside.join(last, ["doc", "section"], "left").where((F.col("page") >= F.col("first.page")) & (F.col("last").isNull() | (place < F.col("last"))))
-    stops = kept.where(F.col("text").rlike(STOP)).groupBy("doc", "section", "page").agg(F.min("line").alias("stop"))
-    return kept.join(stops, ["doc", "section", "page"], "left").where("stop is null or line < stop").select(*lines.columns)
+    found = lines.withColumn("_first", F.min(F.when(opens, place)).over(section)).where(F.col("_first").isNotNull())
+    found = found.withColumn("_last", F.min(F.when((place > F.col("_first")) & F.col("text").rlike(PART_B), place)).over(section))
+    kept = found.where((F.col("page") >= F.col("_first.page")) & (F.col("_last").isNull() | (place < F.col("_last"))))
+    stop = kept.withColumn("_stop", F.min(F.when(F.col("text").rlike(STOP), F.col("line"))).over(page))
+    return stop.where("_stop is null or line < _stop").select(*lines.columns)
 
 
 def column_edge(lines: DataFrame) -> DataFrame:
@@ -172,7 +176,7 @@ def assemble_rows(lines: DataFrame, edge: float | None = None) -> DataFrame:
 def delimitation(lines: DataFrame) -> DataFrame:
     """Constituencies of an order from its lines (doc, page, line, frags): state_name, district, ac_number, constituency,
     reservation, extent and page. Sections without a name, a part A or two columns give no rows."""
-    part = in_part_a(in_sections(with_text(lines)).where(F.col("name").isNotNull() & ~F.contains("name", F.lit("PARLIAMENT"))))
+    part = written(in_part_a(in_sections(with_text(lines)).where(F.col("name").isNotNull() & ~F.contains("name", F.lit("PARLIAMENT")))))
     rows = with_district(part.join(column_edge(part), ["doc", "section"]))
     found = assemble_rows(rows.withColumn("section", F.col("name")))
     return found.select(F.col("section").alias("state_name"), F.col("heading").alias("district"), F.col("number").alias("ac_number"), without_reservation(F.col("name")).alias("constituency"), F.coalesce(reservation(F.col("name")), F.lit("")).alias("reservation"), F.col("extent"), (F.col("page") + 1).alias("page"))

@@ -17,13 +17,10 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], null_safe: bool) -> Colum
 
 def first_of_each(stage: DataFrame, keys: list[str], order: list[str] | None = None, null_safe: bool = True) -> DataFrame:
     """One row of each key: the first by order, or by all columns. Unless null_safe, rows with a null key all stay."""
-    pick = F.min_by(F.struct(*stage.columns), F.struct(*(order or stage.columns))).alias("r")
-    if null_safe:
-        return stage.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick).select("r.*")
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
-    return stage.where(whole).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick).select("r.*").union(stage.where(~whole))
+    pick = F.min_by(F.struct(*stage.columns), F.struct(*order)) if order else F.min(F.struct(*stage.columns))
+    # A null in a key makes a row's own number part of the key, so that it stays alone; one shuffle for all rows.
+    alone = [] if null_safe else [F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.monotonically_increasing_id()).alias("_alone")]
+    return stage.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], *alone).agg(pick.alias("r")).select("r.*")
 
 
 def insert_absent(target: DataFrame, stage: DataFrame, keys: list[str], null_safe: bool = False, order: list[str] | None = None) -> DataFrame:
@@ -51,8 +48,18 @@ def update_present(target: DataFrame, changes: DataFrame, keys: list[str]) -> Da
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """update_present, and the rows of changes with new keys."""
-    return insert_absent(update_present(target, changes, keys), changes, keys)
+    """update_present, and the rows of changes with new keys (the first by all columns of each, all with a null key). One
+    aggregate over both by the key: keys of target are unique, or null and then of no change."""
+    missing = [c for c in target.columns if c not in changes.columns]
+    given = changes.withColumns({c: F.lit(None).cast(target.schema[c].dataType) for c in missing}).select(*target.columns) if missing else changes.select(*target.columns)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    alone = F.when(~whole, F.monotonically_increasing_id()).alias("_alone")
+    both = target.withColumn("_side", F.lit(0)).union(given.withColumn("_side", F.lit(1)))
+    row = F.struct(*target.columns)
+    sides = both.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], alone).agg(F.min(F.when(F.col("_side") == 0, row)).alias("o"), F.min(F.when(F.col("_side") == 1, row)).alias("n"))
+    return sides.select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c not in keys else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in target.columns])
 
 
 def delete(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,12 +95,18 @@ def reconcile(rows: DataFrame, reference: DataFrame, on: tuple[str, str], ref: t
     return out.select(*rows.columns, F.when(confidence != "no_district_in_source", F.coalesce("_code", "_alias")).alias("code"), confidence.alias("confidence"))
 
 
+def _only(codes: DataFrame) -> DataFrame:
+    """(_ref, _code) of the names that have one row."""
+    return codes.groupBy("_ref").agg(F.max("_code").alias("_code"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+
+
 def official(legacy: DataFrame, reference: DataFrame, name: str, ref_name: str, ref_code: str, aliases: DataFrame) -> DataFrame:
     """legacy with code and used (how many of its rows have the code): that of the equal name, else that of the alias
-    (alias, name). Each row is to have a code that no other has; gates.failing tells which have not."""
-    codes = reference.select(F.col(ref_name).alias("_ref"), F.col(ref_code).alias("_code"))
+    (alias, name). A name that the reference has more than once, or an alias with two names, gives no code. Each row is to
+    have a code that no other has."""
+    codes = _only(reference.select(F.col(ref_name).alias("_ref"), F.col(ref_code).alias("_code")))
     direct = legacy.join(codes, F.col(name) == F.col("_ref"), "left").drop("_ref")
-    known = aliases.join(codes, aliases["name"] == codes["_ref"]).select(F.col("alias").alias("_ref"), F.col("_code").alias("_by_alias"))
+    known = _only(aliases.join(codes, aliases["name"] == codes["_ref"]).select(F.col("alias").alias("_ref"), F.col("_code"))).withColumnRenamed("_code", "_by_alias")
     found = direct.join(known, F.col(name) == F.col("_ref"), "left").select(*legacy.columns, F.coalesce("_code", "_by_alias").alias("code"))
     n = found.where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("used"))
     return found.join(n, "code", "left").select(*legacy.columns, "code", F.coalesce("used", F.lit(0)).alias("used"))

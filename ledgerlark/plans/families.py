@@ -176,8 +176,9 @@ _CELLS_SQL = r"""(select page_id, (i - 1)::int as place, trim(replace(replace(re
  from (select page_id, regexp_extract_all(html, '(?s)<(?:li|h1)>(.*?)</(?:li|h1)>', 1) as cells from pages), unnest(generate_series(1, len(cells))) as t(i))"""
 ORACLES["html_cells"] = f"select * from {_CELLS_SQL}"
 ORACLES["pairs_adjacent"] = f"select page_id, place, cell as label, value from (select *, lead(cell) over (partition by page_id order by place) as value, lead(place) over (partition by page_id order by place) as following from {_CELLS_SQL}) where following is not null"
-#: The pages have no sheet's labels, so that nothing is found.
-ORACLES["parse_documents"] = "select page_id, " + ", ".join(f"null::varchar as {f}" for f in extract.FIELDS) + " from pages"
+ORACLES["parse_documents"] = """select page_id, 'Reader ' || page_id || ' of ' || host as name, 'ABC' || lpad((page_id % 10000000)::varchar, 7, '0') as epic, '97' || lpad((page_id % 100000000)::varchar, 8, '0') as mobile, page_id::varchar as serial_number,
+ '7 - ' || host as part_number_and_name, 'AC ' || host as assembly_constituency, 'D ' || host as district, 'उत्तर प्रदेश' as state, '12 ' || host || ' Ward ' || page_id as address
+ from (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages)"""
 
 
 # Sheets.
@@ -195,7 +196,9 @@ def _sheets(spark: SparkSession, d: str) -> DataFrame:
     pair = F.concat(F.lit("<td>जिला</td><td>जिला: "), F.col("p_brand"), F.lit("</td>"))
     phone = F.concat(F.lit("<td>मोबाइल नंबर</td><td>+91 98"), F.lpad((k % 100000000).cast("string"), 8, "0"), F.lit("</td>"))
     in_cells = F.concat(F.lit("<table><tr><td>"), F.replace(sheet, F.lit("\n"), F.lit("<br>")), F.lit("</td>"), pair, phone, F.lit("</tr></table>"))
-    return parquet(spark, d, "part").select("p_partkey", F.when(k % 2 == 0, F.concat(sheet, F.lit("<table><tr>"), pair, F.lit("</tr></table>"))).otherwise(in_cells).alias("sheet"))
+    # A small file is one task; each row is some milliseconds of work.
+    parts = parquet(spark, d, "part").repartition(spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", F.when(k % 2 == 0, F.concat(sheet, F.lit("<table><tr>"), pair, F.lit("</tr></table>"))).otherwise(in_cells).alias("sheet"))
 
 
 @query(

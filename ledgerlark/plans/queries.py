@@ -358,8 +358,16 @@ def pairs_adjacent(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def parse_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The nine fields of the sheets that stand in the pages' place; few pages have any."""
-    return extract.parse(parquet(spark, d, "pages").select("page_id", "html"), "html").select("page_id", *[F.col(f"parsed.{f}.value").alias(f) for f in extract.FIELDS])
+    """The nine fields of a record sheet that stands in a page, below all of the page's own html."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    number, phone = F.lpad((k % 10000000).cast("string"), 7, "0"), F.lpad((k % 100000000).cast("string"), 8, "0")
+    lines = [
+        F.concat(F.lit("निर्वाचक का नाम: Reader "), k.cast("string"), F.lit(" of "), host), F.concat(F.lit("ईपीआईसी: ABC"), number), F.concat(F.lit("पता: 12 "), host, F.lit("<br>Ward "), k.cast("string")), F.concat(F.lit("क्रम संख्या: "), k.cast("string")),
+        F.concat(F.lit("भाग संख्या एवं नाम: 7 - "), host), F.concat(F.lit("विधानसभा निर्वाचन क्षेत्र का नाम: AC "), host), F.lit("राज्य का नाम: UP"),
+    ]
+    rest = F.concat(F.lit("</td><td>जिला</td><td>जिला: D "), host, F.lit("</td><td>मोबाइल नंबर</td><td>+91 97"), phone, F.lit("</td></tr></table>"))
+    pages = parquet(spark, d, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("<table><tr><td>"), F.concat_ws("<br>", *lines), rest).alias("html"))
+    return extract.parse(pages.repartition(spark.sparkContext.defaultParallelism), "html").select("page_id", *[F.col(f"parsed.{f}.value").alias(f) for f in extract.FIELDS])
 
 
 # Layout.
