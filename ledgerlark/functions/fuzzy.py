@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def bag(c: Column) -> Column:
+    """The characters of a text, each with how often it stood before, so that equal ones differ: the common elements of two
+    bags are the characters that the texts have in common, with repeats."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def bound(a: Column, b: Column, bag_a: Column, bag_b: Column) -> Column:
+    """No partial_ratio of a and b is higher. A common subsequence has no more characters than the bags have in common, and
+    a window that is cut off has no fewer than it. Null bags have nothing in common."""
+    m = F.least(F.char_length(a), F.char_length(b))
+    common = F.least(F.coalesce(F.size(F.array_intersect(bag_a, bag_b)), F.lit(0)), m)
+    return F.when(m > 0, 200.0 * common / (m + common)).when(a == b, F.lit(100.0)).otherwise(F.lit(0.0))
+
+
 def _common(masks: dict[str, int], size: int, other: str) -> int:
     """Length of the longest common subsequence, by bit operations; masks: the places of each character."""
     free = (1 << size) - 1

@@ -2,7 +2,8 @@
 
 A batch of requests is one plan: requests join the reference tables by equal keys (codes, normalised names, scopes,
 and for names without a scope the rarest three letters of their longest word), and the outcome is the first branch of
-a ladder that applies. Names are scored by an Arrow UDF, only within the scope. No choice is ever made on a tie.
+a ladder that applies. Names are scored within the scope: bounds of all scores in SQL, scores of those that can matter by
+an Arrow UDF. No choice is ever made on a tie.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions import text as T
-from ledgerlark.functions.fuzzy import partial_ratio_udf
+from ledgerlark.functions.fuzzy import bag, bound, partial_ratio_udf
 from ledgerlark.sources.tables import written
 
 RESOLVED, NOT_FOUND, AMBIGUOUS = "resolved", "unresolved_not_found", "unresolved_ambiguous"
 SCOPE_REQUIRED, SCOPE_CONFLICT = "unresolved_scope_required", "unresolved_scope_conflict"
 REFERENCE_UNAVAILABLE, UNVERIFIED, WEAK_MATCH = "unresolved_reference_unavailable", "unresolved_unverified", "weak_match"
 THRESHOLD, TOP, UNSCOPED_CAP, UNCONFIRMED = 65, 5, 200, 0.3
+#: So many rows of each name are scored first, by their bounds.
+FIRST = 12
 
 
 def alias_targets(aliases: DataFrame) -> DataFrame:
@@ -111,6 +114,15 @@ def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), named("constituency").alias("n_english"), named("constituency_hindi").alias("n_local"))
 
 
+def _pairs(names: DataFrame, rows: DataFrame, hits: DataFrame) -> list[DataFrame]:
+    """Each name with the rows of its scope."""
+    return [
+        names.where("scope = 'd'").join(rows, F.col("scope_district") == F.col("district_id")),
+        names.where("scope = 's'").join(rows, F.col("scope_state") == F.col("state_id")),
+        names.where("scope = 't'").join(hits.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token")).drop("_token").join(rows, "id"),
+    ]
+
+
 def _scored(unsure: DataFrame, rows: DataFrame) -> DataFrame:
     """req_id, pool (rows of its scope, or with its longest word), scorable (those with a name in its script) and top (the
     best by score). Sizes are looked up, not counted over pairs; equal requests are scored once, and those without a scope
@@ -130,15 +142,24 @@ def _scored(unsure: DataFrame, rows: DataFrame) -> DataFrame:
     sized = written(sized)
     keys = ["scope", "cleaned", "local", "scope_district", "scope_state", "token"]
     names = sized.where((F.col("scope") != "t") | (F.col("pool") <= UNSCOPED_CAP)).where("scorable > 0").groupBy(*keys).agg(F.min("req_id").alias("rep"))
-    with_rows = [
-        names.where("scope = 'd'").join(rows, F.col("scope_district") == F.col("district_id")),
-        names.where("scope = 's'").join(rows, F.col("scope_state") == F.col("state_id")),
-        names.where("scope = 't'").join(hits.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token")).drop("_token").join(rows, "id"),
-    ]
     value = F.when(F.col("local"), F.col("constituency_hindi")).otherwise(F.col("constituency"))
-    pairs = reduce(DataFrame.unionByName, with_rows).where(F.coalesce(value, F.lit("")) != "")
-    scored = pairs.select("rep", "id", F.col("state_id").alias("row_state"), partial_ratio_udf(T.nfc(F.col("cleaned")), T.nfc(value)).alias("score"))
-    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= TOP)
+    # Bounds need no Python: the best of each name by bound are scored, and then those that can still be among the best.
+    bags = lambda df, *columns: reduce(lambda d, c: d.withColumn(f"{c}_bag", bag(F.col(c))), columns, df)
+    sides = {"names": written(bags(names.withColumn("asked_name", T.nfc(F.col("cleaned"))), "asked_name")), "rows": written(bags(rows.withColumns({c: T.nfc(F.col(c)) for c in ("constituency", "constituency_hindi")}), "constituency", "constituency_hindi"))}
+    pairs = reduce(DataFrame.unionByName, _pairs(sides["names"], sides["rows"], hits)).where(F.coalesce(value, F.lit("")) != "")
+    value_bag = F.when(F.col("local"), F.col("constituency_hindi_bag")).otherwise(F.col("constituency_bag"))
+    bounds = written(pairs.select("rep", "id", bound(F.col("asked_name"), value, F.col("asked_name_bag"), value_bag).alias("most")))
+
+    def scored(some: DataFrame) -> DataFrame:
+        with_names = some.join(sides["names"].select("rep", "asked_name", "local"), "rep").join(sides["rows"].select("id", F.col("state_id").alias("row_state"), "constituency", "constituency_hindi"), "id")
+        return with_names.select("rep", "id", "row_state", partial_ratio_udf(F.col("asked_name"), value).alias("score"))
+
+    first = bounds.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("most"), "id"))).where(F.col("place") <= FIRST)
+    near = written(scored(first))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= TOP)
+    least = ranked(near).groupBy("rep").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    able = bounds.join(least, "rep").where((F.col("n") < TOP) | (F.col("most") >= F.col("least"))).join(near.select("rep", "id"), ["rep", "id"], "left_anti")
+    top = ranked(near.union(scored(able)))
     top = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "row_state", "score"))).alias("top"))
     same = reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")), keys, F.lit(True))
     found = sized.alias("a").join(names.join(top, "rep").alias("n"), same, "left")
