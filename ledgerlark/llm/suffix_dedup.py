@@ -28,10 +28,10 @@ WIDTH, GRAM = 100, 24
 #: Bytes of text in a piece whose windows are hashed at once, and in a block whose runs leave the task together.
 PIECE, BLOCK = 1 << 19, 1 << 23
 #: Bytes of text of which a shard has the runs, and bytes of fetched runs that are sorted together.
-SHARD, SORTED = 16 << 20, 2 << 20
+SHARD, SORTED = 16 << 20, 3 << 20
 #: Runs of a shard in memory at once, beyond which they are dealt to files. Different runs of one hash, beyond which their
 #: windows are compared one by one by hash in SQL: they would not fit a shard.
-HELD, CROWD = 4_000_000, 16_384
+HELD, CROWD = 4_000_000, 65_536
 LAST = (1 << 63) - 1
 
 _U = np.uint64
