@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,17 +46,61 @@ def is_blurred(image: Column) -> Column:
     return sharpness(image["height"], image["width"], image["nChannels"], image["data"]) < BLURRED
 
 
-def widen(image: np.ndarray, width: int) -> np.ndarray:
-    """The image in another width, its height in proportion, by the nearest pixels."""
+#: Weights of a resampled pixel are whole numbers of 1/2048.
+WEIGHT_BITS = 11
+
+
+@lru_cache(maxsize=256)
+def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of new pixels in a row of old ones: the two old pixels around its centre, and their weights."""
+    centre = (np.arange(new) + 0.5) * (old / new) - 0.5
+    left = np.floor(centre)
+    share = np.where((left < 0) | (left >= old - 1), 0.0, centre - left)
+    left = np.clip(left, 0, old - 1).astype(np.int64)
+    one = 1 << WEIGHT_BITS
+    return left, np.minimum(left + 1, old - 1), np.rint((1 - share) * one).astype(np.int64), np.rint(share * one).astype(np.int64)
+
+
+def resample(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image in another size, each pixel between the four around its centre in proportion (bilinear)."""
     h, w = image.shape[:2]
-    height = max(1, int(h * width / w))
-    return image[np.arange(height) * h // height][:, np.arange(width) * w // width]
+    wide = image.astype(np.int64)
+    if w != width:
+        a, b, wa, wb = _taps(w, width)
+        shape = (1, -1) + (1,) * (image.ndim - 2)
+        wide = wide[:, a] * wa.reshape(shape) + wide[:, b] * wb.reshape(shape)
+    else:
+        wide = wide << WEIGHT_BITS
+    if h != height:
+        a, b, wa, wb = _taps(h, height)
+        shape = (-1,) + (1,) * (image.ndim - 1)
+        wide = wide[a] * wa.reshape(shape) + wide[b] * wb.reshape(shape)
+    else:
+        wide = wide << WEIGHT_BITS
+    half = 1 << (2 * WEIGHT_BITS - 1)
+    return ((wide + half) >> (2 * WEIGHT_BITS)).astype(np.uint8)
 
 
 def stack(parts: list[np.ndarray]) -> np.ndarray:
-    """The parts one below the other, all in the width of the widest one."""
+    """The parts one below the other, each in its own height and all in the width of the widest one."""
     width = max(p.shape[1] for p in parts)
-    return np.concatenate([p if p.shape[1] == width else widen(p, width) for p in parts])
+    return np.concatenate([p if p.shape[1] == width else resample(p, p.shape[0], width) for p in parts])
+
+
+def resized(images: DataFrame, height: int, width: int) -> DataFrame:
+    """Rows (key, height, width, nChannels, data) of images in one size; an image without pixels stays as it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, h, w, c, raw in batch[["key", "height", "width", "nChannels", "data"]].itertuples(index=False):
+                if raw is not None and h and w and len(raw) == h * w * c:
+                    h, w, raw = height, width, resample(np.frombuffer(raw, np.uint8).reshape(int(h), int(w), int(c)), height, width).tobytes()
+                out.append((key, h, w, c, raw))
+            yield pd.DataFrame(out, columns=["key", "height", "width", "nChannels", "data"])
+
+    rows = images.select("key", "height", "width", "nChannels", "data")
+    return rows.mapInPandas(run, rows.schema)
 
 
 def regions(images: DataFrame, wanted: list[tuple[float, float, float, float]] = REGIONS) -> DataFrame:

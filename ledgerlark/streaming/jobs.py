@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerlark.streaming.client import Client
+
 POLL = "3 seconds"
 STATUSES = ("pending", "processing", "completed", "failed")
 
@@ -29,32 +30,15 @@ def view(status: Column, result: Column, error: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status == "failed", error).alias("error"), F.when(status == "completed", result).alias("data"))
 
 
-def _within(seconds: float | None, work: Callable[[str], str], value: str) -> str:
-    """work(value), given up after so many seconds; its thread is left to end by itself."""
-    if seconds is None:
-        return work(value)
-    pool = ThreadPoolExecutor(1)
-    try:
-        return pool.submit(work, value).result(seconds)
-    except TimeoutError as e:
-        raise TimeoutError(f"no result within {seconds:g} seconds") from e
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
-
-
-def process(jobs: DataFrame, work: Callable[[str], str], path: str = "image_path", seconds: float | None = None) -> DataFrame:
+def process(jobs: DataFrame, work: Callable[[str], str], path: str = "image_path", seconds: float | None = None, pool: int = 4, attempts: int = 1) -> DataFrame:
     """jobs with status, result and error_message after work(path): completed, or failed with the error's text. Work that
-    takes more than so many seconds has failed."""
+    takes more than so many seconds is ended and has failed; work on a null path has failed."""
+    client = Client(work, pool=pool, seconds=seconds, attempts=attempts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for value in batch[path]:
-                try:
-                    out.append(("completed", _within(seconds, work, value), None))
-                except Exception as e:  # any failure of one job is that job's outcome
-                    out.append(("failed", None, str(e)))
-            yield batch.assign(status=[o[0] for o in out], result=[o[1] for o in out], error_message=[o[2] for o in out])
+            out = client.outcomes(batch[path].tolist())
+            yield batch.assign(status=["completed" if o.error is None else "failed" for o in out], result=[o.result for o in out], error_message=[o.error for o in out])
 
     return jobs.mapInPandas(run, jobs.schema)
 
