@@ -2,7 +2,7 @@
 
 A text is taken as runs of one symbol. A suffix is L if what follows its first run is smaller than that run's symbol, S
 if greater. The S suffixes that follow an L one (the stars) are sorted first: their stretches up to the next star are
-sorted and named, and if two have one name the string of names is sorted by recursion. From the stars one
+sorted and named, and if two have one name the string of names is sorted by recursion, unless it is short. From the stars one
 sweep by rising symbols induces all L suffixes, and a second one by falling symbols induces all S suffixes from these.
 
 A sweep drains a priority queue of suffix tuples (symbol, symbols left of its run, order of the suffix behind the run,
@@ -23,6 +23,8 @@ from ledgerlark.llm.bytetext import BASE, BASE_INV, mix
 
 #: The longest stretches, in symbols, that are sorted directly; longer ones are sorted by two sweeps.
 LONG = 512
+#: Strings of names that are short enough to be sorted in memory, by doubling, instead of by another recursion.
+SHORT = 1 << 19
 #: Bytes beyond which a queue's run, or a sequence, is kept on disk; sorted runs of a queue before some are merged,
 #: with few batches and with many.
 LIMIT, FAN = 64 << 20, (64, 16)
@@ -222,6 +224,22 @@ def _sorted_stretches(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> t
     return order, fresh
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of a short string in order: ranks by 1, 2, 4, ... symbols, until all differ."""
+    rank, step = names.astype(np.uint64), 1
+    while True:
+        key = rank << np.uint64(32)
+        key[:-step] |= rank[step:] + np.uint64(1)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        if fresh.all():
+            return order
+        rank = np.empty(len(names), np.uint64)
+        rank[order] = np.cumsum(fresh) - 1
+        step *= 2
+
+
 def suffix_order(text: np.ndarray, cap: int = 0, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all suffixes in order, and how many symbols each has in common with the one before, up to cap (at most
     255; 0: none are given). Symbols are whole numbers from 0; the end of the text is smaller than all. For a text of bytes."""
@@ -270,7 +288,7 @@ def suffix_order(text: np.ndarray, cap: int = 0, limit: int = LIMIT) -> tuple[np
         if names[-1] + 1 < len(stars):
             named = np.empty(len(stars), np.int32)
             named[place] = names
-            order = stars[suffix_order(named, 0, limit)[0]]
+            order = stars[_doubled(named) if len(named) <= SHORT else suffix_order(named, 0, limit)[0]]
     star_common = np.zeros(0, np.uint8)
     if cap:
         star_common = np.append(0, _common_of(text, at[order[:-1]].astype(np.int64), at[order[1:]].astype(np.int64), cap))[: len(order)]
