@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlark.functions import extract, text, validate
-from ledgerlark.operators import gates, geo, layout, load, records, requests, resolve
+from ledgerlark.operators import gates, geo, layout, load, records, report, requests, resolve
 from ledgerlark.plans.queries import ORACLES, constituencies, districts, query, states, voters
 from ledgerlark.sources.tables import parquet
+from ledgerlark.streaming import jobs
 
 # Gates.
 
@@ -58,7 +59,7 @@ def distinct_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("select c_nationkey, count(*) as n from customer group by 1 order by n desc, c_nationkey limit 10")
 def counts_by_size(spark: SparkSession, d: str) -> DataFrame:
     """The ten greatest groups."""
-    return parquet(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_nationkey").limit(10)
+    return report.counts_descending(parquet(spark, d, "customer"), "c_nationkey").limit(10)
 
 
 @query("select code from (select distinct (p_size % 37)::varchar as code from part) order by code::int limit 12")
@@ -109,12 +110,12 @@ def save_records(spark: SparkSession, d: str) -> DataFrame:
     return saved.select("id", F.lit("saved").alias("outcome"), F.col("assembly_constituency_name").alias("constituency_name")).union(refused.select("id", F.col("code").alias("outcome"), none.alias("constituency_name")))
 
 
-@query("select s_suppkey, coalesce(n.n_nationkey, a.n_nationkey)::bigint as code, count(coalesce(n.n_nationkey, a.n_nationkey)) over (partition by coalesce(n.n_nationkey, a.n_nationkey)) as used from (select s_suppkey, case when s_suppkey <= 20 then 'NATION_' || s_suppkey::varchar when s_suppkey <= 22 then 'OLD_' || s_suppkey::varchar else 'NOWHERE' end as name from supplier where s_suppkey <= 30) s left join nation n on n.n_name = s.name left join nation a on s.name in ('OLD_21', 'OLD_22') and a.n_name = 'NATION_' || replace(s.name, 'OLD_', '')")
+@query("select s_suppkey, coalesce(n.n_nationkey, a.n_nationkey)::bigint as code, count(coalesce(n.n_nationkey, a.n_nationkey)) over (partition by coalesce(n.n_nationkey, a.n_nationkey)) as used from (select s_suppkey, case when s_suppkey <= 20 then 'NATION_' || s_suppkey::varchar when s_suppkey <= 22 then 'OLD_' || s_suppkey::varchar else 'NOWHERE' end as name from supplier) s left join nation n on n.n_name = s.name left join nation a on s.name in ('OLD_21', 'OLD_22') and a.n_name = 'NATION_' || replace(s.name, 'OLD_', '')")
 def official_names(spark: SparkSession, d: str) -> DataFrame:
     """Legacy names to codes: an equal name, an alias, or none; used tells whether a code is taken once."""
     k = F.col("s_suppkey")
     name = F.when(k <= 20, F.concat(F.lit("NATION_"), k.cast("string"))).when(k <= 22, F.concat(F.lit("OLD_"), k.cast("string"))).otherwise(F.lit("NOWHERE"))
-    legacy = parquet(spark, d, "supplier").where("s_suppkey <= 30").select("s_suppkey", name.alias("name"))
+    legacy = parquet(spark, d, "supplier").select("s_suppkey", name.alias("name"))
     aliases = spark.createDataFrame([("OLD_21", "NATION_21"), ("OLD_22", "NATION_22")], "alias string, name string")
     return load.official(legacy, parquet(spark, d, "nation"), "name", "n_name", "n_nationkey", aliases).select("s_suppkey", F.col("code").cast("long").alias("code"), "used")
 
@@ -126,9 +127,9 @@ def coded_rows(spark: SparkSession, d: str) -> DataFrame:
     return load.coded(c, parquet(spark, d, "nation"), "n_nationkey", ["n_name"]).select("c_custkey", "n_nationkey", "n_name")
 
 
-@query("select c_custkey as constituency_id, n_regionkey::varchar as state_code, r_name as state_name_en, (c_custkey % 97 + 1)::int as ac_number, c_name as constituency, n_nationkey::varchar as district_lgd_code, n_name as district_name_en from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_nationkey = 6")
+@query("select c_custkey as constituency_id, n_regionkey::varchar as state_code, r_name as state_name_en, (c_custkey % 97 + 1)::int as ac_number, c_name as constituency, n_nationkey::varchar as district_lgd_code, n_name as district_name_en from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def candidate_briefs(spark: SparkSession, d: str) -> DataFrame:
-    rows = geo.candidates(constituencies(spark, d).where("district_id = 6"), states(spark, d), districts(spark, d))
+    rows = geo.candidates(constituencies(spark, d), states(spark, d), districts(spark, d))
     return rows.select(geo.brief().alias("b")).select("b.*").drop("constituency_hindi")
 
 
@@ -260,14 +261,14 @@ def after_resolution(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "f.value", "f.confidence", "f.resolution_status", "f.suggested_value", "f.constituency_id", "district", "gate")
 
 
-@query("select c_custkey as req_id, 'resolved' as status, c_custkey as match_id, c_name as constituency, null::varchar as district from customer where c_nationkey = 2 union all select -c_custkey - 1, 'unresolved_ambiguous', null, null, null from customer where c_nationkey = 2")
+@query("select c_custkey as req_id, 'resolved' as status, c_custkey as match_id, c_name as constituency, null::varchar as district from customer union all select -c_custkey - 1, 'unresolved_ambiguous', null, null, null from customer")
 def resolve_by_state_names(spark: SparkSession, d: str) -> DataFrame:
     """A state by its name, another's by an alias; and names that two rows have, in no scope."""
     c = constituencies(spark, d).withColumn("id", F.col("id").cast("int"))
-    twin = c.where("district_id = 2").withColumns({"id": F.col("id") + 10_000_000, "state_id": (F.col("state_id") + 1) % 5, "district_id": F.lit(None).cast("long")})
+    twin = c.withColumns({"id": F.col("id") + 10_000_000, "state_id": (F.col("state_id") + 1) % 5, "district_id": F.lit(None).cast("long")})
     s, none = states(spark, d), F.lit(None)
     aliases = s.select(F.lit("state").alias("kind"), "state_code", none.cast("string").alias("ac_number"), F.concat(F.lit("Old "), F.col("state_name_en")).alias("alias"))
-    named = c.where("district_id = 2").join(s.select("state_id", "state_name_en"), "state_id")
+    named = c.join(s.select("state_id", "state_name_en"), "state_id")
     request = lambda key, state: named.select(key.cast("int").alias("req_id"), F.upper("constituency").alias("name"), none.cast("string").alias("state_code"), state.alias("state_name"), none.cast("string").alias("district_lgd_code"), none.cast("string").alias("district_name"), none.cast("int").alias("ac_number"), none.cast("int").alias("constituency_id"))
     state = F.when(F.col("id") % 2 == 0, F.lower("state_name_en")).otherwise(F.concat(F.lit(" OLD  "), F.col("state_name_en")))
     found = resolve.resolve(request(F.col("id"), state).union(request(-F.col("id") - 1, none.cast("string"))), c.unionByName(twin), s, districts(spark, d), aliases)
@@ -275,6 +276,35 @@ def resolve_by_state_names(spark: SparkSession, d: str) -> DataFrame:
     return found.join(names, "req_id").select(F.col("req_id").cast("long").alias("req_id"), "status", F.col("match_id").cast("long").alias("match_id"), "constituency", "district")
 
 
+@query(
+    """select event_id, case event_id % 4 when 0 then props when 1 then props when 2 then '```' || props else props || '``` and more' end as cleaned, case when event_id % 4 <= 1 then (props::json ->> 'k')::int end as k from events"""
+)
+def client_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies in a json fence, bare, and with fences that the client does not take for one; the latter two are no JSON."""
+    k, p = F.col("event_id") % 4, F.col("props")
+    raw = F.when(k == 0, F.concat(F.lit("  ```json\n"), p, F.lit("\n```\n"))).when(k == 1, F.concat(F.lit(" "), p)).when(k == 2, F.concat(F.lit("```"), p)).otherwise(F.concat(p, F.lit("``` and more")))
+    cleaned = text.client_json(raw)
+    return parquet(spark, d, "events").select("event_id", cleaned.alias("cleaned"), F.when(k <= 1, F.from_json(cleaned, "k int")["k"]).alias("k"))
+
+
+@query("select event_id, case event_type when 'view' then 'processing' when 'error' then 'failed' when 'signup' then 'pending' else 'completed' end as status, case when event_type = 'error' then 'lost ' || event_id end as error, case when event_type in ('click', 'purchase') then props end as data from events")
+def job_views(spark: SparkSession, d: str) -> DataFrame:
+    """What a client is told of each job: its error if it has failed, its result if it is done."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "processing").when(kind == "error", "failed").when(kind == "signup", "pending").otherwise("completed")
+    e = parquet(spark, d, "events").select("event_id", status.alias("status"), "props", F.concat(F.lit("lost "), F.col("event_id").cast("string")).alias("why"))
+    return e.select("event_id", jobs.view(F.col("status"), F.col("props"), F.col("why")).alias("v")).select("event_id", "v.*")
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'first' when p_partkey % 3 = 1 then 'retry' when p_size > 25 then 'retry' else 'first' end as chosen from part")
+def retry_choice(spark: SparkSession, d: str) -> DataFrame:
+    """A retry that cannot be read leaves the first reply; one that can be is taken, with issues or without."""
+    k, parsed = F.col("p_partkey") % 3, F.col("p_size") > 25
+    retry = F.when((k == 1) | ((k == 2) & parsed), F.lit("retry"))
+    issues = F.when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("an issue")))
+    return parquet(spark, d, "part").select("p_partkey", validate.after_retry(F.lit("first"), retry, issues).alias("chosen"))
+
+
 # Layout.
 
 
@@ -301,3 +331,49 @@ def _order(spark: SparkSession, d: str) -> DataFrame:
 def layout_rows(spark: SparkSession, d: str) -> DataFrame:
     """Sections, part A, columns, headings carried forward, rows and their continuations, of whole documents."""
     return layout.delimitation(_order(spark, d))
+
+
+# The report.
+
+_TABLE_SQL = """(select n_regionkey::varchar as state_code, (rn + rn // 50 - case when c_custkey % 60 = 7 then 1 else 0 end)::bigint as ac_number, case when c_custkey % 40 = 3 then ' ' else c_name end as constituency, case when c_custkey % 3 = 0 then 'नाम' end as constituency_hindi,
+ n_name as heading, case when n_nationkey % 5 in (1, 2, 3) then n_nationkey::varchar end as district_code, case n_nationkey % 5 when 0 then 'needs_review' when 3 then 'mapped' when 4 then 'no_district_in_source' else 'exact' end as confidence,
+ c_mktsegment || case when c_custkey % 4 = 0 then ' of another District' else ' districts' end as extent, case c_custkey % 5 when 0 then 'SC' when 1 then 'ST' else '' end as reservation
+ from (select *, row_number() over (partition by n_regionkey order by c_custkey) + case when n_regionkey = 2 then 9 else 0 end as rn from customer join nation on c_nationkey = n_nationkey))"""
+_REASONS = {("0", "NATION 0"): "split in two", ("1", "NATION 5"): "renamed"}
+
+
+def _constituency_table(spark: SparkSession, d: str) -> DataFrame:
+    c = parquet(spark, d, "customer").join(parquet(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rn = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("c_custkey")) + F.when(F.col("n_regionkey") == 2, 9).otherwise(0)
+    k, n = F.col("c_custkey"), F.col("n_nationkey") % 5
+    confidence = F.when(n == 0, "needs_review").when(n == 3, "mapped").when(n == 4, "no_district_in_source").otherwise("exact")
+    return c.withColumn("rn", rn).select(
+        F.col("n_regionkey").cast("string").alias("state_code"), (F.col("rn") + F.floor(F.col("rn") / 50) - F.when(k % 60 == 7, 1).otherwise(0)).cast("long").alias("ac_number"), F.when(k % 40 == 3, " ").otherwise(F.col("c_name")).alias("constituency"), F.when(k % 3 == 0, "नाम").alias("constituency_hindi"),
+        F.col("n_name").alias("heading"), F.when(n.between(1, 3), F.col("n_nationkey").cast("string")).alias("district_code"), confidence.alias("confidence"), F.concat("c_mktsegment", F.when(k % 4 == 0, " of another District").otherwise(" districts")).alias("extent"),
+        F.when(k % 5 == 0, "SC").when(k % 5 == 1, "ST").otherwise("").alias("reservation"),
+    )
+
+
+@query(
+    f"""with t as materialized {_TABLE_SQL}, s as (select state_code, count(*) as n, min(ac_number) as low, max(ac_number) as high, count(*) filter (regexp_matches(extent, '\\b(district|District|DISTRICT)\\b')) as crossing from t group by 1),
+ h as (select state_code, heading, count(*) filter (confidence in ('exact', 'mapped')) as found, count(*) filter (confidence = 'needs_review') as unmatched from t group by all),
+ g as (select state_code, ac_number, lag(ac_number) over (partition by state_code order by ac_number) as before from (select distinct state_code, ac_number from t)),
+ u as (select state_code, ac_number, count(*) as n from t group by all having count(*) > 1),
+ v as (select r_regionkey::varchar as state_code, coalesce(n, 0) as n, case when n > 0 and r_regionkey = 1 then 'UNRESOLVED (2022)' else 'VERIFIED' end as status from region left join s on s.state_code = r_regionkey::varchar)
+ select 1 as section, 0::bigint as place, 'rows' as item, count(*)::varchar as value from t union all select 1, 0, 'expected', '2000' union all select 1, 0, 'shortfall', (2000 - count(*))::varchar from t
+ union all select 2, state_code::int, state_code, n || case when state_code = '0' then ', 300, ' || case when n = 300 then 'OK' else 'DIFFERS' end else ', not scheduled' end from s
+ union all select 3, 0, 'duplicates', count(*)::varchar from u union all select 3, state_code::int, state_code || '/' || ac_number, n::varchar from u
+ union all select 4, state_code::int * 1000000 + before + 1, state_code || ' missing', (before + 1) || '..' || (ac_number - 1) from g where ac_number - before > 1 union all select 4, state_code::int, state_code || ' numbers run', low || '..' || high from s where low <> 1
+ union all select 5, 0, 'blank names', count(*)::varchar from t where trim(constituency) = '' union all select 5, 0, 'longest name', (select length(constituency) || ', ' || constituency from t order by length(constituency) desc, constituency desc limit 1)
+ union all select 6, 0, c, count(confidence)::varchar from (values ('exact'), ('mapped'), ('needs_review'), ('no_district_in_source')) k(c) left join t on confidence = c group by c
+ union all select 6, 0, 'headings', count(*)::varchar from h union all select 6, 0, 'headings with a district', count(*)::varchar from h where found > 0 union all select 6, 0, 'districts referred to', count(distinct (state_code, district_code)) || ' of 25' from t where district_code is not null union all select 6, 0, 'aliases', '4'
+ union all select 7, state_code::int, state_code || ' ' || heading, unmatched || ', ' || case when (state_code, heading) in (('0', 'NATION_0')) then 'split in two' when (state_code, heading) in (('1', 'NATION_5')) then 'renamed' else 'not reviewed' end from h where unmatched > 0
+ union all select 8, 0, 'extents that name a district', coalesce(sum(crossing), 0)::bigint::varchar from s union all select 8, state_code::int, state_code, crossing::varchar from s where crossing > 0
+ union all select 9, 0, 'local names', count(constituency_hindi) || ' of ' || count(*) from t
+ union all select 10, state_code::int, state_code, n || ', ' || status from v union all select 10, 0, 'verified', count(*)::varchar from v where status = 'VERIFIED' union all select 10, 0, 'unresolved', count(*)::varchar from v where status <> 'VERIFIED' union all select 10, 0, 'without an assembly', '0'
+ union all select 11, 0, 'One 32', 'a seat of no territory' union all select 12, (reservation = '')::int, case when reservation = '' then '(general)' else reservation end, count(*)::varchar from t group by reservation"""
+)
+def constituency_report(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve sections, of a table with planted gaps, repeats and blanks."""
+    known = report.Known(expected=2000, scheduled={"0": 300}, not_current={"1": "2022"}, districts=25, aliases=4, reasons=_REASONS, absent={"One 32": "a seat of no territory"})
+    return report.constituency_report(_constituency_table(spark, d), states(spark, d).select("state_code"), known)

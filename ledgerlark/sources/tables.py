@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerlark.errors import EngineError
+
 MARK = "﻿"
 
 
@@ -17,8 +19,13 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerlark-")
+    """A new folder that driver and executors share: under spark.checkpoint.dir. Where that is unset, a folder of this
+    machine if all of Spark runs on it; on a cluster it must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all machines see", "spark.checkpoint.dir")
+        root = tempfile.mkdtemp(prefix="ledgerlark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
