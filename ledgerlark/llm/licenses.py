@@ -34,6 +34,8 @@ TEMPLATES = {
         "Distributed under the MIT License. See LICENSE for more information.",
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -51,6 +53,10 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+        "The licenses for most software are designed to take away your freedom to share and change it.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -94,6 +100,26 @@ TEMPLATES = {
         "Released into the public domain under the Unlicense.",
         "SPDX-License-Identifier: Unlicense",
     ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "SPDX-License-Identifier: Zlib",
+        "Licensed under the zlib license.",
+    ],
+    "Boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "The accompanying program is provided under the terms of this Eclipse Public License. Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "Proprietary": [
         "Copyright 2020. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without permission.",
@@ -110,7 +136,9 @@ OTHERS = [
     "The house is free of charge for the first month.", "The price of the fishing license has gone up this year.", "The program was released in the spring.",
     "The apache helicopter landed near the river.", "Students at MIT work on robots.", "Copyright law is taught in the second year.",
     "The software was late and the users were not told.", "All people have rights.", "He has the right to use the public road.", "The source of the river is in the hills.",
-    "With or without you the work goes on.", "Distributed systems are hard to test.", "Please see the file for more information.", "A general license for hunting is sold at the station.",
+    "With or without you the work goes on.", "Distributed systems are hard to test.", "The solar eclipse was seen by the public in every village.", "They sold the house as is, without any repair.", "The boost in sales came with the new version of the program.",
+    "The origin of the word is not known.", "Damages were paid to the authors of the book.", "In no event was the general late for dinner.", "A change of the works on the road is not allowed.", "Everyone is permitted to enter the garden, but dogs are not allowed.",
+    "The materials for the house are available at the station.", "The court held the owners liable for the loss of the ship.", "Freedom to travel is shared by all citizens.", "He must not claim that he wrote the letter.", "Please see the file for more information.", "A general license for hunting is sold at the station.",
 ]
 NGRAMS, EPOCHS, RATE, RIDGE = 3, 60, 0.3, 0.002
 #: Least probability of a family, and least share of a template's word pairs that confirms it.
