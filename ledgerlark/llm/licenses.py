@@ -145,6 +145,8 @@ NGRAMS, EPOCHS, RATE, RIDGE = 3, 60, 0.3, 0.002
 CONFIDENT, CONFIRM = 0.6, 0.6
 #: Words of a window and between the starts of windows; templates are compared in pieces of at most PIECE words.
 WINDOW, STEP, PIECE = 24, 12, 13
+#: Pieces of templates whose counts of pairs share a sum.
+PACKED = 15
 WORD = r"[a-z#]+"
 #: Common English words; others are looked for first.
 EVERYDAY = frozenset("a about above after all also an and any are as at be been but by can could do does first following for from had has have he her his how if in into is it its made may more most my new no not now of on one only or other our out over shall should so some such than that the their them then there these they this those to up was we were what when which who will with within without would you your under".split())
@@ -276,13 +278,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for i, (_, _, p) in enumerate(own):
         for g in p:
             holders.setdefault(g, []).append(i)
-    table_t = spark.createDataFrame([(g, h) for g, h in sorted(holders.items())], "gram string, holders array<int>")
+    # A window has each pair once, and a piece of a template less than 16 pairs: four bits of a sum for each piece.
+    words = -(-len(own) // PACKED)
+    packed = {g: [sum(1 << (4 * (i % PACKED)) for i in h if i // PACKED == q) for q in range(words)] for g, h in holders.items()}
+    table_t = spark.createDataFrame(sorted(packed.items()), "gram string, holders array<long>")
     known = table_w.join(table_t, "gram", "left")
     sums = each.join(F.broadcast(known), "gram").groupBy(*keys, "gram").agg(F.first("weights").alias("weights"), F.first("holders").alias("holders"))
     per = sums.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.get("weights", F.lit(k))).alias(f"z{k}") for k in range(len(names))],
-        *[F.sum(F.coalesce(F.array_contains("holders", i).cast("int"), F.lit(0))).alias(f"t{i}") for i in range(len(own))],
+        *[F.sum(F.coalesce(F.get("holders", F.lit(q)), F.lit(0))).alias(f"t{q}") for q in range(words)],
     )
     logits = [(F.col(f"z{k}") / F.sqrt(F.col("n") + 1) + w.get("", 0.0)) / temperature for k, w in enumerate(weights)]
     top = F.greatest(*logits)
@@ -291,7 +296,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     best = F.array_max(F.transform(F.slice("e", 1, len(names) - 1), lambda x, k: F.struct((x / whole).alias("p"), (-k).alias("k"))))
     per = per.withColumn("best", best)
     family = F.element_at(F.array(*[F.lit(x) for x in names]), 1 - F.col("best.k"))
-    shares = F.array(*[F.struct((F.col(f"t{i}") / len(p)).alias("share"), F.lit(-i).alias("i"), F.lit(f).alias("family")) for i, (f, _, p) in enumerate(own)])
+    shares = F.array(*[F.struct((F.shiftright(F.col(f"t{i // PACKED}"), 4 * (i % PACKED)).bitwiseAND(15) / len(p)).alias("share"), F.lit(-i).alias("i"), F.lit(f).alias("family")) for i, (f, _, p) in enumerate(own)])
     per = per.withColumn("family", family)
     match = F.array_max(F.filter(shares, lambda x: x["family"] == F.col("family")))
     numbers = F.array(*[F.lit(j) for _, j, _ in own])
