@@ -27,9 +27,12 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where no checkpoint folder is set."""
+    """A new folder that driver and executors share; a local one only where no checkpoint folder is set and all of Spark
+    runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
         root = tempfile.mkdtemp(prefix="ledgerlark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -453,4 +453,4 @@ def test_pipeline(spark, small):
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
-    assert sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 14)) and "pipeline" in QUERIES
