@@ -14,8 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -32,15 +31,15 @@ class Job:
 
     status: str = "none"
     owner: str | None = None
-    until: datetime | None = None
-    at: datetime | None = None
+    until: datetime | int | None = None
+    at: datetime | int | None = None
     steps: int = 0
     claims: int = 0
 
 
-def decide(job: Job, action: str | None, worker: str | None, at: datetime, lease: timedelta) -> tuple[Job, bool]:
-    """The job after a request, and whether the request was granted."""
-    at = max(at, job.at) if job.at else at
+def decide(job: Job, action: str | None, worker: str | None, at: datetime | int, lease: timedelta | int) -> tuple[Job, bool]:
+    """The job after a request, and whether the request was granted; moments and lease are datetimes, or all microseconds."""
+    at = max(at, job.at) if job.at is not None else at
     job = replace(job, at=at, steps=job.steps + 1)
     held = job.status == "processing" and at <= job.until
     mine = held and worker is not None and worker == job.owner
@@ -57,68 +56,63 @@ def decide(job: Job, action: str | None, worker: str | None, at: datetime, lease
 
 #: One row for each request and for each lease that a timer ended (action expire).
 STEPS = "{job} {type}, step long, at timestamp, action string, worker string, granted boolean, status string, owner string, until timestamp, claims long"
-_STATE = "status string, owner string, until timestamp, at timestamp, steps long, claims long"
-
-
-def _plain(t) -> datetime | None:
-    return None if t is None or t is pd.NaT else pd.Timestamp(t).to_pydatetime().replace(tzinfo=None)
+#: Within the processor moments are microseconds, so that no row passes through objects of a library.
+_STATE = "status string, owner string, until long, at long, steps long, claims long"
+_FIELDS = ("step", "at", "action", "worker", "granted", "status", "owner", "until", "claims")
+_OUT = "{job} {type}, step array<long>, at array<long>, action array<string>, worker array<string>, granted array<boolean>, status array<string>, owner array<string>, until array<long>, claims array<long>"
+#: So many steps of a job leave the processor as one row of arrays.
+TOGETHER = 1024
 
 
 class Leases(StatefulProcessor):
-    """Decides the requests (at, tie, action, worker) of each job."""
+    """Decides the requests (us, tie, action, worker) of each job."""
 
     def __init__(self, job: str, lease: timedelta):
-        self.job, self.lease = job, lease
+        self.job, self.lease = job, lease // timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", _STATE)
 
-    def _load(self) -> Job:
-        if not self.state.exists():
-            return Job()
-        status, owner, until, at, steps, claims = self.state.get()
-        return Job(status, owner, _plain(until), _plain(at), steps, claims)
-
-    def _row(self, key, job: Job, action, worker, granted: bool) -> tuple:
-        return (key[0], job.steps, job.at, action, worker, granted, job.status, job.owner, job.until, job.claims)
-
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=[self.job, "step", "at", "action", "worker", "granted", "status", "owner", "until", "claims"])
-        return frame.astype({"at": "datetime64[us]", "until": "datetime64[us]"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = job = self._load()
-        requests = pd.concat(list(rows)).sort_values(["at", "tie"])
-        out = []
-        for at, action, worker in zip(requests["at"], requests["action"], requests["worker"], strict=True):
-            action, worker = (None if pd.isna(x) else x for x in (action, worker))
-            job, granted = decide(job, action, worker, _plain(at), self.lease)
-            out.append(self._row(key, job, action, worker, granted))
+    def _keep(self, job: Job) -> None:
         self.state.update((job.status, job.owner, job.until, job.at, job.steps, job.claims))
+
+    def _row(self, key, steps: list[tuple]) -> Row:
+        return Row(**{self.job: key[0]}, **dict(zip(_FIELDS, map(list, zip(*steps, strict=True)), strict=True)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        before = job = Job(*held) if held is not None else Job()
+        steps = []
+        for _, _, _, action, worker, us in sorted(rows, key=lambda r: (r[5], r[2] is None, r[2])):  # job, at, tie, action, worker, us
+            job, granted = decide(job, action, worker, us, self.lease)
+            steps.append((job.steps, job.at, action, worker, granted, job.status, job.owner, job.until, job.claims))
+            if len(steps) == TOGETHER:
+                yield self._row(key, steps)
+                steps = []
+        if steps:
+            yield self._row(key, steps)
+        self._keep(job)
         if job.until != before.until:
-            if before.until:
+            if before.until is not None:
                 self.handle.deleteTimer(_millis(before.until))
-            if job.until:
+            if job.until is not None:
                 self.handle.registerTimer(_millis(job.until))
-        yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        job = self._load()
-        out = []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        job = Job(*self.state.get())
         if job.status == "processing" and _millis(job.until) <= expiredTimerInfo.getExpiryTimeInMs():
             job = replace(job, status="pending", owner=None, until=None)
-            self.state.update((job.status, job.owner, job.until, job.at, job.steps, job.claims))
-            out.append(self._row(key, job, "expire", None, True))
-        yield self._frame(out)
+            self._keep(job)
+            yield self._row(key, [(job.steps, job.at, "expire", None, True, job.status, job.owner, job.until, job.claims)])
 
     def close(self) -> None:
         pass
 
 
-def _millis(t: datetime) -> int:
+def _millis(us: int) -> int:
     """The first millisecond after a lease's last moment."""
-    return int(pd.Timestamp(t).value // 1_000_000) + 1
+    return us // 1000 + 1
 
 
 def decided(requests: DataFrame, job: str, lease: timedelta, delay: str = "1 hour") -> DataFrame:
@@ -126,8 +120,10 @@ def decided(requests: DataFrame, job: str, lease: timedelta, delay: str = "1 hou
     delay: how late a request may come before the leases that end by then are given back."""
     kind = dict(requests.dtypes)[job]
     used = requests.where(F.col(job).isNotNull() & F.col("at").isNotNull()).select(job, F.col("at").cast("timestamp").alias("at"), "tie", "action", "worker")
-    keyed = used.withWatermark("at", delay).groupBy(job)
-    return keyed.transformWithStateInPandas(Leases(job, lease), STEPS.format(job=job, type=kind), "Append", "EventTime")
+    keyed = used.withWatermark("at", delay).withColumn("us", F.unix_micros("at")).groupBy(job)
+    out = keyed.transformWithState(Leases(job, lease), _OUT.format(job=job, type=kind), "Append", "EventTime")
+    one = out.select(job, F.inline(F.arrays_zip(*_FIELDS)))
+    return one.withColumns({c: F.timestamp_micros(c) for c in ("at", "until")})
 
 
 def run(spark: SparkSession, requests: DataFrame, job: str, lease: timedelta, sink: str, delay: str = "1 hour") -> DataFrame:
