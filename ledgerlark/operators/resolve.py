@@ -49,12 +49,16 @@ def _spelled(table: DataFrame, *names: str) -> DataFrame:
 
 
 def _look_up(rows: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Left join on keys that are unique in table; on: column of rows -> column of table."""
-    keyed = table.select(*[F.col(c).alias(f"_on_{c}" if c in on.values() else c) for c in table.columns])
-    condition = F.lit(True)
+    """Left join of requests on keys that are unique in table; on: column of rows -> column of table. Requests without a key
+    are dealt out by their req_id: a null would bring all of them into one task."""
+    text_of = lambda names: F.xxhash64(*[F.col(c).cast("string") for c in names])
+    keyed = table.select(*[F.col(c).alias(f"_on_{c}" if c in on.values() else c) for c in table.columns]).withColumn("_on_deal", text_of([f"_on_{c}" for c in on.values()]))
+    none = reduce(lambda x, c: x | F.col(c).isNull(), on, F.lit(False))
+    condition = F.col("_deal") == F.col("_on_deal")
     for left, right in on.items():
         condition = condition & (F.col(left) == F.col(f"_on_{right}"))
-    return rows.join(keyed, condition, "left").drop(*[f"_on_{c}" for c in on.values()])
+    dealt = rows.withColumn("_deal", F.when(none, F.xxhash64("req_id")).otherwise(text_of(on)))
+    return dealt.join(keyed, condition, "left").drop("_deal", "_on_deal", *[f"_on_{c}" for c in on.values()])
 
 
 def scopes(requests: DataFrame, states: DataFrame, districts: DataFrame, targets: DataFrame | None) -> DataFrame:
