@@ -127,9 +127,44 @@ def _pairs(names: DataFrame, rows: DataFrame, hits: DataFrame) -> list[DataFrame
     ]
 
 
+def _keys(texts: DataFrame, whole: bool, lengths: DataFrame) -> DataFrame:
+    """texts (rep or id, scope, group, local, x) with h, a hash of each key that x has as the shorter text (whole), or as the
+    longer one for all shorter ones of these lengths. A key is shared by two texts if the longer one contains the shorter
+    one, or begins or ends with it but for one of its characters, which it lacks."""
+    key = lambda m, cut, t: F.struct(m.alias("m"), F.lit(cut).alias("cut"), t.alias("t"))
+    n = F.char_length("x")
+    every = lambda most: F.sequence(F.lit(1), most)
+    if whole:
+        less = F.transform(every(n), lambda i: key(n, True, F.concat(F.substring("x", F.lit(1), i - 1), F.substring("x", i + 1, n))))
+        found = texts.join(F.broadcast(lengths)).where(n <= F.array_max("lengths"))  # lengths: one row
+        keys = F.concat(F.array(key(n, False, F.col("x"))), F.when(n > 1, less).otherwise(F.slice(less, 1, 0)))
+    else:
+        of = lambda m: F.concat(F.transform(every(n - m + 1), lambda i: key(m, False, F.substring("x", i, m))), F.array(key(m, True, F.substring("x", F.lit(1), m - 1)), key(m, True, F.substring("x", n - m + 2, m - 1))))
+        found = texts.join(F.broadcast(lengths))  # lengths: one row
+        keys = F.flatten(F.transform(F.filter("lengths", lambda m: m <= n), of))
+    return found.select(*[c for c in texts.columns if c != "x"], F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("h"))
+
+
+def _close(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """rep and id of all pairs within a scope that differ by no more than one character of the shorter text: every other
+    pair has a score of at most 100 - 100 / length of the name. No pairs of a scope are formed but these."""
+    n = names.where("scope <> 't'").select("rep", "scope", F.when(F.col("scope") == "d", F.col("scope_district")).otherwise(F.col("scope_state")).alias("group"), "local", F.col("asked_name").alias("x")).where("x <> ''")
+    scope = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(c).cast("long").alias("group")) for s, c in (("d", "district_id"), ("s", "state_id"))])).alias("s")
+    value = F.explode(F.array(*[F.struct(F.lit(b).alias("local"), F.col(c).alias("x")) for b, c in ((False, "constituency"), (True, "constituency_hindi"))])).alias("v")
+    n = n.withColumn("group", F.col("group").cast("long"))
+    own = rows.select("id", scope, "constituency", "constituency_hindi").select("id", "s.*", value).select("id", "scope", "group", "v.*").where("x <> ''")
+    own = own.join(n.select("scope", "group", "local").distinct(), ["scope", "group", "local"], "left_semi")
+    lengths = lambda df: df.agg(F.collect_set(F.char_length("x")).alias("lengths"))
+    on = ["scope", "group", "local", "h"]
+    one, other = lengths(n), lengths(own)
+    a = _keys(n, True, other).join(_keys(own, False, one), on)
+    b = _keys(own, True, one).join(_keys(n, False, other), on)
+    return a.select("rep", "id").union(b.select("rep", "id")).distinct()
+
+
 def _scored(unsure: DataFrame, rows: DataFrame) -> DataFrame:
     """req_id, pool (rows of its scope, or with its longest word), scorable (those with a name in its script) and top (the
-    best by score). Sizes are looked up, not counted over pairs; equal requests are scored once, and those without a scope
+    best by score; within a scope those with the best score at least). Sizes are looked up, not counted over pairs; equal requests are scored once, and those without a scope
     only within the cap."""
     scope = F.when(F.col("scope_district").isNotNull(), F.lit("d")).when(F.col("scope_state").isNotNull(), F.lit("s")).otherwise(F.lit("t"))
     asked = written(unsure.withColumn("scope", scope))
@@ -150,20 +185,25 @@ def _scored(unsure: DataFrame, rows: DataFrame) -> DataFrame:
     # Bounds need no Python: the best of each name by bound are scored, and then those that can still be among the best.
     bags = lambda df, *columns: reduce(lambda d, c: d.withColumn(f"{c}_bag", bag(F.col(c))), columns, df)
     sides = {"names": written(bags(names.withColumn("asked_name", T.nfc(F.col("cleaned"))), "asked_name")), "rows": written(bags(rows.withColumns({c: T.nfc(F.col(c)) for c in ("constituency", "constituency_hindi")}), "constituency", "constituency_hindi"))}
-    pairs = reduce(DataFrame.unionByName, _pairs(sides["names"], sides["rows"], hits)).where(F.coalesce(value, F.lit("")) != "")
-    value_bag = F.when(F.col("local"), F.col("constituency_hindi_bag")).otherwise(F.col("constituency_bag"))
-    bounds = written(pairs.select("rep", "id", bound(F.col("asked_name"), value, F.col("asked_name_bag"), value_bag).alias("most")))
-
     def scored(some: DataFrame) -> DataFrame:
         with_names = some.join(sides["names"].select("rep", "asked_name", "local"), "rep").join(sides["rows"].select("id", F.col("state_id").alias("row_state"), "constituency", "constituency_hindi"), "id")
         return with_names.select("rep", "id", "row_state", partial_ratio_udf(F.col("asked_name"), value).alias("score"))
 
+    # Within a scope the best alone decides: a name that has close rows needs no others.
+    close = written(scored(_close(sides["names"], sides["rows"])))
+    best = close.groupBy("rep").agg(F.max("score").alias("score")).join(sides["names"].select("rep", "asked_name"), "rep")
+    settled = written(best.where(F.col("score") > 100 - 100 / F.char_length("asked_name") + 1e-9).select("rep", "score"))
+    open_names = sides["names"].join(settled, "rep", "left_anti")
+    pairs = reduce(DataFrame.unionByName, _pairs(open_names, sides["rows"], hits)).where(F.coalesce(value, F.lit("")) != "")
+    value_bag = F.when(F.col("local"), F.col("constituency_hindi_bag")).otherwise(F.col("constituency_bag"))
+    bounds = written(pairs.select("rep", "id", bound(F.col("asked_name"), value, F.col("asked_name_bag"), value_bag).alias("most")))
+
     first = bounds.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("most"), "id"))).where(F.col("place") <= FIRST)
     near = written(scored(first))
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= TOP)
     least = ranked(near).groupBy("rep").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     able = bounds.join(least, "rep").where((F.col("n") < TOP) | (F.col("most") >= F.col("least"))).join(near.select("rep", "id"), ["rep", "id"], "left_anti")
-    top = ranked(near.union(scored(able)))
+    top = ranked(near.union(scored(able)).union(close.join(settled, ["rep", "score"]).select(*near.columns)))
     top = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "row_state", "score"))).alias("top"))
     same = reduce(lambda x, k: x & F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")), keys, F.lit(True))
     found = sized.alias("a").join(names.join(top, "rep").alias("n"), same, "left")
