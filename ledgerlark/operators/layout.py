@@ -149,28 +149,38 @@ def assemble_rows(lines: DataFrame, edge: float | None = None) -> DataFrame:
 
     A number with a name begins a row, whatever the number; a bare number does if it is the next one, its name being on
     the next line. Other lines go on with the row before: left of the edge with its name if they look like one, else
-    with its extent. Lines before the first row are left out. A section is one group, for a row can go on over a page's
-    end; sections are short.
+    with its extent. Lines before the first row are left out. A section is read in its order by one task, for a row can go
+    on over a page's end, but not held: a row leaves as soon as the next one begins.
     """
+    keys = [c for c in ("doc", "section") if c in lines.columns]
+    columns = ["section", "number", "name", "extent", "heading", "page"]
 
-    def rows(lines_of: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for line in lines_of.sort_values(["page", "line"]).itertuples(index=False):
-            border = line.edge if edge is None else edge
-            left, right = (" ".join(" ".join(f["text"] for f in line.frags if (f["x"] < border) == side).split()) for side in (True, False))
-            m = _ROW.match(left) if left else None
-            if m and (m[2].strip() or int(m[1]) == (out[-1]["number"] if out else 0) + 1):
-                out.append({"section": str(line.section), "number": int(m[1]), "name": [m[2]], "extent": [right], "heading": line.heading, "page": line.page})
-            elif out:
-                if left:
-                    out[-1]["name" if _is_name(left) else "extent"].append(left)
-                out[-1]["extent"].append(right)
-        for r in out:
-            for k in ("name", "extent"):
-                r[k] = " ".join(" ".join(r[k]).split())
-        return pd.DataFrame(out, columns=["section", "number", "name", "extent", "heading", "page"])
-
-    return lines.groupBy(*[c for c in ("doc", "section") if c in lines.columns]).applyInPandas(rows, ROWS)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        within, row = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for line in batch.itertuples(index=False):
+                at = tuple(None if pd.isna(k) else k for k in (getattr(line, c) for c in keys))
+                if at != within:
+                    out += [row] if row else []
+                    within, row = at, None
+                border = line.edge if edge is None else edge
+                left, right = (" ".join(" ".join(f["text"] for f in line.frags if (f["x"] < border) == side).split()) for side in (True, False))
+                m = _ROW.match(left) if left else None
+                if m and (m[2].strip() or int(m[1]) == (row["number"] if row else 0) + 1):
+                    out += [row] if row else []
+                    row = {"section": str(line.section), "number": int(m[1]), "name": [m[2]], "extent": [right], "heading": line.heading, "page": line.page}
+                elif row:
+                    if left:
+                        row["name" if _is_name(left) else "extent"].append(left)
+                    row["extent"].append(right)
+            yield frame(out)
+        yield frame([row] if row else [])
+
+    def frame(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([{**r, **{k: " ".join(" ".join(r[k]).split()) for k in ("name", "extent")}} for r in out], columns=columns)
+
+    return lines.repartition(*keys).sortWithinPartitions(*keys, "page", "line").mapInPandas(rows, ROWS)
 
 
 def delimitation(lines: DataFrame) -> DataFrame:
