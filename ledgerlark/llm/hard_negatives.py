@@ -5,11 +5,12 @@ gets 0. The squared distance of q and x is then |q|^2 + M^2 - 2 q.x: the highest
 of scores is an annulus around the anchor.
 
 The top of the tree is built on a sample of at most SAMPLE rows and has at most CELLS leaves (cells). Every row goes down
-to its cell; a cell's rows are cut into blocks of about BLOCK, each with a vantage-point tree of its own. A query first
-searches its own cell, which bounds what can still matter; it then goes to all other cells whose distances from their
-vantage points can meet what is left of its annulus. Within a block the leaves are visited nearest first, for many queries
-at once, until no unvisited leaf can hold a better row. The bounds only leave out what cannot be among the best, so results
-are exact.
+to its cell; a cell's rows are cut into blocks of about BLOCK, each with a vantage-point tree of its own. Anchors are taken
+in groups of about HELD, which bounds what is broadcast: a group goes to all tasks, and each block is read once for it, so
+neither rows nor anchors are copied for their pairs. A group first searches the anchors' own cells, which bounds what can
+still matter; it then goes to all other blocks whose distances from the vantage points of their cell can meet what is left
+of its annuli. Within a block the leaves are visited nearest first, for many anchors at once, until no unvisited leaf can
+hold a better row. The bounds only leave out what cannot be among the best, so results are exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +29,10 @@ from pyspark.sql.window import Window
 from ledgerlark.llm.common import settle, table
 
 SAMPLE, CELLS = 32_768, 8_192
-#: Rows of a block, rows of a leaf, queries of a block; blocks of queries whose best rows a task holds.
-BLOCK, LEAF, QUERIES, HELD = 4_096, 256, 512, 4_096
+#: Rows of a block, rows of a leaf, anchors that visit a block at once; anchors of a group, whose best rows a task holds.
+BLOCK, LEAF, QUERIES, HELD = 4_096, 256, 4_096, 65_536
+#: Components of a group's anchors; blocks of a file.
+COMPONENTS, TOGETHER = 1 << 23, 16
 POSITIVES, NEGATIVES = 5, 3
 SCALE, MOST = 256, 1 << 24
 LOW, HIGH = -(1 << 62), 1 << 62
@@ -53,9 +58,9 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _dot(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
-    """Exact inner products; floating point holds them as long as the greatest squared norm is below 2^53."""
-    return a @ b.T if most < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
+def _exact(most: float) -> type:
+    """The kind of number that inner products and all their partial sums, which `most` bounds, fit without rounding."""
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
 def _augmented(x: np.ndarray, most: float) -> np.ndarray:
@@ -137,7 +142,7 @@ def _score_bounds(square: np.ndarray, to_vantage: np.ndarray, path: np.ndarray,
         d = to_vantage[:, path[used, k]]
         near[:, used] = np.maximum(near[:, used], np.maximum(d - high[used, k], low[used, k] - d))
         far[:, used] = np.minimum(far[:, used], d + high[used, k])
-    slack = 1 + 1e-9 * most
+    slack = 1 + 1e-6 * most  # distances near 0 are roots of rounding errors
     return (square[:, None] + most - far**2) / 2 - slack, (square[:, None] + most - near**2) / 2 + slack
 
 
@@ -162,41 +167,30 @@ def _blocks(placed: DataFrame, per_cell: dict[int, int], top, dims: int, most: f
         return pa.table([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     spark = placed.sparkSession
-    parts = spark.createDataFrame([(c, max(1, math.ceil(n / BLOCK))) for c, n in per_cell.items()], "cell int, parts int")  # at most CELLS rows
+    counts = {c: max(1, math.ceil(n / BLOCK)) for c, n in per_cell.items()}
+    parts = spark.createDataFrame(list(counts.items()), "cell int, parts int")  # at most CELLS rows
     cut = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "label"), F.col("parts")))
-    return cut.select("cell", "part", "vec_id", "label", "v").groupBy("cell", "part").applyInArrow(build, BLOCKS)
-
-
-SENT = "cell int, block long, ids binary, slots binary, labels binary, low binary, high binary, least binary, vectors binary"
-
-
-def _send(queries: DataFrame, n_blocks: int, top, bounds, dims: int, most: float, own: bool) -> DataFrame:
-    """Queries in blocks, to their own cell, or to all others that can hold what they look for."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, slots, labels, low, high, least, cell, block = (group.column(c).to_numpy() for c in ("anchor_id", "slot", "label", "low", "high", "least", "cell", "block"))
-        x = _matrix(group.column("v").chunk(0), dims)
-        if own:
-            wanted = np.zeros((len(ids), top.value.leaves), bool)
-            wanted[:, cell[0]] = True
-        else:
-            range_low, range_high = bounds.value
-            q = np.column_stack([x, np.zeros(len(x))])
-            floor, ceiling = _score_bounds(np.einsum("ij,ij->i", x, x), _distances(q, top.value.points), top.value.path, range_low, range_high, most)
-            wanted = (ceiling >= np.maximum(low, least)[:, None]) & (floor <= high[:, None])
-            wanted[:, cell[0]] = False
-        out = [[] for _ in range(9)]
-        for c in np.flatnonzero(wanted.any(0)):
-            some = wanted[:, c]
-            lists = [z[some].tobytes() for z in (ids, slots, labels, low, high, least, x.astype(np.int32))]
-            for column, value in zip(out, [c, int(block[0]) * CELLS + int(cell[0]), *lists], strict=True):
-                column.append(value)
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-        return pa.table([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
-
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("anchor_id"), F.lit(n_blocks)))
-    return dealt.groupBy("cell", "block").applyInArrow(pack, SENT)
+    built = cut.select("cell", "part", "vec_id", "label", "v").groupBy("cell", "part").applyInArrow(build, BLOCKS)
+    # A block is about a second of work for a group: files are few blocks, dealt out evenly.
+    files = max(3 * spark.sparkContext.defaultParallelism, math.ceil(sum(counts.values()) / TOGETHER))
+    return built.repartition(max(1, min(files, sum(counts.values()))))
+
+
+def _gathered(asked: DataFrame, dims: int, most: float) -> tuple[np.ndarray, ...]:
+    """Of a group's anchors, by cell: ids, labels, cells and vectors; slot, low and high of their windows, HIGH and LOW
+    where an anchor has fewer of them than another."""
+    group = asked.toArrow()  # about HELD anchors
+    ids, labels, cells = (group.column(c).to_numpy() for c in ("anchor_id", "label", "cell"))
+    x = _matrix(group.column("v").combine_chunks(), dims).astype(_exact(most))
+    windows = group.column("windows").combine_chunks()
+    n, flat = np.diff(windows.offsets.to_numpy()), windows.flatten()
+    row = np.repeat(np.arange(len(n)), n)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    slots, low, high = (np.full((len(n), max(n, default=0)), none) for none in (-1, HIGH, LOW))
+    for array, name in ((slots, "slot"), (low, "low"), (high, "high")):
+        array[row, column] = flat.field(name).to_numpy()
+    order = np.argsort(cells, kind="stable")
+    return tuple(z[order] for z in (ids, labels, cells, x, slots, low, high))
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,74 +202,73 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 FOUND = "anchor_id long, slot long, score long, vec_id long"
 
 
-def _visit(sent: DataFrame, blocks: DataFrame, k: int, same_label: bool, most: float) -> DataFrame:
-    """The best rows of each task for each query."""
+def _visit(blocks: DataFrame, asked: Broadcast, top: Broadcast, k: int, same_label: bool, most: float, own: bool) -> DataFrame:
+    """The best rows of each task for each window of a group of anchors, from their own cells or from all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for anchors, slots, scores, ids in held.values():
-                row, column = np.nonzero(scores > LOW)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[row], slots[row], scores[row, column], ids[row, column])], names=["anchor_id", "slot", "score", "vec_id"])
-            held.clear()
+        anchors, own_labels, cells, q, slots, low, high = asked.value
+        square = np.einsum("ij,ij->i", q, q, dtype=np.float64)
+        best, best_ids, need = np.full((*slots.shape, k), LOW), np.full((*slots.shape, k), HIGH), low.copy()
+
+        def look(who: np.ndarray, x: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+            """Rows of a leaf, for the anchors that visit it."""
+            score = q[who] @ x.T
+            # Most rows are out by now: only those of anchors that may have a better one are looked at.
+            some = np.flatnonzero(((score >= need[who].min(1).astype(score.dtype)[:, None]) & (score <= high[who].max(1).astype(score.dtype)[:, None])).any(1))
+            who = who[some]
+            fits = ((labels[None] == own_labels[who, None]) == same_label) & (ids[None] != anchors[who, None])
+            score = np.where(fits, score[some].astype(np.int64), LOW)
+            for p in range(slots.shape[1] if len(who) else 0):
+                fits = (score >= need[who, p, None]) & (score <= high[who, p, None])
+                some = np.flatnonzero(fits.any(1))
+                if not len(some):
+                    continue
+                found, at = np.where(fits[some], score[some], LOW), who[some]
+                order = np.argsort(-found, axis=1, kind="stable")[:, :k]  # ids rise within a leaf
+                found = np.take_along_axis(found, order, 1)
+                found_ids = np.where(found > LOW, ids[order], HIGH)
+                best[at, p], best_ids[at, p] = _top(np.concatenate([best[at, p], found], 1), np.concatenate([best_ids[at, p], found_ids], 1), k)
+                need[at, p] = np.maximum(need[at, p], best[at, p, -1])
 
         for batch in batches:
             for r in range(batch.num_rows):
-                dims = batch.column(0)[r].as_py()
-                ids, labels = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (1, 2))
-                x = np.frombuffer(batch.column(3)[r].as_py(), np.int32).reshape(len(ids), dims).astype(np.float64)
-                leaf = np.frombuffer(batch.column(4)[r].as_py(), np.int32)
-                anchors, slots, own, low, high, least = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in range(6, 12))
-                q = np.frombuffer(batch.column(12)[r].as_py(), np.int32).reshape(len(anchors), dims).astype(np.float64)
-                name = (batch.column(5)[r].as_py(), anchors.tobytes() + slots.tobytes())
-                if name not in held:
-                    if len(held) >= HELD:
-                        yield from flush()
-                    held[name] = [anchors, slots, np.full((len(anchors), k), LOW), np.full((len(anchors), k), HIGH)]
-                best, best_ids = held[name][2:]
+                cell, dims, ids, labels, vectors, leaf, path_low, path_high = (batch.column(c)[r].as_py() for c in range(8))
+                ids, labels, leaf = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64), np.frombuffer(leaf, np.int32)
+                x = np.frombuffer(vectors, np.int32).reshape(len(ids), dims).astype(q.dtype)
+                path = top.value.path[cell]
+                path = path[path >= 0]
                 starts = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
                 n_leaves = len(starts) - 1
-                rows = _augmented(x, most)
+                rows = _augmented(x.astype(np.float64), most)
                 # Each leaf is a ball around its middle row: vantages of the block's leaves, with their farthest row.
-                middle = (starts[:-1] + starts[1:]) // 2
-                vantage = rows[middle]
+                vantage = rows[(starts[:-1] + starts[1:]) // 2]
                 d = np.sqrt(np.maximum(np.einsum("ij,ij->i", g := rows - np.repeat(vantage, np.diff(starts), 0), g), 0))
-                path = np.arange(n_leaves)[:, None]
                 ball = np.maximum.reduceat(d, starts[:-1])[:, None]
-                square = np.einsum("ij,ij->i", q, q)
-                floor, ceiling = _score_bounds(square, _distances(np.column_stack([q, np.zeros(len(q))]), vantage), path, np.zeros_like(ball), ball, most)
-                within = floor <= high[:, None]
-                reach = np.where(within, np.minimum(ceiling, high[:, None] + 1.0), -np.inf)
-                turn = np.argsort(-reach, axis=1, kind="stable")
-                need = np.maximum(np.maximum(low, least), best[:, -1])
-                for step in range(n_leaves):
-                    at = turn[:, step]
-                    going = np.flatnonzero(reach[np.arange(len(q)), at] >= need)
-                    if not len(going):
-                        break
-                    for one in np.unique(at[going]):
-                        who = going[at[going] == one]
-                        a, b = starts[one], starts[one + 1]
-                        score = _dot(q[who], x[a:b], most)
-                        fits = (score >= need[who, None]) & (score <= high[who, None])
-                        fits &= (labels[None, a:b] == own[who, None]) == same_label
-                        some = np.flatnonzero(fits.any(1))
-                        if not len(some):
-                            continue
-                        # Most rows are out by now: only those of queries that have a better one are sorted.
-                        who = who[some]
-                        score = np.where(fits[some] & (ids[None, a:b] != anchors[who, None]), score[some].astype(np.int64), LOW)
-                        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids rise within a leaf
-                        score = np.take_along_axis(score, order, 1)
-                        found = np.where(score > LOW, ids[a:b][order], HIGH)
-                        best[who], best_ids[who] = _top(np.concatenate([best[who], score], 1), np.concatenate([best_ids[who], found], 1), k)
-                        need[who] = np.maximum(need[who], best[who, -1])
-        yield from flush()
-
-    wanted = blocks.select("cell", "dims", F.col("ids").alias("row_ids"), F.col("labels").alias("row_labels"), F.col("vectors").alias("rows"), "leaf").join(sent, "cell")
-    return wanted.select("dims", "row_ids", "row_labels", "rows", "leaf", "block", "ids", "slots", "labels", "low", "high", "least", "vectors").mapInArrow(run, FOUND)
+                for start in range(0, len(anchors), QUERIES):
+                    who = np.arange(start, min(start + QUERIES, len(anchors)))
+                    who = who[(cells[who] == cell) == own]
+                    if len(path) and not own and len(who):
+                        to_vantage = _distances(np.column_stack([q[who], np.zeros(len(who))]), top.value.points[path])
+                        floor, ceiling = _score_bounds(square[who], to_vantage, np.arange(len(path))[None], np.array(path_low)[None], np.array(path_high)[None], most)
+                        who = who[((ceiling >= need[who]) & (floor <= high[who])).any(1)]
+                    if not len(who):
+                        continue
+                    floor, ceiling = _score_bounds(square[who], _distances(np.column_stack([q[who], np.zeros(len(who))]), vantage), np.arange(n_leaves)[:, None], np.zeros_like(ball), ball, most)
+                    within = floor[:, :, None] <= high[who][:, None]
+                    reach = np.where(within.any(2), np.minimum(ceiling, high[who].max(1)[:, None] + 1.0), -np.inf)
+                    turn, line = np.argsort(-reach, axis=1, kind="stable"), np.arange(len(who))
+                    for step in range(n_leaves):
+                        at = turn[:, step]
+                        going = np.flatnonzero((within[line, at] & (ceiling[line, at][:, None] >= need[who])).any(1))
+                        for one in np.unique(at[going]):
+                            a, b = starts[one], starts[one + 1]
+                            look(who[going[at[going] == one]], x[a:b], ids[a:b], labels[a:b])
+        anchor, slot, place = np.nonzero(best > LOW)
+        for i in range(0, len(anchor), HELD):
+            a, p, j = anchor[i : i + HELD], slot[i : i + HELD], place[i : i + HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (anchors[a], slots[a, p], best[a, p, j], best_ids[a, p, j])], names=["anchor_id", "slot", "score", "vec_id"])
+
+    return blocks.mapInArrow(run, FOUND)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -300,7 +293,6 @@ class Index:
         self.placed = settle(self._place(rows))
         per_cell = {r["cell"]: r["n"] for r in self.placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
         self.blocks = settle(_blocks(self.placed, per_cell, self.top, self.dims, self.most))
-        self.bounds = spark.sparkContext.broadcast(self._bounds(top))
 
     def _place(self, rows: DataFrame) -> DataFrame:
         top, dims, most = self.top, self.dims, self.most
@@ -312,28 +304,37 @@ class Index:
 
         return rows.mapInArrow(run, "vec_id long, label long, v array<int>, cell int")
 
-    def _bounds(self, top: Tree) -> tuple[np.ndarray, np.ndarray]:
-        """Of each cell and each vantage of its path; a cell without rows holds nothing."""
-        low, high = np.full(top.path.shape, np.inf), np.full(top.path.shape, -np.inf)
-        k = range(top.depth)
-        if top.depth:
-            ranges = self.blocks.groupBy("cell").agg(*[F.min(F.get("path_low", F.lit(i))).alias(f"l{i}") for i in k], *[F.max(F.get("path_high", F.lit(i))).alias(f"h{i}") for i in k])
-            for r in ranges.collect():  # at most CELLS rows
-                low[r["cell"]] = [np.inf if r[f"l{i}"] is None else r[f"l{i}"] for i in k]
-                high[r["cell"]] = [-np.inf if r[f"h{i}"] is None else r[f"h{i}"] for i in k]
-        return low, high
-
     def search(self, queries: DataFrame, k: int, same_label: bool) -> DataFrame:
         """anchor_id, slot, score, vec_id and rank: of each query (anchor_id, slot, label, v, cell, low, high) the k rows of
         the same label, or of others, with the highest scores from low to high; of equal scores those of smaller ids."""
-        queries = settle(queries)
-        n_blocks = max(1, math.ceil(queries.count() / QUERIES))
-        keys = ["anchor_id", "slot"]
-        near = settle(_first(_visit(_send(queries.withColumn("least", F.lit(LOW)), n_blocks, self.top, self.bounds, self.dims, self.most, True), self.blocks, k, same_label, self.most), k).drop("rank"))
-        least = near.groupBy(*keys).agg(F.min("score").alias("m"), F.count("*").alias("c")).select(*keys, F.when(F.col("c") == k, F.col("m")).alias("least"))
-        rest = queries.join(least, keys, "left").withColumn("least", F.coalesce("least", F.lit(LOW)))
-        far = _visit(_send(rest, n_blocks, self.top, self.bounds, self.dims, self.most, False), self.blocks, k, same_label, self.most)
-        return _first(near.union(settle(far)), k)
+        spark = queries.sparkSession
+        asked = settle(queries.groupBy("anchor_id", "label", "v", "cell").agg(F.collect_list(F.struct("slot", "low", "high")).alias("windows")))
+        n_groups = math.ceil(asked.count() / min(HELD, max(1, COMPONENTS // max(1, self.dims))))
+        found = spark.createDataFrame([], FOUND)
+        for g in range(n_groups):
+            group = _gathered(asked.where(F.pmod(F.xxhash64("anchor_id"), F.lit(n_groups)) == g), self.dims, self.most)
+            if not len(group[0]):
+                continue
+            near = self._best(group, k, same_label, True)
+            far = self._best((*group[:5], np.maximum(group[5], self._least(group, near, k)), group[6]), k, same_label, False)
+            found = found.union(near).union(far)
+        return _first(found, k)
+
+    def _best(self, group: tuple[np.ndarray, ...], k: int, same_label: bool, own: bool) -> DataFrame:
+        asked = self.blocks.sparkSession.sparkContext.broadcast(group)
+        best = settle(_first(_visit(self.blocks, asked, self.top, k, same_label, self.most, own), k).drop("rank"))
+        asked.destroy()
+        return best
+
+    @staticmethod
+    def _least(group: tuple[np.ndarray, ...], near: DataFrame, k: int) -> np.ndarray:
+        """The k-th score of each window of a group so far; LOW without one."""
+        full = near.groupBy("anchor_id", "slot").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+        known = full.select("anchor_id", "slot", "least").toArrow().to_pandas()  # at most a row for each window of the group
+        slots = group[4]
+        windows = pd.DataFrame({"anchor_id": np.repeat(group[0], slots.shape[1]), "slot": slots.ravel()})
+        least = windows.merge(known.astype({"least": "Int64"}), "left", ["anchor_id", "slot"])["least"]
+        return least.to_numpy(np.int64, na_value=LOW).reshape(slots.shape)
 
 
 def mine(rows: DataFrame, anchor: str = "vec_id % 50 = 0", positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
@@ -348,7 +349,7 @@ def mine(rows: DataFrame, anchor: str = "vec_id % 50 = 0", positives: int = POSI
     """
     index = Index(rows)
     anchors = index.placed.where(anchor).select(F.col("vec_id").alias("anchor_id"), "label", "v", "cell")
-    whole = anchors.withColumns({"slot": F.lit(0).cast("long"), "low": F.lit(LOW + 1), "high": F.lit(HIGH)})
+    whole = anchors.withColumns({"slot": F.lit(0).cast("long"), "low": F.lit(LOW // 2), "high": F.lit(HIGH)})
     first = settle(index.search(whole, positives, True).select("anchor_id", F.col("rank").cast("long").alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     # 50 p <= 100 n <= 95 p in whole numbers; below 0 nothing can be in between.
     window = [F.expr("(positive_score + 1) div 2").alias("low"), F.expr("(19 * positive_score) div 20").alias("high")]
